@@ -52,9 +52,13 @@ def ioc_matches(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(IOC_PATTERN), 0)
 
 
-def kind_values(matches: Column, kind: str) -> Column:
-    """Distinct values of one kind in first-seen order."""
-    return F.array_distinct(F.filter(matches, lambda m: m.rlike(KIND_ANCHORED[kind])))
+def kind_code(m: Column) -> Column:
+    """Index into KINDS of the alternative that produced a match."""
+    expr = None
+    for i, k in enumerate(KINDS):
+        cond = m.rlike(KIND_ANCHORED[k])
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr
 
 
 def process_values(process: Column) -> Column:
@@ -63,13 +67,24 @@ def process_values(process: Column) -> Column:
     return F.when(p.isNotNull() & ~p.isin("", "nan"), F.array(p)).otherwise(F.array().cast("array<string>"))
 
 
+def _values_of(tagged: Column, code: int) -> Column:
+    return F.array_distinct(F.transform(F.filter(tagged, lambda t: t["k"] == code), lambda t: t["v"]))
+
+
 def ioc_struct_from_matches(m: Column, process: Column | None = None) -> Column:
     """Struct of indicator lists; ipv4 holds external addresses only and the
-    RFC 1918 ones move to ``lateral_movement``."""
-    fields = {k: kind_values(m, k) for k in KINDS}
-    all_v4 = fields["ipv4"]
-    fields["ipv4"] = F.filter(all_v4, lambda ip: ~is_rfc1918(ip))
-    fields["lateral_movement"] = F.filter(all_v4, lambda ip: is_rfc1918(ip))
+    RFC 1918 ones move to ``lateral_movement``.  Each match is classified once
+    and each address is range-tested once."""
+    tagged = F.transform(m, lambda x: F.struct(x.alias("v"), kind_code(x).alias("k")))
+    return _ioc_struct_from_tagged(tagged, process)
+
+
+def _ioc_struct_from_tagged(tagged: Column, process: Column | None) -> Column:
+    fields = {k: _values_of(tagged, i) for i, k in enumerate(KINDS) if k != "ipv4"}
+    v4 = F.transform(_values_of(tagged, KINDS.index("ipv4")),
+                     lambda ip: F.struct(ip.alias("ip"), is_rfc1918(ip).alias("priv")))
+    fields["ipv4"] = F.transform(F.filter(v4, lambda x: ~x["priv"]), lambda x: x["ip"])
+    fields["lateral_movement"] = F.transform(F.filter(v4, lambda x: x["priv"]), lambda x: x["ip"])
     fields["process"] = process_values(process) if process is not None else F.array().cast("array<string>")
     return F.struct(*[fields[k].alias(k) for k in OUTPUT_KINDS])
 
@@ -91,13 +106,15 @@ def ioc_struct(text: Column, process: Column | None = None) -> Column:
 
 
 def with_ioc_struct(df, text_col: str = "raw_log", process_col: str | None = None, out: str = "ioc"):
-    """Add a struct column of indicator lists.  The match list is its own
-    projection so the regex runs once per row (the optimizer does not inline
-    an expensive expression that is referenced several times)."""
+    """Add a struct column of indicator lists.  The classified match list is
+    its own projection, so the regex scan and the classification run once per
+    row (the optimizer does not inline an expensive expression referenced
+    several times)."""
     proc = F.col(process_col) if process_col and process_col in df.columns else None
-    return (df.withColumn("_ioc_matches", ioc_matches(F.col(text_col)))
-              .withColumn(out, ioc_struct_from_matches(F.col("_ioc_matches"), proc))
-              .drop("_ioc_matches"))
+    tagged = F.transform(ioc_matches(F.col(text_col)), lambda x: F.struct(x.alias("v"), kind_code(x).alias("k")))
+    return (df.withColumn("_ioc_tagged", tagged)
+              .withColumn(out, _ioc_struct_from_tagged(F.col("_ioc_tagged"), proc))
+              .drop("_ioc_tagged"))
 
 
 def with_iocs(df, text_col: str = "raw_log", process_col: str | None = None, out: str = "iocs"):

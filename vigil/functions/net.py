@@ -47,37 +47,38 @@ def ipv4_shape_ok(c: Column) -> Column:
 
 
 def ip_to_long(c: Column) -> Column:
-    """bigint value of a valid address, else null."""
-    parts = F.split(c, r"\.")
-    value = (F.get(parts, 0).cast("bigint") * F.lit(16777216)
-             + F.get(parts, 1).cast("bigint") * F.lit(65536)
-             + F.get(parts, 2).cast("bigint") * F.lit(256)
-             + F.get(parts, 3).cast("bigint"))
+    """bigint value of a valid address, else null (one split, one regex test)."""
+    value = F.aggregate(F.split(c, r"\."), F.lit(0).cast("bigint"),
+                        lambda acc, x: acc * F.lit(256) + x.cast("bigint"))
     return F.when(is_valid_ipv4(c), value)
 
 
-def _in_blocks(ipl: Column, blocks: list[str]) -> Column:
-    cond = F.lit(False)
-    for b in blocks:
-        lo, hi = cidr_bounds(b)
-        cond = cond | ipl.between(F.lit(lo), F.lit(hi))
-    return cond
+def blocks_array(blocks: list[str]) -> Column:
+    """Constant array<struct<lo,hi>> of CIDR blocks."""
+    return F.array(*[F.struct(F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi"))
+                     for lo, hi in (cidr_bounds(b) for b in blocks)])
+
+
+def long_in_blocks(ipl: Column, blocks: list[str]) -> Column:
+    """Null when ``ipl`` is null, else whether it lies in any block."""
+    return F.when(ipl.isNotNull(),
+                  F.exists(blocks_array(blocks), lambda r: (ipl >= r["lo"]) & (ipl <= r["hi"])))
 
 
 def is_rfc1918(c: Column) -> Column:
     """True for valid addresses in 10/8, 172.16/12, 192.168/16; false otherwise."""
-    return F.coalesce(_in_blocks(ip_to_long(c), RFC1918_BLOCKS), F.lit(False))
+    return F.coalesce(long_in_blocks(ip_to_long(c), RFC1918_BLOCKS), F.lit(False))
 
 
 def is_private_wide(c: Column) -> Column:
     """Direction-rule privacy; null when the string is not a valid address."""
-    ipl = ip_to_long(c)
-    return F.when(ipl.isNotNull(), _in_blocks(ipl, WIDE_PRIVATE_BLOCKS))
+    return long_in_blocks(ip_to_long(c), WIDE_PRIVATE_BLOCKS)
 
 
 def slash16(c: Column) -> Column:
     """The /16 block 'a.b.0.0/16' of a dotted string, else '0.0.0.0/16'."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"\.", -1)
-    return F.when(F.size(parts) == 4,
-                  F.concat(F.get(parts, 0), F.lit("."), F.get(parts, 1), F.lit(".0.0/16"))
-                  ).otherwise(F.lit("0.0.0.0/16"))
+    return F.aggregate(
+        F.array(F.split(F.coalesce(c, F.lit("")), r"\.", -1)), F.lit("0.0.0.0/16"),
+        lambda acc, parts: F.when(F.size(parts) == 4,
+                                  F.concat(F.get(parts, 0), F.lit("."), F.get(parts, 1), F.lit(".0.0/16")))
+        .otherwise(acc))

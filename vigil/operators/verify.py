@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.ioc import ioc_get
-from vigil.functions.net import cidr_bounds, ip_to_long, is_private_wide, is_valid_ipv4
+from vigil.functions.net import WIDE_PRIVATE_BLOCKS, cidr_bounds, ip_to_long, long_in_blocks
 from vigil.sources import dims
 
 EVIDENCE_TYPE = "struct<pass:int,rule:string,weight:int,subject:string,text:string>"
@@ -120,32 +120,30 @@ def structural_pass(gaps: Column, source_ip: Column, dest_ip: Column, port: Colu
 
 
 # ---------------------------------------------------------------- pass 2
-def direction_flags(source_ip: Column, dest_ip: Column):
+def direction_flags(source_ip: Column, dest_ip: Column, src_l: Column, dst_l: Column):
     """(src_private, dst_private) as the direction rule sees them: an empty
-    address is not private; any non-empty unparsable address makes both false."""
-    src_bad = ~_blank(source_ip) & ~is_valid_ipv4(source_ip)
-    dst_bad = ~_blank(dest_ip) & ~is_valid_ipv4(dest_ip)
-    broken = src_bad | dst_bad
-    src_priv = F.when(broken | _blank(source_ip), False).otherwise(F.coalesce(is_private_wide(source_ip), F.lit(False)))
-    dst_priv = F.when(broken | _blank(dest_ip), False).otherwise(F.coalesce(is_private_wide(dest_ip), F.lit(False)))
+    address is not private; any non-empty unparsable address makes both false.
+    ``src_l`` / ``dst_l`` are the parsed address values (null when invalid)."""
+    broken = (~_blank(source_ip) & src_l.isNull()) | (~_blank(dest_ip) & dst_l.isNull())
+    src_priv = F.when(broken | _blank(source_ip), False).otherwise(
+        F.coalesce(long_in_blocks(src_l, WIDE_PRIVATE_BLOCKS), F.lit(False)))
+    dst_priv = F.when(broken | _blank(dest_ip), False).otherwise(
+        F.coalesce(long_in_blocks(dst_l, WIDE_PRIVATE_BLOCKS), F.lit(False)))
     return src_priv, dst_priv
 
 
-def behaviour_pass(source_ip: Column, dest_ip: Column, port: Column, event_type: Column, iocs: Column):
+def behaviour_entries(source_ip: Column, dest_ip: Column, port: Column, event_type: Column,
+                      src_priv: Column, dst_priv: Column, lateral: Column, ext: Column, dom: Column) -> Column:
+    """Pass-2 evidence entries (without the filler)."""
     known = event_type.isin(*[e for e, _, _, _ in dims.EVENT_TYPES])
     desc = F.try_element_at(_lit_map([(e, d) for e, d, _, _ in dims.EVENT_TYPES]), event_type)
     technique = F.try_element_at(_lit_map([(e, t) for e, _, t, _ in dims.EVENT_TYPES]), event_type)
     risk = F.try_element_at(_lit_map([(e, r) for e, _, _, r in dims.EVENT_TYPES]), event_type)
     service = F.try_element_at(_lit_map(dims.SERVICE_PORTS), port)
     has_service = port.isNotNull() & (port != 0) & service.isNotNull()
-    src_priv, dst_priv = direction_flags(source_ip, dest_ip)
     exempt = F.coalesce(event_type.isin(*dims.DIRECTION_EXEMPT_EVENTS), F.lit(False))
     ingress = has_service & ~src_priv & dst_priv
     east_west = has_service & src_priv & dst_priv & ~exempt
-    lateral = ioc_get(iocs, "lateral_movement")
-    ext = ioc_get(iocs, "ipv4")
-    dom = ioc_get(iocs, "domain")
-
     def listed(arr: Column, n: int) -> Column:
         more = F.when(F.size(arr) > n, F.concat(F.lit(" +"), (F.size(arr) - n).cast("string"), F.lit(" more")))
         return F.concat(F.array_join(F.slice(arr, 1, n), ", "), F.coalesce(more, F.lit("")))
@@ -173,35 +171,39 @@ def behaviour_pass(source_ip: Column, dest_ip: Column, port: Column, event_type:
                                     _txt("PASS 2: Domains in the payload: [", listed(dom, 3), "] during ",
                                          evt_s, "."))),
     )
-    entries = F.filter(entries, lambda e: e.isNotNull())
-    score = F.least(F.aggregate(entries, F.lit(0), lambda a, e: a + e["weight"]), F.lit(50))
-    filler = F.array(_ev(2, "no_anomaly", 0, event_type,
-                         _txt("PASS 2: Behaviour check ", src_s, " -> ", dst_s, " on ", evt_s,
-                              " found no anomalous indicator pattern.")))
-    return score, F.when(F.size(entries) > 0, entries).otherwise(filler)
+    return F.filter(entries, lambda e: e.isNotNull())
+
+
+def behaviour_filler(source_ip: Column, dest_ip: Column, event_type: Column) -> Column:
+    return _ev(2, "no_anomaly", 0, event_type,
+               _txt("PASS 2: Behaviour check ", _show(source_ip), " -> ", _show(dest_ip), " on ",
+                    _show(event_type), " found no anomalous indicator pattern."))
 
 
 # ---------------------------------------------------------------- pass 3
-def intel_pass(source_ip: Column, event_type: Column, iocs: Column,
-               ti_ranges: list[str] | None = None, risk_ranges: list[tuple[str, str]] | None = None,
-               bad_cves: list[str] | None = None, bad_processes: list[str] | None = None):
+def intel_probes(source_ip: Column, ext: Column, ti_ranges: list[str] | None = None,
+                 risk_ranges: list[tuple[str, str]] | None = None) -> Column:
+    """Every address occurrence (indicator addresses, then the source) with
+    its first feed range and first high-risk range."""
     ti_ranges = dims.TI_BAD_IPS if ti_ranges is None else ti_ranges
     risk_ranges = dims.RISK_RANGES if risk_ranges is None else risk_ranges
-    bad_cves = [c.upper() for c in (dims.TI_BAD_CVES if bad_cves is None else bad_cves)]
-    bad_procs = [p.lower() for p in (dims.TI_BAD_PROCESSES if bad_processes is None else bad_processes)]
     ti_arr = range_array([(c, "") for c in ti_ranges])
     risk_arr = range_array(risk_ranges)
-    evt_s = _show(event_type)
-
-    ext = ioc_get(iocs, "ipv4")
-    # Every address occurrence is probed: indicator addresses then the source.
     all_ips = F.concat(ext, F.when(~_blank(source_ip), F.array(source_ip.cast("string")))
                        .otherwise(F.array().cast("array<string>")))
-    probes = F.transform(all_ips, lambda ip: F.struct(
-        ip.alias("ip"),
-        first_range(ip_to_long(ip), ti_arr).alias("ti"),
-        first_range(ip_to_long(ip), risk_arr).alias("risk")))
+    parsed = F.transform(all_ips, lambda ip: F.struct(ip.alias("ip"), ip_to_long(ip).alias("ipl")))
+    return F.transform(parsed, lambda p: F.struct(
+        p["ip"].alias("ip"),
+        first_range(p["ipl"], ti_arr).alias("ti"),
+        first_range(p["ipl"], risk_arr).alias("risk")))
+
 
+def intel_entries(source_ip: Column, event_type: Column, probes: Column, cves: Column, procs: Column,
+                  sha: Column, bad_cves: list[str] | None = None, bad_processes: list[str] | None = None) -> Column:
+    """Pass-3 evidence entries (without the filler)."""
+    bad_cves = [c.upper() for c in (dims.TI_BAD_CVES if bad_cves is None else bad_cves)]
+    bad_procs = [p.lower() for p in (dims.TI_BAD_PROCESSES if bad_processes is None else bad_processes)]
+    evt_s = _show(event_type)
     ti_entries = F.transform(
         F.filter(probes, lambda p: p["ti"].isNotNull()),
         lambda p: _ev(3, "ti_ip", 30, p["ip"],
@@ -218,32 +220,33 @@ def intel_pass(source_ip: Column, event_type: Column, iocs: Column,
         return F.when(seen, acc).otherwise(F.concat(acc, F.array(entry)))
 
     with_risk = F.aggregate(F.filter(probes, lambda p: p["risk"].isNotNull()), ti_entries, add_risk)
-
-    cves = ioc_get(iocs, "cve")
     cve_entries = F.transform(
         F.filter(cves, lambda c: F.upper(c).isin(*bad_cves)),
         lambda c: _ev(3, "ti_cve", 30, c,
                       _txt("PASS 3: \U0001f6a8 CVE Match: ", c, " is a weaponised exploit in the feed, linked to ",
                            evt_s, " chains.")))
-    procs = ioc_get(iocs, "process")
     proc_entries = F.transform(
         F.filter(procs, lambda p: F.lower(p).isin(*bad_procs)),
         lambda p: _ev(3, "ti_process", 30, p,
-                      _txt("PASS 3: \U0001f6a8 Malware tool match: process \"", p, "\" is a known offensive tool; run during ",
-                           evt_s, " on ", _show(source_ip), ".")))
-    sha = ioc_get(iocs, "sha256")
+                      _txt("PASS 3: \U0001f6a8 Malware tool match: process \"", p,
+                           "\" is a known offensive tool; run during ", evt_s, " on ", _show(source_ip), ".")))
     sha_entries = F.when(
         F.size(sha) > 0,
         F.array(_ev(3, "sha256", 10, F.array_join(F.slice(sha, 1, 2), ", "),
                     _txt("PASS 3: SHA-256 values in the payload [", F.array_join(F.slice(sha, 1, 2), ", "),
                          "...] call for sandbox detonation.")))
     ).otherwise(empty_evidence())
-    entries = F.concat(with_risk, cve_entries, proc_entries, sha_entries)
-    score = F.least(F.aggregate(entries, F.lit(0), lambda a, e: a + e["weight"]), F.lit(60))
-    filler = F.array(_ev(3, "no_intel", 0, event_type,
-                         _txt("PASS 3: Threat-intel lookup found no match for ", evt_s,
-                              "; not corroborated by the feeds.")))
-    return score, F.when(F.size(entries) > 0, entries).otherwise(filler)
+    return F.concat(with_risk, cve_entries, proc_entries, sha_entries)
+
+
+def intel_filler(event_type: Column) -> Column:
+    return _ev(3, "no_intel", 0, event_type,
+               _txt("PASS 3: Threat-intel lookup found no match for ", _show(event_type),
+                    "; not corroborated by the feeds."))
+
+
+def _sum_weights(entries: Column) -> Column:
+    return F.aggregate(entries, F.lit(0), lambda a, e: a + e["weight"])
 
 
 def status_of(score: Column) -> Column:
@@ -253,24 +256,47 @@ def status_of(score: Column) -> Column:
 
 
 def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col: str = "timestamp",
-           ts_is_string: bool = False, **intel) -> DataFrame:
+           ts_is_string: bool = False, ti_ranges=None, risk_ranges=None, bad_cves=None,
+           bad_processes=None) -> DataFrame:
     """Add c1, c2, c3, confidence_score, verification_status, evidence and
-    evidence_trail (rendered text) to an alert DataFrame with an ``iocs`` map."""
+    evidence_trail (rendered text) to an alert DataFrame with an ``iocs`` map.
+
+    Built as a short chain of projections: every shared intermediate (parsed
+    addresses, indicator lists, probes, entry lists) is its own column so it
+    is evaluated once per row and the generated code stays small."""
     as_of_c = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     c = F.col
-    gaps = structural_gaps(c("source_ip"), c("event_type"), c("raw_log"), c(ts_col), c("protocol"),
-                           as_of_c, ts_is_string)
-    df = df.withColumn("structural_gaps", gaps)
-    s1, e1 = structural_pass(c("structural_gaps"), c("source_ip"), c("dest_ip"), c("port"), c("event_type"))
-    s2, e2 = behaviour_pass(c("source_ip"), c("dest_ip"), c("port"), c("event_type"), c("iocs"))
-    s3, e3 = intel_pass(c("source_ip"), c("event_type"), c("iocs"), **intel)
     boost_c = boost if isinstance(boost, Column) else F.lit(boost)
+    df = (df
+          .withColumn("structural_gaps", structural_gaps(c("source_ip"), c("event_type"), c("raw_log"), c(ts_col),
+                                                         c("protocol"), as_of_c, ts_is_string))
+          .withColumn("_src_l", ip_to_long(c("source_ip")))
+          .withColumn("_dst_l", ip_to_long(c("dest_ip")))
+          .withColumn("_ext", ioc_get(c("iocs"), "ipv4"))
+          .withColumn("_lat", ioc_get(c("iocs"), "lateral_movement"))
+          .withColumn("_dom", ioc_get(c("iocs"), "domain"))
+          .withColumn("_cve", ioc_get(c("iocs"), "cve"))
+          .withColumn("_proc", ioc_get(c("iocs"), "process"))
+          .withColumn("_sha", ioc_get(c("iocs"), "sha256")))
+    src_priv, dst_priv = direction_flags(c("source_ip"), c("dest_ip"), c("_src_l"), c("_dst_l"))
+    df = (df.withColumn("_src_priv", src_priv).withColumn("_dst_priv", dst_priv)
+            .withColumn("_probes", intel_probes(c("source_ip"), c("_ext"), ti_ranges, risk_ranges)))
+    s1, e1 = structural_pass(c("structural_gaps"), c("source_ip"), c("dest_ip"), c("port"), c("event_type"))
     df = (df.withColumn("c1", s1).withColumn("e1", e1)
-            .withColumn("c2", s2).withColumn("e2", e2)
-            .withColumn("c3", s3).withColumn("e3", e3))
+            .withColumn("_e2", behaviour_entries(c("source_ip"), c("dest_ip"), c("port"), c("event_type"),
+                                                 c("_src_priv"), c("_dst_priv"), c("_lat"), c("_ext"), c("_dom")))
+            .withColumn("_e3", intel_entries(c("source_ip"), c("event_type"), c("_probes"), c("_cve"),
+                                             c("_proc"), c("_sha"), bad_cves, bad_processes)))
+    df = (df.withColumn("c2", F.least(_sum_weights(c("_e2")), F.lit(50)))
+            .withColumn("c3", F.least(_sum_weights(c("_e3")), F.lit(60)))
+            .withColumn("e2", F.when(F.size(c("_e2")) > 0, c("_e2"))
+                        .otherwise(F.array(behaviour_filler(c("source_ip"), c("dest_ip"), c("event_type")))))
+            .withColumn("e3", F.when(F.size(c("_e3")) > 0, c("_e3"))
+                        .otherwise(F.array(intel_filler(c("event_type"))))))
     total = F.least(c("c1") + c("c2") + c("c3") + boost_c, F.lit(100))
     return (df.withColumn("confidence_score", total.cast("int"))
               .withColumn("verification_status", status_of(c("confidence_score")))
               .withColumn("evidence", F.concat(F.array(c("e1")), c("e2"), c("e3")))
               .withColumn("evidence_trail", F.transform(c("evidence"), lambda e: e["text"]))
-              .drop("e1", "e2", "e3"))
+              .drop("e1", "e2", "e3", "_e2", "_e3", "_src_l", "_dst_l", "_ext", "_lat", "_dom", "_cve",
+                    "_proc", "_sha", "_probes", "_src_priv", "_dst_priv"))

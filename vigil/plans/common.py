@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from vigil.functions.ioc import with_iocs
 from vigil.operators.verify import verify
 from vigil.session import apply_session_defaults
+from vigil.sources.tables import read_table
 from vigil.sources.testviews import AS_OF, load_alerts
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
+    apply_session_defaults(spark)
+    return read_table(spark, sf_dir, name, parallel)
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

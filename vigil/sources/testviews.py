@@ -100,7 +100,8 @@ def alerts_view(events: DataFrame) -> DataFrame:
 
 
 def load_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts_view(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    from vigil.sources.tables import read_table
+    return alerts_view(read_table(spark, sf_dir, "events", parallel=True))
 
 
 def _sql_list(values: list) -> str:
