@@ -145,6 +145,8 @@ rk_counted AS (
 ),
 p3 AS (
   SELECT p.alert_id,
+    len(list_filter(k_cve, lambda c: upper(c) IN ({bad_cves}))) AS n_cve_hits,
+    len(list_filter(k_process, lambda x: lower(x) IN ({bad_procs}))) AS n_proc_hits,
     coalesce((SELECT count(*) FROM tih t WHERE t.alert_id = p.alert_id), 0) * 30
     + coalesce((SELECT count(*) FROM rk_counted r WHERE r.alert_id = p.alert_id), 0) * 20
     + len(list_filter(k_cve, lambda c: upper(c) IN ({bad_cves}))) * 30
@@ -155,7 +157,14 @@ p3 AS (
   FROM p12 p
 ),
 vv AS (
-  SELECT p.*, CASE WHEN len(p.gaps) = 0 THEN 20 ELSE 0 END AS c1,
+  SELECT p.*, p3.n_cve_hits, p3.n_proc_hits,
+    (CASE WHEN event_type IN ({', '.join(q(e) for e in EVENT_NAMES)}) THEN 1 ELSE 0 END)
+    + (CASE WHEN {service} AND NOT {src_priv} AND {dst_priv} THEN 1 ELSE 0 END)
+    + (CASE WHEN {service} AND {src_priv} AND {dst_priv} AND NOT {exempt} THEN 1 ELSE 0 END)
+    + (CASE WHEN len(k_lateral) > 0 THEN 1 ELSE 0 END) + (CASE WHEN len(k_ipv4) > 0 THEN 1 ELSE 0 END)
+    + (CASE WHEN len(k_domain) > 0 THEN 1 ELSE 0 END) AS n2_raw,
+    p3.n_ti + p3.n_risk + p3.n_cve_hits + p3.n_proc_hits + (CASE WHEN len(k_sha256) > 0 THEN 1 ELSE 0 END) AS n3_raw,
+    CASE WHEN len(p.gaps) = 0 THEN 20 ELSE 0 END AS c1,
     least(p.c2_raw, 50) AS c2, least(p3.c3_raw, 60) AS c3, p3.n_ti, p3.n_risk,
     CAST(least((CASE WHEN len(p.gaps) = 0 THEN 20 ELSE 0 END) + least(p.c2_raw, 50) + least(p3.c3_raw, 60) + {boost}, 100) AS INTEGER) AS confidence_score
   FROM p12 p JOIN p3 USING (alert_id)
@@ -166,3 +175,50 @@ vs AS (
                  ELSE 'FALSE_POSITIVE' END AS verification_status
   FROM vv
 )"""
+
+
+def p_attack_sql(ev: str = "event_type") -> str:
+    parts = " ".join(f"WHEN {ev} IN ({', '.join(q(e) for e in events)}) THEN {p}"
+                     for p, events in dims.EVENT_PROBABILITY_GROUPS)
+    return f"(CASE {parts} ELSE {dims.DEFAULT_ATTACK_PROBABILITY} END)"
+
+
+def tier_sql(p: str) -> str:
+    t = dims.SEVERITY_TIERS
+    parts = []
+    for i, (name, lo) in enumerate(t):
+        hi = t[i + 1][1] if i + 1 < len(t) else None
+        parts.append(f"WHEN {p} >= {lo}" + (f" AND {p} < {hi}" if hi is not None else "") + f" THEN {q(name)}")
+    return f"(CASE WHEN {p} < 0 OR {p} > 1 OR {p} IS NULL THEN NULL WHEN {p} = 1.0 THEN 'CRITICAL' {' '.join(parts)} END)"
+
+
+def decoy_sql(raw: str = "raw_log", path: str = "accessed_path", ev: str = "event_type",
+              proto: str = "protocol", port: str = "0") -> str:
+    r, pa, pr = f"coalesce({raw}, '')", f"coalesce({path}, '')", f"coalesce({proto}, '')"
+    return f"""(CASE WHEN contains({pa}, {q(dims.DECOY_SALARY_PATH)}) OR contains({r}, {q(dims.DECOY_SALARY_LOG)}) THEN 'HP_SALARY_FILE'
+      WHEN contains({pa}, {q(dims.DECOY_DB_CRED)}) OR contains({r}, {q(dims.DECOY_DB_CRED)}) THEN 'HP_DB_CRED'
+      WHEN contains({pa}, {q(dims.DECOY_ADMIN_PATH)}) AND coalesce({ev} IN ({', '.join(q(e) for e in dims.DECOY_ADMIN_EVENTS)}), false) THEN 'HP_ADMIN_LOGIN'
+      WHEN {port} = {dims.DECOY_SSH_PORT} AND {pr} IN ({', '.join(q(e) for e in dims.DECOY_SSH_PROTOCOLS)}) THEN 'HP_SSH_2222'
+      WHEN contains({pa}, {q(dims.DECOY_CLOUD_PATH)}) OR contains({r}, {q(dims.DECOY_CLOUD_LOG)}) THEN 'HP_CLOUD_CONFIG' END)"""
+
+
+def scored_ctes(as_of: str = AS_OF) -> str:
+    """Verification + tier + decoy override + service playbook (blast 0)."""
+    return alerts_verified_ctes(as_of) + f""",
+sc0 AS (
+  SELECT *, {p_attack_sql()} AS p_attack, {decoy_sql()} AS decoy_asset_id FROM vs
+),
+sc AS (
+  SELECT *, {tier_sql('p_attack')} AS base_severity,
+    CASE WHEN decoy_asset_id IS NOT NULL THEN 'CRITICAL' ELSE {tier_sql('p_attack')} END AS severity,
+    CASE WHEN decoy_asset_id IS NOT NULL THEN 1.0::DOUBLE ELSE round(p_attack, 4)::DOUBLE END AS confidence,
+    0.0::DOUBLE AS blast_radius
+  FROM sc0
+),
+scp AS (
+  SELECT *,
+    CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 'IP_BLOCKED' ELSE 'INITIAL_TRIAGE' END AS playbook_state,
+    CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN ['Alert Ingestion', 'Blocked IP ' || coalesce(source_ip, '0.0.0.0')]
+         ELSE ['Alert Ingestion'] END AS svc_actions
+  FROM sc
+)"""
