@@ -80,7 +80,10 @@ def response_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def action_log_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _full_playbooks(spark, sf_dir)
-    e = p.select("alert_id", F.posexplode("actions_log").alias("pos", "a"))
+    # ``_outer`` generators: the log is never empty, and the plain form makes the
+    # optimizer infer a size(log) > 0 filter that it pushes below (and so
+    # duplicates) the whole scoring projection.
+    e = p.select("alert_id", F.posexplode_outer("actions_log").alias("pos", "a"))
     return e.select("alert_id", (F.col("pos") + 1).alias("step"), F.col("a.from_state").alias("from_state"),
                     F.col("a.to_state").alias("to_state"), F.col("a.action_taken").alias("action_taken"),
                     F.col("a.reason").alias("reason"),
@@ -89,7 +92,7 @@ def action_log_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cacao_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir)
-    wf = s.select("alert_id", F.explode(TR.cacao_workflow(F.col("playbook_actions"))).alias("w"))
+    wf = s.select("alert_id", F.explode_outer(TR.cacao_workflow(F.col("playbook_actions"))).alias("w"))
     return wf.select("alert_id", F.col("w.step_id").alias("step_id"), F.col("w.type").alias("type"),
                      F.col("w.name").alias("name"), F.col("w.on_completion").alias("on_completion"))
 
