@@ -14,16 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from vigil.plans import q_alerts, q_graph, q_ioc, q_reports, q_triage
+    from vigil.plans import q_alerts, q_graph, q_ioc, q_reports, q_triage, q_vault
     out: dict = {}
-    for mod in (q_alerts, q_triage, q_ioc, q_reports, q_graph):
+    for mod in (q_alerts, q_triage, q_ioc, q_reports, q_graph, q_vault):
         out.update(mod.QUERIES)
     return out
 
 
 def all_oracles() -> dict[str, str]:
-    from vigil.plans import q_alerts, q_graph, q_ioc, q_reports, q_triage
+    from vigil.plans import q_alerts, q_graph, q_ioc, q_reports, q_triage, q_vault
     out: dict = {}
-    for mod in (q_alerts, q_triage, q_ioc, q_reports, q_graph):
+    for mod in (q_alerts, q_triage, q_ioc, q_reports, q_graph, q_vault):
         out.update(mod.ORACLE)
     return out

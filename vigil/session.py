@@ -73,3 +73,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def apply_session_defaults(spark: SparkSession) -> None:
     """Pin settings that results depend on (UTC) on a session we did not build."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used where one expensive derived table feeds several branches (or is
+    filtered on derived columns, which the optimizer would otherwise push
+    below the projection and evaluate twice).  Reliable checkpoints survive
+    executor loss; ``localCheckpoint`` is never used."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
