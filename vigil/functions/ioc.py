@@ -112,9 +112,11 @@ def with_ioc_struct(df, text_col: str = "raw_log", process_col: str | None = Non
     several times)."""
     proc = F.col(process_col) if process_col and process_col in df.columns else None
     tagged = F.transform(ioc_matches(F.col(text_col)), lambda x: F.struct(x.alias("v"), kind_code(x).alias("k")))
-    return (df.withColumn("_ioc_tagged", tagged)
-              .withColumn(out, _ioc_struct_from_tagged(F.col("_ioc_tagged"), proc))
-              .drop("_ioc_tagged"))
+    from vigil.functions.fence import fence
+    x = (df.withColumn("_ioc_tagged", tagged)
+           .withColumn(out, _ioc_struct_from_tagged(F.col("_ioc_tagged"), proc))
+           .drop("_ioc_tagged"))
+    return fence(x, [out])
 
 
 def with_iocs(df, text_col: str = "raw_log", process_col: str | None = None, out: str = "iocs"):

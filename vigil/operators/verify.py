@@ -294,9 +294,10 @@ def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col:
             .withColumn("e3", F.when(F.size(c("_e3")) > 0, c("_e3"))
                         .otherwise(F.array(intel_filler(c("event_type"))))))
     total = F.least(c("c1") + c("c2") + c("c3") + boost_c, F.lit(100))
-    return (df.withColumn("confidence_score", total.cast("int"))
-              .withColumn("verification_status", status_of(c("confidence_score")))
-              .withColumn("evidence", F.concat(F.array(c("e1")), c("e2"), c("e3")))
-              .withColumn("evidence_trail", F.transform(c("evidence"), lambda e: e["text"]))
-              .drop("e1", "e2", "e3", "_e2", "_e3", "_src_l", "_dst_l", "_ext", "_lat", "_dom", "_cve",
-                    "_proc", "_sha", "_probes", "_src_priv", "_dst_priv"))
+    out = (df.withColumn("confidence_score", total.cast("int"))
+             .withColumn("verification_status", status_of(c("confidence_score")))
+             .withColumn("evidence", F.concat(F.array(c("e1")), c("e2"), c("e3")))
+             .withColumn("evidence_trail", F.transform(c("evidence"), lambda e: e["text"]))
+             .drop("e1", "e2", "e3", "_e2", "_e3", "_src_l", "_dst_l", "_ext", "_lat", "_dom", "_cve",
+                   "_proc", "_sha", "_probes", "_src_priv", "_dst_priv"))
+    return out

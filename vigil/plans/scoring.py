@@ -51,8 +51,8 @@ def score_alerts(alerts: DataFrame, as_of: str | Column, blast: DataFrame | None
                                                        F.col("confidence"), top))
             .withColumn("narrative", TR.narrative_template(F.col("playbook_actions"))))
     as_of_c = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
-    df = seal(df, field_payload(SEAL_FIELDS), captured_at=as_of_c)
-    return df.withColumnRenamed("sha256", "vault_hash")
+    df = seal(df, field_payload(SEAL_FIELDS), captured_at=as_of_c).withColumnRenamed("sha256", "vault_hash")
+    return df
 
 
 def response_shape(scored: DataFrame) -> DataFrame:
