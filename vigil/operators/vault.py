@@ -24,13 +24,16 @@ def field_payload(cols: list[str], sep: str = "|") -> Column:
 
 
 def seal(df: DataFrame, payload: Column, id_col: str = "alert_id", captured_at: Column | None = None) -> DataFrame:
-    """Add payload, sha256, captured_at and snapshot_id (alert id + capture time)."""
+    """Add payload, sha256, captured_at and snapshot_id."""
     cap = captured_at if captured_at is not None else F.current_timestamp()
     out = (df.withColumn("payload", payload)
              .withColumn("sha256", F.sha2(F.col("payload"), 256))
              .withColumn("captured_at", cap))
+    # alert id + capture time + payload digest: two snapshots of one alert
+    # never collide, even within the same second
     return out.withColumn("snapshot_id", F.concat(F.col(id_col).cast("string"), F.lit("_"),
-                                                  F.date_format("captured_at", "yyyy-MM-dd'T'HH-mm-ss")))
+                                                  F.date_format("captured_at", "yyyy-MM-dd'T'HH-mm-ss"), F.lit("_"),
+                                                  F.substring("sha256", 1, 8)))
 
 
 def require_ids(df: DataFrame, id_col: str = "alert_id") -> tuple[DataFrame, DataFrame]:

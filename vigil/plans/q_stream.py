@@ -59,5 +59,5 @@ FROM scp WHERE decoy_asset_id IS NOT NULL GROUP BY 1""",
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, "timestamp"), '%Y-%m-%d %H:%M:%S') AS tick, severity, count(*) AS n_alerts
 FROM scp GROUP BY ALL""",
     "stream_sealed_archive": O.scored_ctes() + f"""
-SELECT alert_id || '_2024-01-30T12-00-00' AS snapshot_id, alert_id, sha256({_PAY}) AS sha256, true AS intact FROM scp""",
+SELECT alert_id || '_2024-01-30T12-00-00_' || substr(sha256({_PAY}), 1, 8) AS snapshot_id, alert_id, sha256({_PAY}) AS sha256, true AS intact FROM scp""",
 }

@@ -56,7 +56,7 @@ QUERIES = {"vault_seal": vault_seal, "vault_verify": vault_verify, "custody_repo
 _PAY = ("concat_ws('|', alert_id, severity, CAST(confidence AS VARCHAR), verification_status, CAST(confidence_score AS VARCHAR), "
         "playbook_state, coalesce(source_ip, ''), coalesce(dest_ip, ''), coalesce(event_type, ''))")
 _SEALED = O.scored_ctes() + f""",
-sl AS (SELECT alert_id, event_id, alert_id || '_2024-01-30T12-00-00' AS snapshot_id, {_PAY} AS payload,
+sl AS (SELECT alert_id, event_id, alert_id || '_2024-01-30T12-00-00_' || substr(sha256({_PAY}), 1, 8) AS snapshot_id, {_PAY} AS payload,
          sha256({_PAY}) AS vault_hash FROM scp),
 snaps AS (SELECT snapshot_id, CASE WHEN event_id % 101 = 0 THEN payload || ' ' ELSE payload END AS payload FROM sl WHERE event_id % 103 <> 0),
 stored AS (SELECT snapshot_id, vault_hash AS sha256 FROM sl WHERE event_id % 107 <> 0),
