@@ -119,7 +119,9 @@ p12 AS (
     + (CASE WHEN len(k_lateral) > 0 THEN 15 ELSE 0 END)
     + (CASE WHEN len(k_ipv4) > 0 THEN 10 ELSE 0 END)
     + (CASE WHEN len(k_domain) > 0 THEN 10 ELSE 0 END) AS c2_raw,
-    list_concat(k_ipv4, CASE WHEN {blank('source_ip')} THEN []::VARCHAR[] ELSE [source_ip] END) AS all_ips
+    list_concat(k_ipv4, CASE WHEN {blank('source_ip')} THEN []::VARCHAR[] ELSE [source_ip] END) AS all_ips,
+    (CASE WHEN {service} AND NOT {src_priv} AND {dst_priv} THEN 1 ELSE 0 END) AS f_ingress,
+    (CASE WHEN {service} AND {src_priv} AND {dst_priv} AND NOT {exempt} THEN 1 ELSE 0 END) AS f_eastwest
   FROM ai
 ),
 ipx AS (
