@@ -44,7 +44,9 @@ KIND_ANCHORED = {
 KINDS = ["sha256", "md5", "cve", "url", "ipv6", "ipv4", "domain", "port"]
 OUTPUT_KINDS = ["sha256", "md5", "cve", "url", "ipv6", "ipv4", "lateral_movement", "domain", "port", "process"]
 
-IOC_PATTERN = "|".join(f"({p})" for _, p in KIND_PATTERNS)
+# Every alternative starts at an ASCII letter or digit, so a one-character
+# look-ahead lets the scan skip all other positions cheaply (same matches).
+IOC_PATTERN = "(?=[0-9A-Za-z])(?:" + "|".join(f"({p})" for _, p in KIND_PATTERNS) + ")"
 
 
 def ioc_matches(text: Column) -> Column:
@@ -53,12 +55,21 @@ def ioc_matches(text: Column) -> Column:
 
 
 def kind_code(m: Column) -> Column:
-    """Index into KINDS of the alternative that produced a match."""
-    expr = None
-    for i, k in enumerate(KINDS):
-        cond = m.rlike(KIND_ANCHORED[k])
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
+    """Index into KINDS of the alternative that produced a match.
+
+    Matches of different kinds are textually disjoint, so cheap string tests
+    suffice: only URLs start with a scheme, only IPv6 matches contain ':',
+    dotted matches are IPv4 when all digits (else domains), and the remaining
+    dot-free matches differ by length (64 / 32 hex, 2-5 digit ports).  A
+    domain may begin with 'CVE-', so that prefix is confirmed by the pattern."""
+    k = {name: F.lit(i) for i, name in enumerate(KINDS)}
+    return (F.when(m.startswith("http://") | m.startswith("https://"), k["url"])
+            .when(m.startswith("CVE-") & m.rlike(KIND_ANCHORED["cve"]), k["cve"])
+            .when(F.contains(m, F.lit(":")), k["ipv6"])
+            .when(F.contains(m, F.lit(".")), F.when(m.rlike(KIND_ANCHORED["ipv4"]), k["ipv4"]).otherwise(k["domain"]))
+            .when(F.length(m) == 64, k["sha256"])
+            .when(F.length(m) == 32, k["md5"])
+            .otherwise(k["port"]))
 
 
 def process_values(process: Column) -> Column:
@@ -120,6 +131,14 @@ def with_ioc_struct(df, text_col: str = "raw_log", process_col: str | None = Non
 
 
 def with_iocs(df, text_col: str = "raw_log", process_col: str | None = None, out: str = "iocs"):
-    """Add the indicator map column ``out`` extracted from ``text_col``."""
-    return (with_ioc_struct(df, text_col, process_col, out="_ioc_struct")
-            .withColumn(out, ioc_map(F.col("_ioc_struct"))).drop("_ioc_struct"))
+    """Add the indicator map ``out`` (kinds without values absent) and the
+    struct ``ioc`` it is built from; consumers read the struct, and the map
+    is pruned by the optimizer when nothing selects it."""
+    return with_ioc_struct(df, text_col, process_col, out="ioc").withColumn(out, ioc_map(F.col("ioc")))
+
+
+def ioc_kind(df, kind: str):
+    """Values of one kind from the struct when present, else from the map."""
+    if "ioc" in df.columns:
+        return F.col("ioc")[kind]
+    return ioc_get(F.col("iocs"), kind)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.ioc import ioc_get
+from vigil.functions.ioc import ioc_get, ioc_kind
 from vigil.functions.net import WIDE_PRIVATE_BLOCKS, cidr_bounds, ip_to_long, long_in_blocks
 from vigil.sources import dims
 
@@ -272,12 +272,12 @@ def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col:
                                                          c("protocol"), as_of_c, ts_is_string))
           .withColumn("_src_l", ip_to_long(c("source_ip")))
           .withColumn("_dst_l", ip_to_long(c("dest_ip")))
-          .withColumn("_ext", ioc_get(c("iocs"), "ipv4"))
-          .withColumn("_lat", ioc_get(c("iocs"), "lateral_movement"))
-          .withColumn("_dom", ioc_get(c("iocs"), "domain"))
-          .withColumn("_cve", ioc_get(c("iocs"), "cve"))
-          .withColumn("_proc", ioc_get(c("iocs"), "process"))
-          .withColumn("_sha", ioc_get(c("iocs"), "sha256")))
+          .withColumn("_ext", ioc_kind(df, "ipv4"))
+          .withColumn("_lat", ioc_kind(df, "lateral_movement"))
+          .withColumn("_dom", ioc_kind(df, "domain"))
+          .withColumn("_cve", ioc_kind(df, "cve"))
+          .withColumn("_proc", ioc_kind(df, "process"))
+          .withColumn("_sha", ioc_kind(df, "sha256")))
     src_priv, dst_priv = direction_flags(c("source_ip"), c("dest_ip"), c("_src_l"), c("_dst_l"))
     df = (df.withColumn("_src_priv", src_priv).withColumn("_dst_priv", dst_priv)
             .withColumn("_probes", intel_probes(c("source_ip"), c("_ext"), ti_ranges, risk_ranges)))
