@@ -219,8 +219,9 @@ def in_progress_label(severity: Column) -> Column:
 
 def playbook_narrative(alert_id: Column, log: Column) -> Column:
     """Incident narrative: first / last timestamp, action count, final state."""
-    first_ts = F.get(log, 0)["timestamp"].cast("string")
-    last_ts = F.get(log, F.size(log) - 1)["timestamp"].cast("string")
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    first_ts = F.date_format(F.get(log, 0)["timestamp"], iso)
+    last_ts = F.date_format(F.get(log, F.size(log) - 1)["timestamp"], iso)
     return F.when(F.size(log) == 0, F.concat(F.lit("Incident "), alert_id, F.lit(": No response actions log."))) \
         .otherwise(F.concat(F.lit("Incident "), alert_id, F.lit(": Automated response initiated at "),
                             F.coalesce(first_ts, F.lit("unknown")), F.lit(".\nSystem executed "),

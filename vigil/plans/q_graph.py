@@ -57,7 +57,22 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph_summary(nodes, edges, dims.DISPLAY_CRITICAL_TYPES)
 
 
+def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges on each node's path to its nearest critical node, with protocol
+    (path hops are consecutive pairs via ``lead``; every hop is a graph edge)."""
+    from pyspark.sql import Window
+    nodes, edges, p = _paths(spark, sf_dir)
+    b = G.blast_radius(nodes, p).where(F.size("path_to_nearest_critical") > 1)
+    hops = b.select("node", F.posexplode_outer("path_to_nearest_critical").alias("pos", "hop_src"))
+    hops = hops.withColumn("hop_dst", F.lead("hop_src").over(Window.partitionBy("node").orderBy("pos"))) \
+               .where(F.col("hop_dst").isNotNull())
+    e = edges.select(F.col("src").alias("hop_src"), F.col("dst").alias("hop_dst"), "protocol", "weight")
+    return hops.join(e, ["hop_src", "hop_dst"], "left").select("node", (F.col("pos") + 1).alias("hop"), "hop_src",
+                                                               "hop_dst", "protocol", "weight")
+
+
 QUERIES = {
+    "path_edges": path_edges,
     "graph_paths": graph_paths,
     "blast_radius_nodes": blast_radius_nodes,
     "critical_exposure": critical_exposure,
@@ -94,6 +109,15 @@ best AS (
 )"""
 
 ORACLE = {
+    "path_edges": _WALK + """,
+cp AS (SELECT b.* FROM best b JOIN nodes n ON b.dst = n.id AND n.critical_asset),
+near AS (SELECT src, arg_min(path, (dist, dst)) AS path FROM cp GROUP BY 1),
+hops AS (SELECT src AS node, i AS hop, path[i] AS hop_src, path[i + 1] AS hop_dst
+         FROM (SELECT src, path, generate_subscripts(path, 1) AS i FROM near WHERE len(path) > 1) WHERE i < len(path)),
+pe AS (SELECT src, dst, weight, CASE WHEN src LIKE 'C:%' THEN 'SMB' WHEN src LIKE 'S:%' THEN 'DB'
+                                     WHEN src LIKE 'N:%' THEN 'RDP' WHEN dst LIKE 'N:%' THEN 'RDP' ELSE 'SSH' END AS protocol FROM edges)
+SELECT h.node, CAST(h.hop AS INTEGER) AS hop, h.hop_src, h.hop_dst, pe.protocol, pe.weight
+FROM hops h LEFT JOIN pe ON pe.src = h.hop_src AND pe.dst = h.hop_dst""",
     "graph_paths": _WALK + """
 SELECT src, dst, dist, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM best""",
     "blast_radius_nodes": _WALK + """,

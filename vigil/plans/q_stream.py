@@ -41,7 +41,14 @@ def stream_sealed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.sha2(F.col("payload"), 256) == F.col("sha256")).alias("intact"))
 
 
+def stream_recent_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last-50 buffer kept by a foreachBatch sink, then its false-positive rate."""
+    out = S.run_available_now(_scored(spark, sf_dir), "recent", "append", S.recent_buffer_sink(50))
+    return S.fp_rate_of_buffer(spark.read.parquet(out + "/current"))
+
+
 QUERIES = {
+    "stream_recent_buffer": stream_recent_buffer,
     "stream_severity_counts": stream_severity_counts,
     "stream_decoy_state": stream_decoy_state,
     "stream_tick_counts": stream_tick_counts,
@@ -51,6 +58,11 @@ QUERIES = {
 _PAY = ("concat_ws('|', alert_id, severity, CAST(confidence AS VARCHAR), verification_status, CAST(confidence_score AS VARCHAR), "
         "playbook_state, coalesce(source_ip, ''), coalesce(dest_ip, ''), coalesce(event_type, ''))")
 ORACLE = {
+    "stream_recent_buffer": O.scored_ctes() + """,
+l AS (SELECT * FROM scp ORDER BY "timestamp" DESC, alert_id DESC LIMIT 50)
+SELECT count(*) AS n_recent, count(CASE WHEN verification_status = 'FALSE_POSITIVE' THEN 1 END) AS n_false_positive,
+  round(count(CASE WHEN verification_status = 'FALSE_POSITIVE' THEN 1 END) / greatest(count(*), 1), 3) AS false_positive_rate
+FROM l""",
     "stream_severity_counts": O.scored_ctes() + "\nSELECT severity, count(*) AS n_alerts FROM scp GROUP BY 1",
     "stream_decoy_state": O.scored_ctes() + """
 SELECT decoy_asset_id AS asset_id, count(*) AS trigger_count, strftime(max("timestamp"), '%Y-%m-%d %H:%M:%S') AS last_triggered

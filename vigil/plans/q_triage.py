@@ -113,7 +113,23 @@ def response_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("n_evidence", F.size("evidence_trail")).drop("evidence_trail", "verification_status")
 
 
+def response_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response job: required keys → full response machine → narrative →
+    seal → integrity check, one row per alert (rows missing a key are rejected)."""
+    from vigil.operators.vault import field_payload, seal
+    p = _full_playbooks(spark, sf_dir)
+    ok = F.col("alert_id").isNotNull() & F.col("severity").isNotNull() & F.col("confidence_score").isNotNull()
+    p = p.where(ok).withColumn("final_state", TR.final_state(F.col("actions_log"))) \
+         .withColumn("playbook_narrative", TR.playbook_narrative(F.col("alert_id"), F.col("actions_log")))
+    sealed = seal(p, field_payload(["alert_id", "severity", "final_state", "playbook_narrative"]),
+                  captured_at=F.lit(AS_OF).cast("timestamp"))
+    return sealed.select("alert_id", "final_state", F.size("actions_log").alias("n_actions"), "playbook_narrative",
+                         F.col("sha256").alias("vault_hash"),
+                         (F.sha2(F.col("payload"), 256) == F.col("sha256")).alias("integrity_verified"))
+
+
 QUERIES = {
+    "response_job": response_job,
     "severity_tiers": severity_tiers,
     "severity_distribution": severity_distribution,
     "decoy_hits": decoy_hits,
@@ -184,7 +200,19 @@ m2l AS (
 )"""
 
 
+_JOB = """,
+j AS (SELECT alert_id, severity, log[len(log)].t AS final_state, CAST(len(log) AS INTEGER) AS n_actions,
+        'Incident ' || alert_id || ': Automated response initiated at ' || strftime(ts0 + INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S.%f')
+        || '.' || chr(10) || 'System executed ' || CAST(len(log) AS VARCHAR) || ' response actions.' || chr(10) || 'Final state: '
+        || log[len(log)].t || ' at ' || strftime(ts0 + to_seconds(len(log)), '%Y-%m-%dT%H:%M:%S.%f') || '.' AS playbook_narrative
+      FROM m2l JOIN (SELECT alert_id, "timestamp" AS ts0 FROM alerts_v) USING (alert_id))
+SELECT alert_id, final_state, n_actions, playbook_narrative,
+  sha256(concat_ws('|', alert_id, severity, final_state, playbook_narrative)) AS vault_hash, true AS integrity_verified
+FROM j"""
+
+
 ORACLE = {
+    "response_job": _m2_sql() + _JOB,
     "severity_tiers": _TIERS + "\nSELECT alert_id, event_type, p_attack, base_severity, decoy_asset_id, severity, confidence FROM t",
     "severity_distribution": _TIERS + f""",
 c AS (SELECT severity, count(*) AS n FROM t GROUP BY 1),
