@@ -71,7 +71,24 @@ def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                "hop_dst", "protocol", "weight")
 
 
+def graphml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived topology → GraphML elements in the shared folder → XML reader →
+    per edge protocol and node type: counts, weights and critical flags."""
+    from vigil.session import shared_path
+    from vigil.sources.topology import read_graphml, write_graphml
+    nodes, edges = derived_topology(spark, sf_dir)
+    path = shared_path(spark, "graphml")
+    write_graphml(nodes, edges, path)
+    n, e = read_graphml(spark, path)
+    ek = e.groupBy(F.lit("edge").alias("kind"), F.col("protocol").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
+    nk = n.groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("critical_asset").cast("double")).alias("total"))
+    return ek.unionByName(nk)
+
+
 QUERIES = {
+    "graphml_roundtrip": graphml_roundtrip,
     "path_edges": path_edges,
     "graph_paths": graph_paths,
     "blast_radius_nodes": blast_radius_nodes,
@@ -109,6 +126,12 @@ best AS (
 )"""
 
 ORACLE = {
+    "graphml_roundtrip": "WITH " + _TOPO.strip() + """,
+pe AS (SELECT src, dst, weight, CASE WHEN src LIKE 'C:%' THEN 'SMB' WHEN src LIKE 'S:%' THEN 'DB'
+                                     WHEN src LIKE 'N:%' THEN 'RDP' WHEN dst LIKE 'N:%' THEN 'RDP' ELSE 'SSH' END AS protocol FROM edges)
+SELECT 'edge' AS kind, protocol AS key, count(*) AS n, sum(weight) AS total FROM pe GROUP BY ALL
+UNION ALL
+SELECT 'node', node_type, count(*), sum(CASE WHEN critical_asset THEN 1.0 ELSE 0.0 END) FROM nodes GROUP BY ALL""",
     "path_edges": _WALK + """,
 cp AS (SELECT b.* FROM best b JOIN nodes n ON b.dst = n.id AND n.critical_asset),
 near AS (SELECT src, arg_min(path, (dist, dst)) AS path FROM cp GROUP BY 1),

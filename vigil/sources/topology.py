@@ -58,3 +58,39 @@ def derived_topology(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def with_node_order(nodes: DataFrame) -> DataFrame:
     """Stable node order for tie-breaks: the id itself (lexicographic)."""
     return nodes.withColumn("node_ord", F.col("id"))
+
+
+GRAPHML_ROW_SCHEMA = {
+    "node": "_id string, data array<struct<_VALUE:string,_key:string>>",
+    "edge": "_source string, _target string, data array<struct<_VALUE:string,_key:string>>",
+}
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Write GraphML ``<node>`` / ``<edge>`` elements with Spark's XML writer
+    (``_``-prefixed columns become attributes, ``<data key=…>`` children carry
+    the values); each task writes its own well-formed file, no single-file
+    funnel.  Read back with :func:`read_graphml`."""
+    def data(key, col):
+        return F.struct(col.cast("string").alias("_VALUE"), F.lit(key).alias("_key"))
+    n = nodes.select(F.col("id").alias("_id"),
+                     F.array(data("node_type", F.col("node_type")),
+                             data("critical_asset", F.lower(F.col("critical_asset").cast("string")))).alias("data"))
+    e = edges.select(F.col("src").alias("_source"), F.col("dst").alias("_target"),
+                     F.array(data("weight", F.col("weight")), data("protocol", F.col("protocol"))).alias("data"))
+    n.write.format("xml").option("rootTag", "graph").option("rowTag", "node").save(f"{path}/nodes")
+    e.write.format("xml").option("rootTag", "graph").option("rowTag", "edge").save(f"{path}/edges")
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """GraphML elements → nodes(id, node_type, critical_asset), edges(src, dst, weight, protocol)."""
+    def attr(key):
+        return F.get(F.filter("data", lambda d: d["_key"] == key), 0)["_VALUE"]
+    rd = lambda tag: (spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", "true")
+                      .schema(GRAPHML_ROW_SCHEMA[tag]).load(path))
+    rn, re_ = rd("node"), rd("edge")
+    nodes = rn.select(F.col("_id").alias("id"), attr("node_type").alias("node_type"),
+                      (F.lower(attr("critical_asset")) == "true").alias("critical_asset"))
+    edges = re_.select(F.col("_source").alias("src"), F.col("_target").alias("dst"),
+                       attr("weight").cast("double").alias("weight"), attr("protocol").alias("protocol"))
+    return nodes, edges
