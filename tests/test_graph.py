@@ -51,3 +51,16 @@ def test_critical_side_distances_match(spark, topo):
     scores = {r.node: r.s for r in d.groupBy("node").agg(F.bround(F.sum(1.0 / (F.col("dist") + 1.0)), 4).alias("s")).collect()}
     assert scores["INTERNET_GW"] == pytest.approx(0.1742)
     assert scores["DOMAIN_CTRL"] == pytest.approx(1.1429)
+
+
+def test_graphml_roundtrip(spark, topo):
+    import tempfile
+    from vigil.sources.topology import read_graphml, write_graphml
+    nodes, edges, _ = topo
+    path = tempfile.mkdtemp(prefix="vigil-graphml-") + "/g"
+    write_graphml(nodes, edges, path)
+    n2, e2 = read_graphml(spark, path)
+    assert n2.count() == 18 and e2.count() == 23
+    assert sorted(r.id for r in n2.where("critical_asset").collect()) == ["DB_PROD", "DOMAIN_CTRL"]
+    from vigil.operators import graph as G
+    assert G.shortest_paths(n2, e2).count() == 148

@@ -62,19 +62,43 @@ def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support", "tp")
 
 
+def _label_metrics(pred: DataFrame) -> DataFrame:
+    m = ML.classification_metrics(pred.select(F.col(LABEL).cast("string").alias("y"),
+                                              F.col("prediction").cast("int").cast("string").alias("p")), "y", "p")
+    return m.groupBy().agg(F.max(F.when(F.col("class") == "macro avg", F.col("f1"))).alias("macro_f1"),
+                           F.max(F.when(F.col("class") == "1", F.col("recall"))).alias("recall_1"))
+
+
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit the three candidate models, score the validation split, select."""
+    """Fit the three candidates, score the validation split and select; the
+    selected pipeline is saved to the shared folder, loaded back and scored
+    on the test split; tree models report their top-3 features."""
+    from pyspark.ml import PipelineModel
+    from vigil.session import shared_path
     s = _split(spark, sf_dir)
-    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "validation")
-    _, scored, _ = ML.train_candidates(train, val, NUMERIC, CATEGORICAL, LABEL)
-    rows = []
-    for name, pred in scored.items():
-        m = ML.classification_metrics(pred.select(F.col(LABEL).cast("string").alias("y"),
-                                                  F.col("prediction").cast("int").cast("string").alias("p")), "y", "p")
-        rows.append(m.groupBy().agg(
-            F.max(F.when(F.col("class") == "macro avg", F.col("f1"))).alias("macro_f1"),
-            F.max(F.when(F.col("class") == "1", F.col("recall"))).alias("recall_1")).select(F.lit(name).alias("model"), "*"))
-    return ML.select_model(reduce(DataFrame.unionByName, rows).fillna(0.0, ["recall_1"]))
+    train, val, test = (s.where(F.col("split") == x) for x in ("train", "validation", "test"))
+    fitted, scored, feats = ML.train_candidates(train, val, NUMERIC, CATEGORICAL, LABEL)
+    rows = [_label_metrics(pred).select(F.lit(name).alias("model"), "*") for name, pred in scored.items()]
+    sel = ML.select_model(reduce(DataFrame.unionByName, rows).fillna(0.0, ["recall_1"]))
+    best = sel.where("selected").first()["model"]
+    path = shared_path(spark, "model")
+    fitted[best].write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    params = ML.fit_standardizer(train, NUMERIC)
+    test_m = _label_metrics(loaded.transform(ML.standardize(test, params, "_z"))).first()
+    importances = {}
+    for name, model in fitted.items():
+        est = model.stages[-1]
+        if hasattr(est, "featureImportances"):
+            imp = est.featureImportances.toArray().tolist()
+            top = sorted(zip(feats, imp), key=lambda t: (-t[1], t[0]))[:3]
+            importances[name] = ",".join(f for f, _ in top)
+    imp_map = F.create_map(*[x for k, v in importances.items() for x in (F.lit(k), F.lit(v))]) if importances else None
+    return sel.select(
+        "model", "macro_f1", "recall_1", "tier", "selected",
+        F.when(F.col("selected"), F.lit(test_m["macro_f1"])).alias("test_macro_f1"),
+        F.when(F.col("selected"), F.lit(test_m["recall_1"])).alias("test_recall_1"),
+        (F.try_element_at(imp_map, F.col("model")) if imp_map is not None else F.lit(None).cast("string")).alias("top_features"))
 
 
 QUERIES = {
