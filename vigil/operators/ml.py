@@ -19,16 +19,15 @@ SPLIT_SEED = 42
 
 
 def dataset_report(df: DataFrame, label: str, expected: list[str] | None = None) -> DataFrame:
-    """Rows, columns, null cells, class counts, minority share, oversampling flag."""
+    """Rows, columns, null cells, class counts, minority share, oversampling flag.
+
+    Two aggregation levels (per class, then over the classes), no join."""
     cols = df.columns
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in cols])
+    per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), nulls.cast("bigint").alias("nulls"))
     missing = sorted(set(expected or []) - set(cols))
-    stats = (df.select(F.lit(1).alias("_k"), F.col(label))
-               .groupBy("_k", label).agg(F.count(F.lit(1)).alias("n"))
-               .groupBy("_k").agg(F.min("n").alias("min_class"), F.sum("n").alias("total"),
-                                  F.count(F.lit(1)).alias("n_classes")))
-    b = df.groupBy(F.lit(1).alias("_k")).agg(F.count(F.lit(1)).alias("n_rows"), nulls.cast("bigint").alias("null_cells"))
-    j = b.join(stats, "_k")
+    j = per_class.agg(F.sum("n").cast("bigint").alias("n_rows"), F.sum("nulls").cast("bigint").alias("null_cells"),
+                      F.count(F.lit(1)).alias("n_classes"), F.min("n").alias("min_class"), F.sum("n").alias("total"))
     share = F.col("min_class") / F.col("total")
     return j.select("n_rows", F.lit(len(cols)).alias("n_cols"), "null_cells", "n_classes",
                     F.col("min_class").cast("bigint").alias("min_class_rows"),
@@ -105,7 +104,11 @@ def split_column(key: Column, train: float = 0.70, val: float = 0.85, seed: int
 def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Per-class precision / recall / F1 / support plus accuracy, macro and
     weighted averages (one row each), from one confusion aggregation."""
-    conf = df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    from vigil.session import materialize
+    # the confusion table has at most classes² rows; it is written once so the
+    # derivations below do not re-run the upstream plan
+    conf = materialize(df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p"))
+                         .agg(F.count(F.lit(1)).alias("n")))
     classes = conf.select(F.col("y").alias("cls")).unionByName(conf.select(F.col("p").alias("cls"))).distinct()
     per = (classes.join(conf, F.col("y") == F.col("cls"), "left")
            .groupBy("cls").agg(F.sum(F.when(F.col("p") == F.col("cls"), F.col("n")).otherwise(0)).alias("tp"),
