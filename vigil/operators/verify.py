@@ -174,6 +174,21 @@ def behaviour_entries(source_ip: Column, dest_ip: Column, port: Column, event_ty
     return F.filter(entries, lambda e: e.isNotNull())
 
 
+def behaviour_score(port: Column, event_type: Column, src_priv: Column, dst_priv: Column,
+                    lateral: Column, ext: Column, dom: Column) -> Column:
+    known = F.coalesce(event_type.isin(*[e for e, _, _, _ in dims.EVENT_TYPES]), F.lit(False))
+    service = F.try_element_at(_lit_map(dims.SERVICE_PORTS), port)
+    has_service = port.isNotNull() & (port != 0) & service.isNotNull()
+    exempt = F.coalesce(event_type.isin(*dims.DIRECTION_EXEMPT_EVENTS), F.lit(False))
+    pts = (F.when(known, 10).otherwise(0)
+           + F.when(has_service & ~src_priv & dst_priv, 30).otherwise(0)
+           + F.when(has_service & src_priv & dst_priv & ~exempt, 20).otherwise(0)
+           + F.when(F.size(lateral) > 0, 15).otherwise(0)
+           + F.when(F.size(ext) > 0, 10).otherwise(0)
+           + F.when(F.size(dom) > 0, 10).otherwise(0))
+    return F.least(pts, F.lit(50))
+
+
 def behaviour_filler(source_ip: Column, dest_ip: Column, event_type: Column) -> Column:
     return _ev(2, "no_anomaly", 0, event_type,
                _txt("PASS 2: Behaviour check ", _show(source_ip), " -> ", _show(dest_ip), " on ",
@@ -198,45 +213,71 @@ def intel_probes(source_ip: Column, ext: Column, ti_ranges: list[str] | None = N
         first_range(p["ipl"], risk_arr).alias("risk")))
 
 
-def intel_entries(source_ip: Column, event_type: Column, probes: Column, cves: Column, procs: Column,
-                  sha: Column, bad_cves: list[str] | None = None, bad_processes: list[str] | None = None) -> Column:
-    """Pass-3 evidence entries (without the filler)."""
+def intel_hits(event_type: Column, probes: Column, cves: Column, procs: Column,
+               bad_cves: list[str] | None = None, bad_processes: list[str] | None = None) -> Column:
+    """Pass-3 hits without any text: feed hits (one per address occurrence),
+    counted risk-range hits, bad CVEs and bad processes.
+
+    A risk-range hit is skipped when its address occurs in an earlier entry
+    of the pass.  Entry texts hold only the address, range, label and event
+    between fixed words without digits or dots, so the test runs on the key
+    ``ip cidr [label] event`` instead of the rendered sentence."""
     bad_cves = [c.upper() for c in (dims.TI_BAD_CVES if bad_cves is None else bad_cves)]
     bad_procs = [p.lower() for p in (dims.TI_BAD_PROCESSES if bad_processes is None else bad_processes)]
     evt_s = _show(event_type)
-    ti_entries = F.transform(
-        F.filter(probes, lambda p: p["ti"].isNotNull()),
-        lambda p: _ev(3, "ti_ip", 30, p["ip"],
-                      _txt("PASS 3: \U0001f6a8 TI Match: address ", p["ip"], " lies in feed range ",
-                           p["ti"]["cidr"], "; ", evt_s, " traffic with it is high-confidence malicious.")))
+    ti = F.filter(probes, lambda p: p["ti"].isNotNull())
+    ti_keys = F.transform(ti, lambda p: F.concat_ws(" ", p["ip"], p["ti"]["cidr"], evt_s))
+    risk_t = "struct<keys:array<string>,hits:array<struct<ip:string,cidr:string,label:string>>>"
+    init = F.struct(ti_keys.alias("keys"),
+                    F.array().cast("array<struct<ip:string,cidr:string,label:string>>").alias("hits")).cast(risk_t)
 
-    # A risk-range entry is skipped when its address text already occurs in an
-    # earlier entry of this pass; entries are added in address order.
     def add_risk(acc, p):
-        entry = _ev(3, "risk_range", 20, p["ip"],
-                    _txt("PASS 3: ⚠ Address ", p["ip"], " is in ", p["risk"]["label"], " (",
-                         p["risk"]["cidr"], "), often used for ", evt_s, " campaigns."))
-        seen = F.exists(acc, lambda e: F.contains(e["text"], p["ip"]))
-        return F.when(seen, acc).otherwise(F.concat(acc, F.array(entry)))
+        seen = F.exists(acc["keys"], lambda k: F.contains(k, p["ip"]))
+        hit = F.struct(p["ip"].alias("ip"), p["risk"]["cidr"].alias("cidr"), p["risk"]["label"].alias("label"))
+        grown = F.struct(F.concat(acc["keys"], F.array(F.concat_ws(" ", p["ip"], p["risk"]["label"], p["risk"]["cidr"], evt_s)))
+                         .alias("keys"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+        return F.when(seen, acc).otherwise(grown)
 
-    with_risk = F.aggregate(F.filter(probes, lambda p: p["risk"].isNotNull()), ti_entries, add_risk)
+    risk = F.aggregate(F.filter(probes, lambda p: p["risk"].isNotNull()), init, add_risk)
+    return F.struct(F.transform(ti, lambda p: F.struct(p["ip"].alias("ip"), p["ti"]["cidr"].alias("cidr"))).alias("ti"),
+                    risk["hits"].alias("risk"),
+                    F.filter(cves, lambda c: F.upper(c).isin(*bad_cves)).alias("cve"),
+                    F.filter(procs, lambda x: F.lower(x).isin(*bad_procs)).alias("process"))
+
+
+def intel_score(hits: Column, sha: Column) -> Column:
+    raw = (F.size(hits["ti"]) * 30 + F.size(hits["risk"]) * 20 + F.size(hits["cve"]) * 30
+           + F.size(hits["process"]) * 30 + F.when(F.size(sha) > 0, 10).otherwise(0))
+    return F.least(raw, F.lit(60))
+
+
+def intel_entries(source_ip: Column, event_type: Column, hits: Column, sha: Column) -> Column:
+    """Pass-3 evidence entries (without the filler), from the hit lists."""
+    evt_s = _show(event_type)
+    ti_entries = F.transform(
+        hits["ti"], lambda h: _ev(3, "ti_ip", 30, h["ip"],
+                                  _txt("PASS 3: \U0001f6a8 TI Match: address ", h["ip"], " lies in feed range ",
+                                       h["cidr"], "; ", evt_s, " traffic with it is high-confidence malicious.")))
+    risk_entries = F.transform(
+        hits["risk"], lambda h: _ev(3, "risk_range", 20, h["ip"],
+                                    _txt("PASS 3: ⚠ Address ", h["ip"], " is in ", h["label"], " (",
+                                         h["cidr"], "), often used for ", evt_s, " campaigns.")))
     cve_entries = F.transform(
-        F.filter(cves, lambda c: F.upper(c).isin(*bad_cves)),
-        lambda c: _ev(3, "ti_cve", 30, c,
-                      _txt("PASS 3: \U0001f6a8 CVE Match: ", c, " is a weaponised exploit in the feed, linked to ",
-                           evt_s, " chains.")))
+        hits["cve"], lambda c: _ev(3, "ti_cve", 30, c,
+                                   _txt("PASS 3: \U0001f6a8 CVE Match: ", c, " is a weaponised exploit in the feed, linked to ",
+                                        evt_s, " chains.")))
     proc_entries = F.transform(
-        F.filter(procs, lambda p: F.lower(p).isin(*bad_procs)),
-        lambda p: _ev(3, "ti_process", 30, p,
-                      _txt("PASS 3: \U0001f6a8 Malware tool match: process \"", p,
-                           "\" is a known offensive tool; run during ", evt_s, " on ", _show(source_ip), ".")))
+        hits["process"], lambda p: _ev(3, "ti_process", 30, p,
+                                       _txt("PASS 3: \U0001f6a8 Malware tool match: process \"", p,
+                                            "\" is a known offensive tool; run during ", evt_s, " on ",
+                                            _show(source_ip), ".")))
     sha_entries = F.when(
         F.size(sha) > 0,
         F.array(_ev(3, "sha256", 10, F.array_join(F.slice(sha, 1, 2), ", "),
                     _txt("PASS 3: SHA-256 values in the payload [", F.array_join(F.slice(sha, 1, 2), ", "),
                          "...] call for sandbox detonation.")))
     ).otherwise(empty_evidence())
-    return F.concat(with_risk, cve_entries, proc_entries, sha_entries)
+    return F.concat(ti_entries, risk_entries, cve_entries, proc_entries, sha_entries)
 
 
 def intel_filler(event_type: Column) -> Column:
@@ -282,17 +323,21 @@ def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col:
     df = (df.withColumn("_src_priv", src_priv).withColumn("_dst_priv", dst_priv)
             .withColumn("_probes", intel_probes(c("source_ip"), c("_ext"), ti_ranges, risk_ranges)))
     s1, e1 = structural_pass(c("structural_gaps"), c("source_ip"), c("dest_ip"), c("port"), c("event_type"))
-    df = (df.withColumn("c1", s1).withColumn("e1", e1)
-            .withColumn("_e2", behaviour_entries(c("source_ip"), c("dest_ip"), c("port"), c("event_type"),
-                                                 c("_src_priv"), c("_dst_priv"), c("_lat"), c("_ext"), c("_dom")))
-            .withColumn("_e3", intel_entries(c("source_ip"), c("event_type"), c("_probes"), c("_cve"),
-                                             c("_proc"), c("_sha"), bad_cves, bad_processes)))
-    df = (df.withColumn("c2", F.least(_sum_weights(c("_e2")), F.lit(50)))
-            .withColumn("c3", F.least(_sum_weights(c("_e3")), F.lit(60)))
-            .withColumn("e2", F.when(F.size(c("_e2")) > 0, c("_e2"))
+    df = (df.withColumn("_hits3", intel_hits(c("event_type"), c("_probes"), c("_cve"), c("_proc"), bad_cves, bad_processes))
+            .withColumn("c1", s1)
+            .withColumn("c2", behaviour_score(c("port"), c("event_type"), c("_src_priv"), c("_dst_priv"),
+                                              c("_lat"), c("_ext"), c("_dom")))
+            .withColumn("c3", intel_score(c("_hits3"), c("_sha"))))
+    # Evidence is built from the same flags and hit lists; when only scores
+    # are selected the optimizer prunes all of it.
+    e2 = behaviour_entries(c("source_ip"), c("dest_ip"), c("port"), c("event_type"),
+                           c("_src_priv"), c("_dst_priv"), c("_lat"), c("_ext"), c("_dom"))
+    e3 = intel_entries(c("source_ip"), c("event_type"), c("_hits3"), c("_sha"))
+    df = (df.withColumn("e1", e1)
+            # every rule weight is positive: a pass has entries exactly when it scores
+            .withColumn("e2", F.when(c("c2") > 0, e2)
                         .otherwise(F.array(behaviour_filler(c("source_ip"), c("dest_ip"), c("event_type")))))
-            .withColumn("e3", F.when(F.size(c("_e3")) > 0, c("_e3"))
-                        .otherwise(F.array(intel_filler(c("event_type"))))))
+            .withColumn("e3", F.when(c("c3") > 0, e3).otherwise(F.array(intel_filler(c("event_type"))))))
     total = F.least(c("c1") + c("c2") + c("c3") + boost_c, F.lit(100))
     out = (df.withColumn("confidence_score", total.cast("int"))
              .withColumn("verification_status", status_of(c("confidence_score")))
