@@ -38,3 +38,10 @@ def test_model_selection_rule(spark):
     m = spark.createDataFrame([("a", 0.9, 0.6), ("b", 0.86, 0.8), ("c", 0.5, 0.99)], "model string, macro_f1 double, recall_1 double")
     sel = [r.model for r in ML.select_model(m).where("selected").collect()]
     assert sel == ["b"]
+
+
+def test_median_impute(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (None,), (4.0,), (4.0,)], "x double")
+    med = ML.fit_medians(df, ["x"])
+    assert med == {"x": 3.0}
+    assert [r.x for r in ML.impute_medians(df, med).collect()] == [1.0, 2.0, 3.0, 4.0, 4.0]

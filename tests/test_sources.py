@@ -45,3 +45,25 @@ def test_range_hits_levels(spark):
                                   "id int, ip string")
     got = {r.id: r.cidr for r in range_hits(addrs, ranges, "ip", keys=["id"]).collect()}
     assert got == {1: "10.0.0.0/8", 2: "10.0.0.0/8", 3: "0.0.0.0/1"}
+
+
+def test_encoding_detection_and_labels(spark):
+    d = tempfile.mkdtemp(prefix="vigil-enc-")
+    with open(os.path.join(d, "a.csv"), "wb") as f:
+        f.write("name,evil\ncaf\xe9,1\n".encode("latin-1"))
+    assert L.detect_encoding(spark, d) == "ISO-8859-1"
+    d2 = tempfile.mkdtemp(prefix="vigil-enc-")
+    with open(os.path.join(d2, "a.csv"), "wb") as f:
+        f.write("name,sus\ncafé,0\n".encode("utf-8"))
+    assert L.detect_encoding(spark, d2) == "UTF-8"
+    df = L.read_csv_logs(spark, [d], encoding="ISO-8859-1")
+    assert [r.name for r in df.collect()] == ["café"]
+    assert [r.label for r in L.derive_label(df).collect()] == [1]
+    assert [r.label for r in L.derive_label(L.read_csv_logs(spark, [d2])).collect()] == [0]
+
+
+def test_file_report(spark):
+    d = tempfile.mkdtemp(prefix="vigil-files-")
+    spark.range(10).write.parquet(d + "/t")
+    rep = L.file_report(spark.read.parquet(d + "/t")).collect()
+    assert sum(r.n_rows for r in rep) == 10 and all(r.file_size > 0 for r in rep)

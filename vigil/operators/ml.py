@@ -62,6 +62,22 @@ def exact_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
                                     F.max(F.when(F.col("is_hi"), F.col("v")))) / 2.0).alias("median"))
 
 
+def fit_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact median per numeric column (one value each reaches the driver)."""
+    out = {}
+    for c in cols:
+        r = exact_median(df.withColumn("_all", F.lit(1)), c, ["_all"]).first()
+        out[c] = r["median"] if r else None
+    return out
+
+
+def impute_medians(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
+    for c, m in medians.items():
+        if m is not None:
+            df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(m)))
+    return df
+
+
 def fit_standardizer(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column (zero deviation → 1)."""
     aggs = []
@@ -162,6 +178,8 @@ def train_candidates(train: DataFrame, validation: DataFrame, numeric: list[str]
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
+    med = fit_medians(train, numeric)
+    train, validation = impute_medians(train, med), impute_medians(validation, med)
     params = fit_standardizer(train, numeric)
     tr = standardize(train, params, "_z")
     va = standardize(validation, params, "_z")

@@ -14,6 +14,36 @@ from pyspark.sql import functions as F
 from vigil.functions.net import ipv4_shape_ok
 
 
+ENCODINGS = ["UTF-8", "ISO-8859-1", "windows-1252"]
+
+
+def detect_encoding(spark: SparkSession, path: str, sample_lines: int = 10000) -> str:
+    """First encoding in ``ENCODINGS`` whose decoding of a sample of lines
+    yields no replacement characters (only the sample reaches the driver)."""
+    for enc in ENCODINGS[:-1]:
+        sample = spark.read.option("encoding", enc).option("lineSep", "\n").csv(path).limit(sample_lines)
+        text = F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in sample.columns])
+        bad = sample.where(F.instr(text, "\ufffd") > 0).limit(1).count()
+        if bad == 0:
+            return enc
+    return ENCODINGS[-1]
+
+
+def derive_label(df: DataFrame) -> DataFrame:
+    """Training label by column presence: ``label`` if present, else ``evil``,
+    else ``sus``."""
+    for c in ("label", "evil", "sus"):
+        if c in df.columns:
+            return df.withColumn("label", F.col(c).try_cast("double").cast("int"))
+    return df.withColumn("label", F.lit(None).cast("int"))
+
+
+def file_report(df: DataFrame) -> DataFrame:
+    """Per input file: rows and size in bytes (from the ``_metadata`` column)."""
+    return (df.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
+              .groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rows"), F.max("file_size").alias("file_size")))
+
+
 def read_csv_logs(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
     """Read CSV files (header, all columns as strings), trim header names and
     keep the source file.  Missing paths are skipped; files are unioned by
