@@ -45,3 +45,10 @@ def test_median_impute(spark):
     med = ML.fit_medians(df, ["x"])
     assert med == {"x": 3.0}
     assert [r.x for r in ML.impute_medians(df, med).collect()] == [1.0, 2.0, 3.0, 4.0, 4.0]
+
+
+def test_category_codes_distributed(spark):
+    vals = [f"v{i:04d}" for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in vals * 2], "c string")
+    got = {r.value: r.code for r in ML.category_codes(df, "c", partitions=7).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(vals))}

@@ -97,11 +97,23 @@ def standardize(df: DataFrame, params: dict[str, tuple[float, float]], suffix: s
     return df
 
 
-def category_codes(df: DataFrame, col: str) -> DataFrame:
-    """Alphabetical code per category value (0-based), as a table."""
-    d = df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-    return d.select(F.lit(col).alias("feature"), "value",
-                    (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+def category_codes(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
+    """Alphabetical code per category value (0-based), as a table.
+
+    A distributed dense rank: distinct values are range-partitioned (equal
+    values share a partition, partitions are ordered), each partition is
+    counted, and a code is the partition's offset plus the rank inside it.
+    Only the per-partition counts (one row per partition) are combined, so no
+    task ever holds the whole vocabulary."""
+    spark = df.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism
+    d = (df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+           .repartitionByRange(n, "value").withColumn("_pid", F.spark_partition_id()))
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    local = d.withColumn("_r", F.row_number().over(Window.partitionBy("_pid").orderBy("value")) - 1)
+    return (local.join(F.broadcast(offsets), "_pid")
+                 .select(F.lit(col).alias("feature"), "value", (F.col("_off") + F.col("_r")).cast("int").alias("code")))
 
 
 def hash_fraction(key: Column, seed: int = SPLIT_SEED) -> Column:
