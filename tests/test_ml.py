@@ -52,3 +52,14 @@ def test_category_codes_distributed(spark):
     df = spark.createDataFrame([(v,) for v in vals * 2], "c string")
     got = {r.value: r.code for r in ML.category_codes(df, "c", partitions=7).collect()}
     assert got == {v: i for i, v in enumerate(sorted(vals))}
+
+
+def test_exact_median_matches_pandas(spark):
+    import random
+    import pandas as pd
+    random.seed(3)
+    rows = [("hot", random.randint(0, 400)) for _ in range(3000)] + [("cold", random.randint(0, 50)) for _ in range(101)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {r.g: r.median for r in ML.exact_median(df, "v", ["g"], partitions=5).collect()}
+    exp = pd.DataFrame(rows, columns=["g", "v"]).groupby("g")["v"].median().to_dict()
+    assert got == exp

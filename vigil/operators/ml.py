@@ -42,22 +42,30 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
     return c.select(label, "n", (F.col("n") * 100.0 / total).alias("pct"))
 
 
-def exact_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def exact_median(df: DataFrame, value: str, by: list[str], partitions: int | None = None) -> DataFrame:
     """Exact median (midpoint of the two middle values) per group.
 
-    Values are first counted per (group, value) — a hot group spreads over
-    many tasks by value — so the per-group step only sees distinct values."""
+    Values are counted per (group, value), so a hot group spreads over tasks
+    by value.  The distinct pairs are range-partitioned by (group, value);
+    each partition's share of a group gets an offset from a small
+    (group × partition) table, and cumulative counts are computed inside
+    the partition.  No task ever holds a whole group."""
+    spark = df.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism
     vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    cum = vc.withColumn("hi", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-            .withColumn("lo", F.col("hi") - F.col("c") + 1) \
-            .withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    # positions of the middle element(s), 1-based
+    p = vc.repartitionByRange(n, *by, value).withColumn("_pid", F.spark_partition_id())
+    gp = p.groupBy(*by, "_pid").agg(F.sum("c").alias("_pc"))
+    gp = (gp.withColumn("_off", F.sum("_pc").over(Window.partitionBy(*by).orderBy("_pid")) - F.col("_pc"))
+            .withColumn("n", F.sum("_pc").over(Window.partitionBy(*by))).drop("_pc"))
+    wl = Window.partitionBy("_pid", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = (p.withColumn("_local", F.sum("c").over(wl)).join(gp, [*by, "_pid"])
+             .withColumn("hi", F.col("_off") + F.col("_local")).withColumn("lo", F.col("hi") - F.col("c") + 1))
     lo_pos = F.floor((F.col("n") + 1) / 2)
     hi_pos = F.ceil((F.col("n") + 1) / 2)
     picks = cum.select(*by, F.col(value).cast("double").alias("v"),
                        ((F.col("lo") <= lo_pos) & (lo_pos <= F.col("hi"))).alias("is_lo"),
-                       ((F.col("lo") <= hi_pos) & (hi_pos <= F.col("hi"))).alias("is_hi"))
+                       ((F.col("lo") <= hi_pos) & (hi_pos <= F.col("hi"))).alias("is_hi")) \
+        .where(F.col("is_lo") | F.col("is_hi"))
     return picks.groupBy(*by).agg(((F.max(F.when(F.col("is_lo"), F.col("v"))) +
                                     F.max(F.when(F.col("is_hi"), F.col("v")))) / 2.0).alias("median"))
 
