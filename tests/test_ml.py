@@ -63,3 +63,13 @@ def test_exact_median_matches_pandas(spark):
     got = {r.g: r.median for r in ML.exact_median(df, "v", ["g"], partitions=5).collect()}
     exp = pd.DataFrame(rows, columns=["g", "v"]).groupby("g")["v"].median().to_dict()
     assert got == exp
+
+
+def test_running_totals(spark):
+    from vigil.functions.ordered import running_totals
+    df = spark.createDataFrame([(i, i % 3) for i in range(200)], "k int, v int")
+    got = {r.k: (r.idx, r.cum_v) for r in running_totals(df, "k", ["v"], partitions=6).collect()}
+    acc = 0
+    for k in range(200):
+        acc += k % 3
+        assert got[k] == (k, acc)

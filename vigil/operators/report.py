@@ -49,22 +49,29 @@ def recent(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def severity_ticks(df: DataFrame, tick: str = "5 seconds", history: int = 60) -> DataFrame:
-    """Per tick: counts per tier, total, highest tier present, per-tier growth
-    since the previous tick (floored at 0) and a rolling total of ``history``
-    ticks."""
+    """Per tick: counts per tier (= the growth of the cumulative counters
+    between two polls), total, highest tier present, cumulative counters,
+    and the total over the last ``history`` ticks with alerts.
+
+    Ticks are aggregated first (partial aggregation); the running totals use
+    a distributed global order, and the ``history`` window is an equi-join on
+    the tick ordinal, so no step puts all ticks into one task."""
+    from vigil.functions.ordered import running_totals
     counts = [F.count(F.when(F.col("severity") == s, 1)).alias(f"n_{s.lower()}") for s in SEVERITIES]
     t = df.groupBy(F.window("timestamp", tick).start.alias("tick_ts")).agg(*counts, F.count(F.lit(1)).alias("n_total"))
-    w = Window.orderBy("tick_ts")
+    cols = [f"n_{s.lower()}" for s in SEVERITIES] + ["n_total"]
+    r = running_totals(t, "tick_ts", cols)
+    back = r.select((F.col("idx") + history).alias("idx"), F.col("cum_n_total").alias("_cum_before"))
+    r = r.join(back, "idx", "left")
     maxsev = None
     for s in reversed(SEVERITIES[1:]):
         cond = F.col(f"n_{s.lower()}") > 0
         maxsev = F.when(cond, F.lit(s)) if maxsev is None else maxsev.when(cond, F.lit(s))
     maxsev = maxsev.otherwise(F.lit("BENIGN"))
-    deltas = [F.greatest(F.col(f"n_{s.lower()}") - F.coalesce(F.lag(f"n_{s.lower()}").over(w), F.lit(0)), F.lit(0))
-              .alias(f"d_{s.lower()}") for s in SEVERITIES]
-    return t.select(F.date_format("tick_ts", "yyyy-MM-dd HH:mm:ss").alias("tick"),
-                    *[f"n_{s.lower()}" for s in SEVERITIES], "n_total", maxsev.alias("max_severity"), *deltas,
-                    F.sum("n_total").over(w.rowsBetween(-(history - 1), 0)).cast("bigint").alias(f"n_last{history}"))
+    return r.select(F.date_format("tick_ts", "yyyy-MM-dd HH:mm:ss").alias("tick"), *cols, maxsev.alias("max_severity"),
+                    *[F.col(f"cum_n_{s.lower()}").cast("bigint").alias(f"cum_{s.lower()}") for s in SEVERITIES],
+                    (F.col("cum_n_total") - F.coalesce(F.col("_cum_before"), F.lit(0))).cast("bigint")
+                    .alias(f"n_last{history}"))
 
 
 def severity_counts(df: DataFrame) -> DataFrame:

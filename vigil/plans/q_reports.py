@@ -55,8 +55,8 @@ _S = O.scored_ctes()
 _SEVS = [n for n, _ in dims.SEVERITY_TIERS]
 _PIVOT = ", ".join(f"count(CASE WHEN severity = '{s}' THEN 1 END) AS n_{s.lower()}" for s in _SEVS)
 _MAXSEV = ("CASE " + " ".join(f"WHEN n_{s.lower()} > 0 THEN '{s}'" for s in reversed(_SEVS)) + " ELSE 'BENIGN' END")
-_DELTAS = ", ".join(f"greatest(n_{s.lower()} - coalesce(lag(n_{s.lower()}) OVER (ORDER BY tick), 0), 0) AS d_{s.lower()}"
-                    for s in _SEVS)
+_CUMS = ", ".join(f"CAST(sum(n_{s.lower()}) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_{s.lower()}"
+                  for s in _SEVS)
 
 ORACLE = {
     "stats_totals": _S + """
@@ -78,7 +78,7 @@ FROM scp ORDER BY "timestamp" DESC, alert_id DESC LIMIT 5""",
     "severity_ticks": _S + f""",
 t AS (SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS tick, {_PIVOT}, count(*) AS n_total FROM scp GROUP BY 1)
 SELECT strftime(tick, '%Y-%m-%d %H:%M:%S') AS tick, {', '.join('n_' + s.lower() for s in _SEVS)}, n_total,
-  {_MAXSEV} AS max_severity, {_DELTAS},
+  {_MAXSEV} AS max_severity, {_CUMS},
   CAST(sum(n_total) OVER (ORDER BY tick ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS BIGINT) AS n_last60
 FROM t""",
     "dominant_severity": _S + f""",
