@@ -116,17 +116,23 @@ def ioc_struct(text: Column, process: Column | None = None) -> Column:
     return ioc_struct_from_matches(ioc_matches(text), process)
 
 
-def with_ioc_struct(df, text_col: str = "raw_log", process_col: str | None = None, out: str = "ioc"):
+def with_ioc_struct(df, text_col: str = "raw_log", process_col: str | None = None, out: str = "ioc",
+                    fenced: bool = False):
     """Add a struct column of indicator lists.  The classified match list is
     its own projection, so the regex scan and the classification run once per
     row (the optimizer does not inline an expensive expression referenced
     several times)."""
     proc = F.col(process_col) if process_col and process_col in df.columns else None
     tagged = F.transform(ioc_matches(F.col(text_col)), lambda x: F.struct(x.alias("v"), kind_code(x).alias("k")))
-    from vigil.functions.fence import fence
     x = (df.withColumn("_ioc_tagged", tagged)
            .withColumn(out, _ioc_struct_from_tagged(F.col("_ioc_tagged"), proc))
            .drop("_ioc_tagged"))
+    if not fenced:
+        # unfenced, the whole extraction is pruned when nothing reads it
+        return x
+    # fenced: a later filter on the indicators cannot be pushed below (and so
+    # duplicate) the scan; the fence itself is never pruned
+    from vigil.functions.fence import fence
     return fence(x, [out])
 
 

@@ -16,6 +16,8 @@ computes from the critical side on reversed edges (n × |critical| rows).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,13 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     """All shortest weighted paths from ``sources`` (default: every node).
 
     nodes(id), edges(src, dst, weight) → (src, dst, dist, hops, path array,
-    path_key).  A node reaches itself with distance 0."""
+    path_key).  A node reaches itself with distance 0.
+
+    Each round's improvements are kept as a checkpointed delta; a candidate
+    counts as improved when no existing row for its (src, dst) is at least as
+    good (an anti-join on the pair with a distance / path condition), so the
+    path table is never rewritten between rounds.  The best row per pair is
+    resolved once at the end."""
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"),
@@ -48,9 +56,10 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     if e.count() <= EDGE_BROADCAST_MAX_ROWS:
         e = F.broadcast(e)
     starts = (sources if sources is not None else nodes).select(F.col("id").alias("src"))
-    paths = starts.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"),
-                          F.col("src").alias("path_key"), F.array(F.col("src")).alias("path")).checkpoint()
-    frontier = paths
+    base = starts.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"),
+                         F.col("src").alias("path_key"), F.array(F.col("src")).alias("path")).checkpoint()
+    deltas = [base]
+    frontier = base
     limit = max_rounds if max_rounds is not None else nodes.count()
     for _ in range(limit):
         cand = (frontier.join(e, frontier["dst"] == e["e_src"])
@@ -59,16 +68,18 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
                         F.concat(F.col("path_key"), F.lit(PATH_SEP), F.col("e_dst")).alias("path_key"),
                         F.concat(F.col("path"), F.array(F.col("e_dst"))).alias("path")))
         best = _best(cand)
-        old = paths.select("src", "dst", F.col("dist").alias("o_dist"), F.col("path_key").alias("o_key"))
-        improved = (best.join(old, ["src", "dst"], "left")
-                    .where(F.col("o_dist").isNull() | (F.col("dist") < F.col("o_dist"))
-                           | ((F.col("dist") == F.col("o_dist")) & (F.col("path_key") < F.col("o_key"))))
-                    .select("src", "dst", "dist", "path_key", "path")).checkpoint()
+        known = reduce(DataFrame.unionByName, deltas).select(
+            F.col("src").alias("o_src"), F.col("dst").alias("o_dst"), F.col("dist").alias("o_dist"),
+            F.col("path_key").alias("o_key"))
+        at_least_as_good = ((best["src"] == known["o_src"]) & (best["dst"] == known["o_dst"])
+                            & ((known["o_dist"] < best["dist"])
+                               | ((known["o_dist"] == best["dist"]) & (known["o_key"] <= best["path_key"]))))
+        improved = best.join(known, at_least_as_good, "left_anti").checkpoint()
         if improved.isEmpty():
             break
-        paths = (paths.join(improved.select("src", "dst"), ["src", "dst"], "left_anti")
-                 .unionByName(improved)).checkpoint()
+        deltas.append(improved)
         frontier = improved
+    paths = _best(reduce(DataFrame.unionByName, deltas)).checkpoint()
     return paths.withColumn("hops", F.size("path") - 1)
 
 

@@ -15,7 +15,7 @@ LISTED = ["sha256", "md5", "cve", "url", "ipv6", "ipv4", "lateral_movement", "do
 
 
 def _indicators(df: DataFrame, id_col: str) -> DataFrame:
-    x = with_ioc_struct(df, "text", out="ioc")
+    x = with_ioc_struct(df, "text", out="ioc", fenced=True)
     any_kind = reduce(lambda a, b: a | b, [F.size(F.col("ioc")[k]) > 0 for k in LISTED])
     return x.where(any_kind).select(
         F.col(id_col), *[F.array_join(F.col("ioc")[k], ",").alias(k) for k in LISTED],
