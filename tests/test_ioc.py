@@ -52,3 +52,37 @@ def test_unicode_word_boundary(spark):
     # a letter glued to the address is a word character: no match
     got = _iocs(spark, [(1, "é1.2.3.4 and 5.6.7.8")])[1]
     assert got["ipv4"] == ["5.6.7.8"]
+
+
+def test_matches_python_group_semantics(spark):
+    """Random token mixes: per-kind lists equal Python's group-by-alternative
+    extraction with the same pattern (first-seen order, distinct)."""
+    import random
+    import re
+
+    from vigil.functions.ioc import KIND_PATTERNS, KINDS
+
+    pat = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KIND_PATTERNS))
+    tokens = ["10.0.0.1", "8.8.8.8", "999.1.1.1", "1.2.3.4:8080", "evil.com", "a-b.evil.ru", "CVE-2021-44228",
+              "CVE-x.com", "httpbin.org", "http://x.io/p?q=1", "https://a.b.cn/", "port=443", "x:22", "ab:cd",
+              "d41d8cd98f00b204e9800998ecf8427e", "a" * 64, "fe80:0:0:0:202:b3ff:fe1e:8329", "1.2.3", "x.co",
+              "0.0.0.0", "255.255.255.255", "12:34:56", "-bad-.com", "mail.example.de,", "(10.1.1.1)", "'q.uk'"]
+    random.seed(7)
+    texts = [(i, " ".join(random.choice(tokens) for _ in range(random.randint(1, 12)))) for i in range(300)]
+    df = spark.createDataFrame(texts, "id int, raw_log string")
+    from vigil.functions.ioc import with_ioc_struct
+    got = {r.id: r.ioc for r in with_ioc_struct(df, "raw_log", out="ioc").select("id", "ioc").collect()}
+    for i, t in texts:
+        exp = {k: [] for k in KINDS}
+        for m in pat.finditer(t):
+            k = m.lastgroup
+            if m.group(k) not in exp[k]:
+                exp[k].append(m.group(k))
+        g = got[i]
+        for k in KINDS:
+            have = list(g[k]) if k != "ipv4" else list(g["ipv4"]) + list(g["lateral_movement"])
+            want = exp[k]
+            if k == "ipv4":
+                assert sorted(have) == sorted(want), (t, k)
+            else:
+                assert have == want, (t, k, have, want)
