@@ -73,3 +73,16 @@ def test_running_totals(spark):
     for k in range(200):
         acc += k % 3
         assert got[k] == (k, acc)
+
+
+def test_single_class_augment(spark):
+    df = spark.createDataFrame([(i, float(i), 0) for i in range(300)], "k int, x double, y int")
+    out = ML.single_class_augment(df, "k", ["x"], "y")
+    rows = out.collect()
+    syn = [r for r in rows if r.y == 1]
+    assert len(rows) == 300 + 15 and len(syn) == 15
+    assert all(abs(r.x - r.k) < 1.0 for r in syn)          # noise is N(0, 0.1) around the drawn row
+    again = sorted((r.k, r.x) for r in ML.single_class_augment(df.repartition(5), "k", ["x"], "y").collect() if r.y == 1)
+    assert again == sorted((r.k, r.x) for r in syn)         # independent of partitioning
+    small = spark.createDataFrame([(i, 1.0, 0) for i in range(20)], "k int, x double, y int")
+    assert ML.single_class_augment(small, "k", ["x"], "y").where("y = 1").count() == 10

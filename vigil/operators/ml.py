@@ -137,6 +137,41 @@ def split_column(key: Column, train: float = 0.70, val: float = 0.85, seed: int
     return F.when(f < train, F.lit("train")).when(f < val, F.lit("validation")).otherwise(F.lit("test"))
 
 
+def _hash_uniform(*cols: Column, salt: str) -> Column:
+    """Deterministic uniform in (0, 1) from a 64-bit hash (independent of partitioning)."""
+    h = F.pmod(F.xxhash64(*cols, F.lit(salt)), F.lit(2147483647).cast("bigint"))
+    return (h.cast("double") + 1.0) / 2147483648.0
+
+
+def single_class_augment(train: DataFrame, key: str, numeric: list[str], label: str,
+                         share: float = 0.05, minimum: int = 10, noise_sd: float = 0.1,
+                         seed: int = SPLIT_SEED) -> DataFrame:
+    """Fallback when the training split holds one class: draw max(int(share·n),
+    minimum) rows with replacement, add N(0, noise_sd) to the numeric
+    features, label them 1 and append them.
+
+    Rows get a global ordinal (distributed, no single-partition window); each
+    draw is a hashed ordinal joined back on equality; the noise is Box-Muller
+    over hash-derived uniforms, so the result does not depend on partitioning."""
+    from vigil.functions.ordered import running_totals
+    spark = train.sparkSession
+    n = train.count()
+    n_syn = max(int(n * share), minimum)
+    indexed = running_totals(train, key, [])
+    draws = spark.range(n_syn).select(F.col("id").alias("_draw"),
+                                      F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n)).alias("idx"))
+    syn = draws.join(indexed, "idx")
+    for c in numeric:
+        u1 = _hash_uniform(F.col("_draw"), salt=f"{seed}:{c}:1")
+        u2 = _hash_uniform(F.col("_draw"), salt=f"{seed}:{c}:2")
+        z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
+        syn = syn.withColumn(c, F.col(c).cast("double") + F.lit(noise_sd) * z)
+    syn = syn.withColumn(label, F.lit(1).cast(dict(train.dtypes)[label]))
+    out_cols = train.columns
+    return (train.select(*[F.col(c).cast("double") if c in numeric else F.col(c) for c in out_cols])
+                 .unionByName(syn.select(*out_cols)))
+
+
 def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Per-class precision / recall / F1 / support plus accuracy, macro and
     weighted averages (one row each), from one confusion aggregation."""
@@ -191,7 +226,7 @@ def select_model(metrics: DataFrame) -> DataFrame:
 
 
 def train_candidates(train: DataFrame, validation: DataFrame, numeric: list[str], categorical: list[str],
-                     label: str, seed: int = SPLIT_SEED):
+                     label: str, seed: int = SPLIT_SEED, key_col: str | None = None):
     """Fit random forest (100 trees), gradient boosting (30 rounds, depth 4) and
     logistic regression (≤ 3000 iterations) on scaled numerics + category codes."""
     from pyspark.ml import Pipeline
@@ -200,6 +235,8 @@ def train_candidates(train: DataFrame, validation: DataFrame, numeric: list[str]
 
     med = fit_medians(train, numeric)
     train, validation = impute_medians(train, med), impute_medians(validation, med)
+    if train.select(label).distinct().limit(2).count() < 2 and key_col is not None:
+        train = single_class_augment(train, key_col, numeric, label, seed=seed)
     params = fit_standardizer(train, numeric)
     tr = standardize(train, params, "_z")
     va = standardize(validation, params, "_z")

@@ -77,7 +77,7 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.session import shared_path
     s = _split(spark, sf_dir)
     train, val, test = (s.where(F.col("split") == x) for x in ("train", "validation", "test"))
-    fitted, scored, feats = ML.train_candidates(train, val, NUMERIC, CATEGORICAL, LABEL)
+    fitted, scored, feats = ML.train_candidates(train, val, NUMERIC, CATEGORICAL, LABEL, key_col="doc_id")
     rows = [_label_metrics(pred).select(F.lit(name).alias("model"), "*") for name, pred in scored.items()]
     sel = ML.select_model(reduce(DataFrame.unionByName, rows).fillna(0.0, ["recall_1"]))
     best = sel.where("selected").first()["model"]
