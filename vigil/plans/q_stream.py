@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigil.plans import oracle_sql as O
 from vigil.session import apply_session_defaults
-from vigil.sources.testviews import AS_OF
+from vigil.sources.testviews import AS_OF, alerts_view
 from vigil.streaming import alerts_stream as S
 
 
@@ -47,7 +47,16 @@ def stream_recent_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fp_rate_of_buffer(spark.read.parquet(out + "/current"))
 
 
+def stream_repeat_attackers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeat attackers per /16 with keyed streaming state."""
+    apply_session_defaults(spark)
+    src = alerts_view(S.event_stream(spark, sf_dir))
+    out = S.run_available_now(S.repeat_attackers_stream(src), "repeat", "append", S.append_sink)
+    return spark.read.parquet(out)
+
+
 QUERIES = {
+    "stream_repeat_attackers": stream_repeat_attackers,
     "stream_recent_buffer": stream_recent_buffer,
     "stream_severity_counts": stream_severity_counts,
     "stream_decoy_state": stream_decoy_state,
@@ -57,7 +66,13 @@ QUERIES = {
 
 _PAY = ("concat_ws('|', alert_id, severity, CAST(confidence AS VARCHAR), verification_status, CAST(confidence_score AS VARCHAR), "
         "playbook_state, coalesce(source_ip, ''), coalesce(dest_ip, ''), coalesce(event_type, ''))")
+def _repeat_oracle() -> str:
+    from vigil.plans.q_extra import ORACLE as X
+    return X["repeat_attackers"]
+
+
 ORACLE = {
+    "stream_repeat_attackers": _repeat_oracle(),
     "stream_recent_buffer": O.scored_ctes() + """,
 l AS (SELECT * FROM scp ORDER BY "timestamp" DESC, alert_id DESC LIMIT 50)
 SELECT count(*) AS n_recent, count(CASE WHEN verification_status = 'FALSE_POSITIVE' THEN 1 END) AS n_false_positive,

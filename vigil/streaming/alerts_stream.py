@@ -98,3 +98,54 @@ def recent_buffer_sink(n: int = 50):
 
 def fp_rate_of_buffer(buffer: DataFrame) -> DataFrame:
     return R.false_positive_rate(buffer, n=50)
+
+
+REPEAT_OUT = "alert_id string, slash16 string, n_sources long, repeat_attacker boolean"
+REPEAT_STATE = "ts array<bigint>, ips array<string>"
+
+
+def _repeat_state_fn(window_us: int):
+    """Per /16: distinct sources within ``window_us`` before each alert
+    (inclusive, equal times included).  State keeps only the (time, source)
+    pairs still inside the window after the batch, so it stays bounded by
+    the arrival rate of one /16 over one window."""
+    def fn(key, pdfs, state):
+        import numpy as np
+        import pandas as pd
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        if state.exists:
+            ts, ips = state.get
+            hist = pd.DataFrame({"t": np.asarray(ts, dtype="int64"), "source_ip": list(ips)})
+        else:
+            hist = pd.DataFrame({"t": np.asarray([], dtype="int64"), "source_ip": []})
+        allrows = pd.concat([hist[["t", "source_ip"]], batch[["t", "source_ip"]]], ignore_index=True)
+        allrows = allrows.sort_values("t", kind="stable")
+        t_all = allrows["t"].to_numpy()
+        ip_all = allrows["source_ip"].to_numpy()
+        bt = batch["t"].to_numpy()
+        left = np.searchsorted(t_all, bt - window_us, side="left")
+        right = np.searchsorted(t_all, bt, side="right")
+        n = np.fromiter((len(set(ip_all[a:b])) for a, b in zip(left, right)), dtype="int64", count=len(bt))
+        cutoff = t_all.max() - window_us
+        keep = allrows[allrows["t"] >= cutoff]
+        state.update((keep["t"].tolist(), keep["source_ip"].tolist()))
+        yield pd.DataFrame({"alert_id": batch["alert_id"], "slash16": key[0], "n_sources": n,
+                            "repeat_attacker": n > 1})
+    return fn
+
+
+def repeat_attackers_stream(scored: DataFrame, window_s: int = 600) -> DataFrame:
+    """Keyed state per /16 (``applyInPandasWithState``): pandas runs inside the
+    tasks on one /16's rows of one micro-batch plus its retained window."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from vigil.functions.net import slash16
+    rows = (scored.where(F.col("source_ip").isNotNull() & (F.col("source_ip") != ""))
+                  .select("alert_id", "source_ip", F.unix_micros("timestamp").alias("t"),
+                          slash16(F.col("source_ip")).alias("slash16")))
+    return rows.groupBy("slash16").applyInPandasWithState(
+        _repeat_state_fn(window_s * 1_000_000), REPEAT_OUT, REPEAT_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def append_sink(batch: DataFrame, batch_id: int, out: str) -> None:
+    batch.write.mode("append").parquet(out)
