@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.ioc import ioc_get, ioc_kind
+from vigil.functions.ioc import ioc_kind
 from vigil.functions.net import WIDE_PRIVATE_BLOCKS, cidr_bounds, ip_to_long, long_in_blocks
 from vigil.sources import dims
 

@@ -48,7 +48,6 @@ def read_csv_logs(spark: SparkSession, paths: list[str], encoding: str = "UTF-8"
     """Read CSV files (header, all columns as strings), trim header names and
     keep the source file.  Missing paths are skipped; files are unioned by
     name, columns missing in some files become null."""
-    from py4j.protocol import Py4JJavaError  # noqa: F401
     frames = []
     for p in paths:
         try:
