@@ -17,7 +17,8 @@ NUMERIC, CATEGORICAL, LABEL = ["n_chars"], ["lang", "source"], "quality"
 
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
-    return docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    # rows without a label cannot train (filter pushed to the labels scan)
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id").dropna(subset=[LABEL])
 
 
 def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
