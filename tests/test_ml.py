@@ -86,3 +86,13 @@ def test_single_class_augment(spark):
     assert again == sorted((r.k, r.x) for r in syn)         # independent of partitioning
     small = spark.createDataFrame([(i, 1.0, 0) for i in range(20)], "k int, x double, y int")
     assert ML.single_class_augment(small, "k", ["x"], "y").where("y = 1").count() == 10
+
+
+def test_stratified_split_exact(spark):
+    rows = [(i, 1 if i % 10 < 3 else 0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, y int")
+    got = {(r.split, r.y): r.n for r in ML.stratified_split(df, "k", "y").groupBy("split", "y").count()
+           .withColumnRenamed("count", "n").collect()}
+    # class 0: 700 rows → 210 held out → 105 test / 105 validation; class 1: 300 → 90 → 45 / 45
+    assert got == {("train", 0): 490, ("validation", 0): 105, ("test", 0): 105,
+                   ("train", 1): 210, ("validation", 1): 45, ("test", 1): 45}

@@ -172,6 +172,25 @@ def single_class_augment(train: DataFrame, key: str, numeric: list[str], label:
                  .unionByName(syn.select(*out_cols)))
 
 
+def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.30, seed: int = SPLIT_SEED) -> DataFrame:
+    """Exact per-class 70 / 15 / 15 split: rows are ordered inside their class
+    by md5(key, seed); the first n_c − ⌈0.3·n_c⌉ are train, of the rest
+    ⌈half⌉ are test and the others validation.  Class ordinals come from a
+    distributed per-class ranking (no per-class single task)."""
+    from vigil.functions.ordered import running_totals
+    ranked = running_totals(df.withColumn("_hk", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))),
+                            "_hk", [], index_col="_pos", by=[label])
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    j = ranked.join(sizes, label)
+    n_temp = F.ceil(F.col("_n") * F.lit(test_share))
+    n_train = F.col("_n") - n_temp
+    n_test = F.ceil(n_temp / 2.0)
+    split = (F.when(F.col("_pos") < n_train, F.lit("train"))
+             .when(F.col("_pos") < n_train + (n_temp - n_test), F.lit("validation"))
+             .otherwise(F.lit("test")))
+    return j.withColumn("split", split).drop("_hk", "_pos", "_n")
+
+
 def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Per-class precision / recall / F1 / support plus accuracy, macro and
     weighted averages (one row each), from one confusion aggregation."""

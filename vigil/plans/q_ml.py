@@ -37,7 +37,7 @@ def feature_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark, sf_dir) -> DataFrame:
-    return training_table(spark, sf_dir).withColumn("split", ML.split_column(F.col("doc_id")))
+    return ML.stratified_split(training_table(spark, sf_dir), "doc_id", LABEL)
 
 
 def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,12 @@ QUERIES = {
 
 _TT = "tt AS (SELECT d.doc_id, d.n_chars, d.lang, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 _SPLIT = _TT + """,
-sp AS (SELECT *, ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 8))::BIGINT / 4294967296.0 AS f FROM tt),
-sp2 AS (SELECT *, CASE WHEN f < 0.70 THEN 'train' WHEN f < 0.85 THEN 'validation' ELSE 'test' END AS split FROM sp)"""
+sp AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42')) - 1 AS pos,
+         count(*) OVER (PARTITION BY quality) AS n FROM tt),
+sp1 AS (SELECT *, CAST(ceil(n * 0.30) AS BIGINT) AS n_temp FROM sp),
+sp2 AS (SELECT *, CASE WHEN pos < n - n_temp THEN 'train'
+                       WHEN pos < n - n_temp + (n_temp - CAST(ceil(n_temp / 2.0) AS BIGINT)) THEN 'validation'
+                       ELSE 'test' END AS split FROM sp1)"""
 _MET = O.scored_ctes() + """,
 pr AS (SELECT label AS y, CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 1 ELSE 0 END AS p FROM sc),
 cls AS (SELECT y AS c FROM pr UNION SELECT p FROM pr),
