@@ -22,7 +22,10 @@ def running_totals(df: DataFrame, order_col: str, value_cols: list[str], partiti
     spark = df.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
     by = by or []
-    p = df.repartitionByRange(n, *by, order_col).withColumn("_pid", F.spark_partition_id())
+    from vigil.session import materialize
+    # written once: both the partition sums and the local pass read it, and
+    # the upstream plan (often an expensive aggregate) must not run twice
+    p = materialize(df.repartitionByRange(n, *by, order_col).withColumn("_pid", F.spark_partition_id()))
     part = p.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_s_{c}") for c in value_cols])
     w_all = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")
     offs = part.select(*by, "_pid", (F.sum("_rows").over(w_all) - F.col("_rows")).alias("_row_off"),

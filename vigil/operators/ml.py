@@ -53,7 +53,8 @@ def exact_median(df: DataFrame, value: str, by: list[str], partitions: int | Non
     spark = df.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
     vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    p = vc.repartitionByRange(n, *by, value).withColumn("_pid", F.spark_partition_id())
+    from vigil.session import materialize
+    p = materialize(vc.repartitionByRange(n, *by, value).withColumn("_pid", F.spark_partition_id()))
     gp = p.groupBy(*by, "_pid").agg(F.sum("c").alias("_pc"))
     gp = (gp.withColumn("_off", F.sum("_pc").over(Window.partitionBy(*by).orderBy("_pid")) - F.col("_pc"))
             .withColumn("n", F.sum("_pc").over(Window.partitionBy(*by))).drop("_pc"))
@@ -115,8 +116,9 @@ def category_codes(df: DataFrame, col: str, partitions: int | None = None) -> Da
     task ever holds the whole vocabulary."""
     spark = df.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
-    d = (df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-           .repartitionByRange(n, "value").withColumn("_pid", F.spark_partition_id()))
+    from vigil.session import materialize
+    d = materialize(df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+                      .repartitionByRange(n, "value").withColumn("_pid", F.spark_partition_id()))
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     local = d.withColumn("_r", F.row_number().over(Window.partitionBy("_pid").orderBy("value")) - 1)
