@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigil.llm import sharding, url_filter, warc
+import public_tokenizers
+from vigil.llm import bpe, packing, sharding, url_filter, warc
 from vigil.llm.common import read, shared_folder
 
 N_SHARDS = 40
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels")
     return url_filter.judge(pages, url_filter.fit(pages, labels), URL_RULES)
@@ -25,5 +35,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), N_SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op7_warc, op8_sharding)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed_documents(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "cost")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_url_filter, op7_warc, op8_sharding, op10_packing)}
 ORACLE: dict[str, str] = {}
