@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vigil.llm import bpe, packing, sharding, url_filter, warc
+from vigil.llm import bpe, packing, sharding, suffix_dedup, url_filter, warc
 from vigil.llm.common import read, shared_folder
 
 N_SHARDS = 40
@@ -35,11 +35,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed_documents(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset", "cost")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_url_filter, op7_warc, op8_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_url_filter, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing)}
 ORACLE: dict[str, str] = {}
