@@ -51,3 +51,33 @@ def cut(df: DataFrame) -> DataFrame:
 def blocks_for(total_bytes: int | None, block_bytes: int) -> int:
     """Number of blocks of about ``block_bytes`` that hold ``total_bytes``; it grows with the data."""
     return max(1, -(-int(total_bytes or 0) // block_bytes))
+
+
+BITMAP_WORDS = 1 << 17  # 64-bit words of a membership bitmap: 1 MB of bits, whatever the data
+
+
+def _bit(col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(BITMAP_WORDS * 64))
+
+
+def in_bitmap(df: DataFrame, col: str, ids: DataFrame, id_col: str, outside: bool = False) -> DataFrame:
+    """Rows whose hashed ``col`` is marked by some id (a superset of the rows
+    whose id is among ``ids``), or with ``outside`` the other rows.
+
+    A prefilter before a join on the id: it keeps long texts that cannot match
+    out of the shuffle.  The bitmap has at most ``BITMAP_WORDS`` rows, which
+    bounds the broadcast; with very many ids it fills up and lets rows pass."""
+    words = (ids.where(F.col(id_col).isNotNull()).select(_bit(id_col).alias("_p"))
+             .groupBy(F.floor(F.col("_p") / 64).cast("long").alias("_w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits")))
+    marked = F.expr("_bits is not null and _h is not null and (shiftright(_bits, cast(_h % 64 as int)) & 1L) = 1L")
+    out = (df.withColumn("_h", F.when(F.col(col).isNotNull(), _bit(col))).withColumn("_w", F.floor(F.col("_h") / 64).cast("long"))
+           .join(F.broadcast(words), "_w", "left"))
+    return out.where(~marked if outside else marked).select(*df.columns)
+
+
+def without_ids(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is not among ``ids``; only rows that the bitmap marks are shuffled."""
+    sure = in_bitmap(df, col, ids, id_col, outside=True)
+    rest = in_bitmap(df, col, ids, id_col).join(ids.select(F.col(id_col).alias(col)).distinct(), col, "left_anti").select(*df.columns)
+    return sure.unionByName(rest)

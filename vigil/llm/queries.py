@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vigil.llm import bpe, packing, sharding, suffix_dedup, url_filter, warc
+from vigil.llm import bpe, ngram_join, packing, sharding, suffix_dedup, url_filter, warc
 from vigil.llm.common import read, shared_folder
 
 N_SHARDS = 40
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels")
     return url_filter.judge(pages, url_filter.fit(pages, labels), URL_RULES)
@@ -45,5 +49,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "cost")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_url_filter, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_ngram_join, op5_url_filter, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing)}
 ORACLE: dict[str, str] = {}
