@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vigil.llm import bpe, ngram_join, packing, sharding, suffix_dedup, url_filter, warc
+from vigil.llm import bpe, fingerprints, ngram_join, packing, sharding, suffix_dedup, url_filter, warc
 from vigil.llm.common import read, shared_folder
 
 N_SHARDS = 40
@@ -17,6 +17,16 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+                       fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+                       fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+                       fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+                       fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+                       fingerprints.distinct_shingles(F.col("sketch")).alias("n_shingles"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -49,5 +59,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "cost")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_ngram_join, op5_url_filter, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_ngram_join, op5_url_filter, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing)}
 ORACLE: dict[str, str] = {}
