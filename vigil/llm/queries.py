@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vigil.llm import bpe, fingerprints, ngram_join, packing, sharding, suffix_dedup, url_filter, warc
+from vigil.llm import bpe, fingerprints, ngram_join, packing, quality, sharding, suffix_dedup, url_filter, vptree, warc
 from vigil.llm.common import read, shared_folder
 
 N_SHARDS = 40
@@ -31,6 +31,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.nearest(base, base.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), 3, 90, 100)
 
@@ -40,6 +45,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages, labels), URL_RULES)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling draws, with weight and key."""
+    rows = quality.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.where("kept").select("doc_id", "log_weight", "n_grams", "gumbel_key")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archived_captures(spark, read(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time")
@@ -59,5 +70,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "cost")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_ngram_join, op5_url_filter, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_vptree, op4_ngram_join, op5_url_filter, op6_quality, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing)}
 ORACLE: dict[str, str] = {}

@@ -37,7 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import blocks_for, text_bytes
@@ -276,21 +277,29 @@ def _resolve(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True).astype("int64")
 
 
+def _spans_by_document(spans: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Merged spans of each (document, shifted number among equal ids)."""
+    doc, at, until = (spans[c].to_numpy().astype(np.int64) for c in ("doc", "at", "until"))
+    nth = at >> NTH_SHIFT
+    order = np.lexsort((at, nth, doc))
+    doc, nth, at, until = doc[order], nth[order], (at & ((1 << NTH_SHIFT) - 1))[order], until[order]
+    ends = np.flatnonzero(np.concatenate([(doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]), [True]])) + 1 if len(doc) else []
+    found, lo = {}, 0
+    for hi in ends:
+        found[int(doc[lo]), int(nth[lo]) << NTH_SHIFT] = union(at[lo:hi], until[lo:hi])
+        lo = hi
+    return found
+
+
+NO_SPANS = np.empty((0, 2), np.int64)
+
+
 def _removed(finish):
     """Step 4 for one block: each document and its merged spans go to ``finish``."""
 
     def run(block: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-        doc, at, until = (spans[c].to_numpy().astype(np.int64) for c in ("doc", "at", "until"))
-        nth = at >> NTH_SHIFT
-        order = np.lexsort((at, nth, doc))
-        doc, nth, at, until = doc[order], nth[order], (at & ((1 << NTH_SHIFT) - 1))[order], until[order]
-        ends = np.flatnonzero(np.concatenate([(doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]), [True]])) + 1 if len(doc) else []
-        found, lo = {}, 0
-        for hi in ends:
-            found[int(doc[lo]), int(nth[lo])] = union(at[lo:hi], until[lo:hi])
-            lo = hi
-        none = np.empty((0, 2), np.int64)
-        return finish([(d, data, found.get((d, n >> NTH_SHIFT), none)) for d, n, data in _documents(block)])
+        found = _spans_by_document(spans)
+        return finish([(d, data, found.get((d, n), NO_SPANS)) for d, n, data in _documents(block)])
 
     return run
 
@@ -311,8 +320,10 @@ def _digests(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
                         columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _deduplicated(docs: DataFrame, finish, schema: str) -> DataFrame:
-    raw = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_bytes("text").alias("raw"))
+def _blocks_and_spans(docs: DataFrame, others: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Documents dealt to blocks (``doc_id, raw, *others, block``), and the
+    repeated spans with the block of their document."""
+    raw = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_bytes("text").alias("raw"), *others)
     total = raw.agg(F.sum(F.octet_length("raw"))).first()[0]
     n_blocks = blocks_for(total, BLOCK_BYTES)
     ranges = min(2 * n_blocks, MAX_SPLITTERS)
@@ -323,6 +334,11 @@ def _deduplicated(docs: DataFrame, finish, schema: str) -> DataFrame:
     shared = (reported.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1").select("block", "key"))
     sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_cut_out(cuts, parts), ROWS)
     spans = sent.groupBy("bucket").applyInPandas(_resolve, "doc long, at long, until long").withColumn("block", block_of("doc"))
+    return blocks, spans
+
+
+def _deduplicated(docs: DataFrame, finish, schema: str) -> DataFrame:
+    blocks, spans = _blocks_and_spans(docs, [])
     out = blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_removed(finish), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
@@ -335,3 +351,36 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``; the kept bytes stay inside the worker."""
     return _deduplicated(docs, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns, their texts without repeated spans.  Bytes that
+    a cut leaves of a character go with it; ``n_chars``, if there, follows a
+    changed text; documents of which nothing stays go."""
+    names = [c for c in docs.columns if c != "text"]
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    blocks, spans = _blocks_and_spans(docs, [*others, F.col("text").isNull().alias("no_text")])
+
+    def run(block: pa.Table, spans: pa.Table) -> pa.Table:
+        found = _spans_by_document(spans.to_pandas())
+        ids, raws = block.column("doc_id").to_pylist(), block.column("raw").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], raws[i]))
+        texts, changed, last, nth = [], [], None, 0
+        for i, missing in zip(order, block.column("no_text").take(order).to_pylist(), strict=True):
+            nth = nth + 1 if ids[i] == last else 0
+            last = ids[i]
+            cut = found.get((ids[i], nth << NTH_SHIFT), NO_SPANS)
+            kept = kept_bytes(np.frombuffer(raws[i], np.uint8), cut) if len(cut) else raws[i]
+            texts.append(None if missing else kept.decode("utf-8", "ignore"))
+            changed.append(len(cut) > 0)
+        out = block.take(order).select([f"c{i}" for i in range(len(names))])
+        out = out.append_column("text", pa.array(texts, pa.string())).append_column("changed", pa.array(changed, pa.bool_()))
+        return out.filter(pa.array([not c or t != "" for c, t in zip(changed, texts, strict=True)], pa.bool_()))
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([*(f"c{i} {types[c]}" for i, c in enumerate(names)), "text string", "changed boolean"])
+    out = blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(run, schema)
+    place = {c: F.col(f"c{i}") for i, c in enumerate(names)} | {"text": F.col("text")}
+    if "n_chars" in place:
+        place["n_chars"] = F.when(F.col("changed"), F.length("text").cast(types["n_chars"])).otherwise(place["n_chars"])
+    return out.select(*[place[c].alias(c) for c in docs.columns])

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 20_000
+SUFFIX_BUCKETS = 1024  # suffix statistics are kept per hash bucket, which bounds their table
 FEATURES = ["url_chars", "host_chars", "path_chars", "depth", "host_labels", "digit_ratio", "entropy", "n_params",
             "n_hyphens", "query_chars", "has_fragment", "has_extension", "suffix_bad_rate", "suffix_share"]
 
@@ -67,6 +68,7 @@ def lexical_features(pages: DataFrame) -> DataFrame:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     df = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     return (df.withColumn("suffix", F.substring_index("host", ".", -1))
+            .withColumn("suffix_bucket", F.pmod(F.xxhash64("suffix"), F.lit(SUFFIX_BUCKETS)))
             .withColumn("url_chars", F.length(url)).withColumn("host_chars", F.length("host"))
             .withColumn("path_chars", F.length("path")).withColumn("depth", _count(F.col("path"), "/"))
             .withColumn("host_labels", F.size(F.split("host", r"\.")))
@@ -98,7 +100,7 @@ class UrlModel:
 
     def scored(self, pages: DataFrame) -> DataFrame:
         """Adds the features and ``bad_probability``."""
-        df = (lexical_features(pages).join(self.suffixes, "suffix", "left")
+        df = (lexical_features(pages).join(F.broadcast(self.suffixes), "suffix_bucket", "left")
               .fillna({"suffix_bad_rate": self.base_rate, "suffix_share": 0.0}))
         if self.trees is None:
             return df.withColumn("bad_probability", F.lit(self.base_rate))
@@ -112,11 +114,11 @@ def fit(pages: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, li
     sample = labelled_urls(pages, labels, limit).persist()
     n, base = sample.agg(F.count(F.lit(1)), F.avg("bad")).first()
     base = float(base or 0.0)
-    every = lexical_features(pages.select("url")).groupBy("suffix").agg(F.count(F.lit(1)).alias("n_all"))
+    every = lexical_features(pages.select("url")).groupBy("suffix_bucket").agg(F.count(F.lit(1)).alias("n_all"))
     total = pages.count()
-    rated = lexical_features(sample).groupBy("suffix").agg(((F.sum("bad") + 10 * base) / (F.count(F.lit(1)) + 10)).alias("suffix_bad_rate"))
-    suffixes = every.join(rated, "suffix", "left").select(
-        "suffix", F.coalesce("suffix_bad_rate", F.lit(base)).alias("suffix_bad_rate"), (F.col("n_all") / max(total, 1)).alias("suffix_share"))
+    rated = lexical_features(sample).groupBy("suffix_bucket").agg(((F.sum("bad") + 10 * base) / (F.count(F.lit(1)) + 10)).alias("suffix_bad_rate"))
+    suffixes = every.join(F.broadcast(rated), "suffix_bucket", "left").select(
+        "suffix_bucket", F.coalesce("suffix_bad_rate", F.lit(base)).alias("suffix_bad_rate"), (F.col("n_all") / max(total, 1)).alias("suffix_share"))
     if not n or base in (0.0, 1.0):
         sample.unpersist()
         return UrlModel(suffixes, None, base)
