@@ -47,7 +47,7 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
         fits = ((host == r_host) | host.endswith("." + r_host)) & path.startswith(r_path)
         value = F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"))
         found = F.when(fits, value) if found is None else found.when(fits, value)
-    return found
+    return F.lit(None).cast("struct<rule:string,action:string>") if found is None else found
 
 
 def _count(text: Column, char: str) -> Column:
