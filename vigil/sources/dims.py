@@ -17,24 +17,24 @@ from pyspark.sql import types as T
 
 # Known event types: (event_type, description, technique, inherent risk).
 EVENT_TYPES = [
-    ("PORT_SCAN", "Network reconnaissance", "T1046", "HIGH"),
-    ("AUTH_FAIL", "Brute-force authentication attempt", "T1110", "HIGH"),
-    ("RDP_BRUTEFORCE", "Remote Desktop brute-force attack", "T1110.001", "HIGH"),
-    ("KERBEROAST", "Kerberos ticket harvesting", "T1558.003", "CRITICAL"),
-    ("SMB_LATERAL", "Lateral movement via SMB shares", "T1021.002", "CRITICAL"),
-    ("C2_BEACON", "Command & Control beacon heartbeat", "T1071", "CRITICAL"),
-    ("C2_CALLBACK", "Active C2 callback / reverse shell", "T1071.001", "CRITICAL"),
-    ("FILE_READ", "Sensitive file access", "T1059", "HIGH"),
-    ("CREDENTIAL_DUMP", "OS credential harvesting", "T1003", "CRITICAL"),
-    ("DATA_EXFIL", "Data exfiltration attempt", "T1041", "CRITICAL"),
-    ("PROCESS_SPAWN", "Suspicious child process", "T1059.003", "HIGH"),
-    ("ICMP_PING", "ICMP host discovery sweep", "T1018", "LOW"),
-    ("HTTP_REQUEST", "Outbound HTTP communication", "T1071.001", "LOW"),
-    ("HTTP_OPTIONS", "HTTP OPTIONS probe (CORS/API recon)", "T1071.001", "MEDIUM"),
-    ("DNS_QUERY", "DNS lookup to external resolver", "T1071.004", "LOW"),
-    ("FILE_COPY", "Bulk file copy / staging", "T1074", "MEDIUM"),
-    ("VPN_FAIL", "Failed VPN authentication attempt", "T1133", "MEDIUM"),
-    ("ICMP_FLOOD", "ICMP flood - potential DDoS", "T1498", "HIGH"),
+    ("PORT_SCAN", "Network reconnaissance", "T1046 — Service Discovery via port sweep", "HIGH"),
+    ("AUTH_FAIL", "Brute-force authentication attempt", "T1110 — Credential Brute Forcing", "HIGH"),
+    ("RDP_BRUTEFORCE", "Remote Desktop brute-force attack", "T1110.001 — Password Guessing via RDP", "HIGH"),
+    ("KERBEROAST", "Kerberos ticket harvesting", "T1558.003 — Kerberoasting", "CRITICAL"),
+    ("SMB_LATERAL", "Lateral movement via SMB shares", "T1021.002 — Remote Services: SMB", "CRITICAL"),
+    ("C2_BEACON", "Command & Control beacon heartbeat", "T1071 — Application Layer Protocol C2", "CRITICAL"),
+    ("C2_CALLBACK", "Active C2 callback / reverse shell", "T1071.001 — Web Protocol C2", "CRITICAL"),
+    ("FILE_READ", "Sensitive file access", "T1059 — Command & Scripting Interpreter", "HIGH"),
+    ("CREDENTIAL_DUMP", "OS credential harvesting", "T1003 — OS Credential Dumping", "CRITICAL"),
+    ("DATA_EXFIL", "Data exfiltration attempt", "T1041 — Exfiltration Over C2 Channel", "CRITICAL"),
+    ("PROCESS_SPAWN", "Suspicious child process", "T1059.003 — Windows Command Shell", "HIGH"),
+    ("ICMP_PING", "ICMP host discovery sweep", "T1018 — Remote System Discovery", "LOW"),
+    ("HTTP_REQUEST", "Outbound HTTP communication", "T1071.001 — Web Protocol", "LOW"),
+    ("HTTP_OPTIONS", "HTTP OPTIONS probe (CORS/API recon)", "T1071.001 — Web Protocol Enumeration", "MEDIUM"),
+    ("DNS_QUERY", "DNS lookup to external resolver", "T1071.004 — DNS Application Layer Protocol", "LOW"),
+    ("FILE_COPY", "Bulk file copy / staging", "T1074 — Data Staged for Exfil", "MEDIUM"),
+    ("VPN_FAIL", "Failed VPN authentication attempt", "T1133 — External Remote Services", "MEDIUM"),
+    ("ICMP_FLOOD", "ICMP flood — potential DDoS", "T1498 — Network Denial of Service", "HIGH"),
 ]
 
 # Service ports for the traffic-direction rule.
