@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigil.functions.net import is_rfc1918
+from vigil.functions.text import strip
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — indicator pattern, alternatives in match priority order.
@@ -74,7 +75,7 @@ def kind_code(m: Column) -> Column:
 
 def process_values(process: Column) -> Column:
     """Structured process name as a one-element list ('' / 'nan' / null → empty)."""
-    p = F.trim(process.cast("string"))
+    p = strip(process)
     return F.when(p.isNotNull() & ~p.isin("", "nan"), F.array(p)).otherwise(F.array().cast("array<string>"))
 
 

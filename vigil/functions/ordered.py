@@ -20,7 +20,7 @@ def running_totals(df: DataFrame, order_col: str, value_cols: list[str], partiti
     partition) the group touches, so a large group is still split across
     partitions."""
     spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = by or []
     from vigil.session import materialize
     # written once: both the partition sums and the local pass read it, and

@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from vigil.session import ensure_checkpoint_dir
 
 PATH_SEP = ">"
-# Edge tables up to this many rows are broadcast into the relaxation join.
-EDGE_BROADCAST_MAX_ROWS = 5_000_000
 
 
 def _best(df: DataFrame) -> DataFrame:
@@ -37,8 +35,7 @@ def _best(df: DataFrame) -> DataFrame:
                       F.col("b.path").alias("path")))
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,
-                   max_rounds: int | None = None) -> DataFrame:
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """All shortest weighted paths from ``sources`` (default: every node).
 
     nodes(id), edges(src, dst, weight) → (src, dst, dist, hops, path array,
@@ -53,15 +50,12 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"),
                      F.col("weight").cast("double").alias("w"))
-    if e.count() <= EDGE_BROADCAST_MAX_ROWS:
-        e = F.broadcast(e)
     starts = (sources if sources is not None else nodes).select(F.col("id").alias("src"))
     base = starts.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"),
                          F.col("src").alias("path_key"), F.array(F.col("src")).alias("path")).checkpoint()
     deltas = [base]
     frontier = base
-    limit = max_rounds if max_rounds is not None else nodes.count()
-    for _ in range(limit):
+    while True:  # ends when no path improved; weights are not negative
         cand = (frontier.join(e, frontier["dst"] == e["e_src"])
                 .where(~F.array_contains("path", F.col("e_dst")))
                 .select("src", F.col("e_dst").alias("dst"), (F.col("dist") + F.col("w")).alias("dist"),

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from vigil.functions.net import ip_to_long
 
-# Feeds up to this many ranges are broadcast to the probe side.
-FEED_BROADCAST_MAX_ROWS = 1_000_000
-
 
 def keyed_ranges(ranges: DataFrame, cidr_col: str = "cidr") -> DataFrame:
     """ranges(ord, cidr, ...) → + lo, hi, level, bkey."""
@@ -41,8 +38,6 @@ def range_hits(addrs: DataFrame, ranges: DataFrame, ip_col: str = "ip", keys: li
     Addresses without a hit are not returned (inner semantics)."""
     keys = keys or []
     kr = keyed_ranges(ranges)
-    if kr.count() <= FEED_BROADCAST_MAX_ROWS:
-        kr = F.broadcast(kr)
     a = addrs.withColumn("_ipl", ip_to_long(F.col(ip_col))).where(F.col("_ipl").isNotNull())
     probes = a.withColumn("_probe", F.explode(F.array(
         F.struct(F.lit(16).alias("level"), F.shiftright("_ipl", 16).alias("bkey")),

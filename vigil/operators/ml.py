@@ -51,7 +51,7 @@ def exact_median(df: DataFrame, value: str, by: list[str], partitions: int | Non
     (group × partition) table, and cumulative counts are computed inside
     the partition.  No task ever holds a whole group."""
     spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
     from vigil.session import materialize
     p = materialize(vc.repartitionByRange(n, *by, value).withColumn("_pid", F.spark_partition_id()))
@@ -115,7 +115,7 @@ def category_codes(df: DataFrame, col: str, partitions: int | None = None) -> Da
     Only the per-partition counts (one row per partition) are combined, so no
     task ever holds the whole vocabulary."""
     spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     from vigil.session import materialize
     d = materialize(df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
                       .repartitionByRange(n, "value").withColumn("_pid", F.spark_partition_id()))

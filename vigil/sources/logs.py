@@ -12,19 +12,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.net import ipv4_shape_ok
+from vigil.functions.text import strip
 
 
 ENCODINGS = ["UTF-8", "ISO-8859-1", "windows-1252"]
 
 
-def detect_encoding(spark: SparkSession, path: str, sample_lines: int = 10000) -> str:
-    """First encoding in ``ENCODINGS`` whose decoding of a sample of lines
-    yields no replacement characters (only the sample reaches the driver)."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file matches ``path``, on whatever file system it names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return found is not None and len(found) > 0
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """First encoding in ``ENCODINGS`` that decodes every line of the input
+    without replacement characters: one distributed pass over all lines."""
     for enc in ENCODINGS[:-1]:
-        sample = spark.read.option("encoding", enc).option("lineSep", "\n").csv(path).limit(sample_lines)
-        text = F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in sample.columns])
-        bad = sample.where(F.instr(text, "\ufffd") > 0).limit(1).count()
-        if bad == 0:
+        lines = spark.read.option("encoding", enc).option("lineSep", "\n").csv(path)
+        text = F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in lines.columns])
+        if lines.where(F.instr(text, "\ufffd") > 0).isEmpty():
             return enc
     return ENCODINGS[-1]
 
@@ -44,16 +51,21 @@ def file_report(df: DataFrame) -> DataFrame:
               .groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rows"), F.max("file_size").alias("file_size")))
 
 
-def read_csv_logs(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
+def read_csv_logs(spark: SparkSession, paths: list[str], encoding: str | None = None,
+                  skipped: list[str] | None = None) -> DataFrame:
     """Read CSV files (header, all columns as strings), trim header names and
-    keep the source file.  Missing paths are skipped; files are unioned by
-    name, columns missing in some files become null."""
+    keep the source file.  The encoding of each path is detected from all its
+    lines unless one is given.  Paths that do not exist are skipped (and added
+    to ``skipped``); any other read error is raised.  Files are unioned by name,
+    columns missing in some files become null."""
     frames = []
     for p in paths:
-        try:
-            df = spark.read.option("header", True).option("encoding", encoding).csv(p)
-        except Exception:  # missing file: skipped, like the reference loader
+        if not path_exists(spark, p):
+            if skipped is not None:
+                skipped.append(p)
             continue
+        enc = encoding or detect_encoding(spark, p)
+        df = spark.read.option("header", True).option("encoding", enc).csv(p)
         df = df.toDF(*[c.strip() for c in df.columns]).withColumn("source_file", F.input_file_name())
         frames.append(df)
     if not frames:
@@ -84,13 +96,13 @@ def normalise_host_log(df: DataFrame, now: Column) -> DataFrame:
 def normalise_flow_log(df: DataFrame, now: Column) -> DataFrame:
     """Network-flow rows → alert columns ('-' or non-numeric port → null,
     blank attack category → 'normal', processing time as timestamp)."""
-    port_txt = F.trim(F.col("dsport"))
+    port_txt = strip(F.col("dsport"))
     port = F.when(port_txt == "-", F.lit(None)).otherwise(port_txt.try_cast("int"))
     cat = F.col("attack_cat")
     return df.select(
         F.col("srcip").alias("source_ip"), F.col("dstip").alias("dest_ip"), port.alias("port"),
         F.col("proto").alias("protocol"),
-        F.when(cat.isNull() | (F.trim(cat) == ""), F.lit("normal")).otherwise(cat).alias("event_type"),
+        F.when(cat.isNull() | (strip(cat) == ""), F.lit("normal")).otherwise(cat).alias("event_type"),
         F.col("Label").try_cast("int").alias("label"), now.alias("timestamp"))
 
 
