@@ -17,7 +17,7 @@ def test_repeat_state_across_batches(spark):
     time.sleep(1.1)
     pq.write_table(t.slice(half), os.path.join(d, "events-b.parquet"))
     stream = alerts_view(S.event_stream(spark, d, file_glob="events-*.parquet", max_files_per_trigger=1))
-    out = S.run_available_now(S.repeat_attackers_stream(stream), "repeat-test", "append", S.append_sink)
+    out = S.run_available_now(S.repeat_attackers_stream(stream), "repeat-test", "append", S.batch_sink)
     got = {r.alert_id: r.n_sources for r in spark.read.parquet(out).collect()}
     batch = alerts_view(spark.read.parquet(os.path.join(d, "events-*.parquet")))
     exp = {r.alert_id: r.n_sources for r in repeat_attackers(batch).collect()}

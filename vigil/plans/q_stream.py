@@ -18,18 +18,18 @@ def _scored(spark, sf_dir):
 
 
 def stream_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.run_available_now(S.severity_counters(_scored(spark, sf_dir)), "sev", "complete", S.overwrite_sink)
+    out = S.run_available_now(S.severity_counters(_scored(spark, sf_dir)), "sev", "complete", S.batch_sink)
     return S.latest_per_key(spark, out, ["severity"])
 
 
 def stream_decoy_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.run_available_now(S.decoy_state(_scored(spark, sf_dir)), "decoy", "update", S.overwrite_sink)
+    out = S.run_available_now(S.decoy_state(_scored(spark, sf_dir)), "decoy", "update", S.batch_sink)
     r = S.latest_per_key(spark, out, ["asset_id"])
     return r.select("asset_id", "trigger_count", F.date_format("last_triggered", "yyyy-MM-dd HH:mm:ss").alias("last_triggered"))
 
 
 def stream_tick_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.run_available_now(S.tick_counts(_scored(spark, sf_dir), "1 hour"), "ticks", "update", S.overwrite_sink)
+    out = S.run_available_now(S.tick_counts(_scored(spark, sf_dir), "1 hour"), "ticks", "update", S.batch_sink)
     r = S.latest_per_key(spark, out, ["tick_ts", "severity"])
     return r.select(F.date_format("tick_ts", "yyyy-MM-dd HH:mm:ss").alias("tick"), "severity", "n_alerts")
 
@@ -44,15 +44,15 @@ def stream_sealed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_recent_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last-50 buffer kept by a foreachBatch sink, then its false-positive rate."""
     out = S.run_available_now(_scored(spark, sf_dir), "recent", "append", S.recent_buffer_sink(50))
-    return S.fp_rate_of_buffer(spark.read.parquet(out + "/current"))
+    return S.fp_rate_of_buffer(S.newest_buffer(spark, out))
 
 
 def stream_repeat_attackers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeat attackers per /16 with keyed streaming state."""
     apply_session_defaults(spark)
     src = alerts_view(S.event_stream(spark, sf_dir))
-    out = S.run_available_now(S.repeat_attackers_stream(src), "repeat", "append", S.append_sink)
-    return spark.read.parquet(out)
+    out = S.run_available_now(S.repeat_attackers_stream(src), "repeat", "append", S.batch_sink)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 QUERIES = {
@@ -64,8 +64,7 @@ QUERIES = {
     "stream_sealed_archive": stream_sealed_archive,
 }
 
-_PAY = ("concat_ws('|', alert_id, severity, CAST(confidence AS VARCHAR), verification_status, CAST(confidence_score AS VARCHAR), "
-        "playbook_state, coalesce(source_ip, ''), coalesce(dest_ip, ''), coalesce(event_type, ''))")
+_PAY = O.SEALED_PAYLOAD
 def _repeat_oracle() -> str:
     from vigil.plans.q_extra import ORACLE as X
     return X["repeat_attackers"]

@@ -5,13 +5,14 @@ a chain of projections).  Stateful parts use Spark's own state:
 ``groupBy`` aggregates for counters and decoy state, a watermark with
 ``dropDuplicatesWithinWatermark`` for duplicate suppression, event-time
 windows for tick counts, and ``foreachBatch`` upserts where the sink is a
-plain parquet folder.  Checkpoints and outputs live under the shared
-checkpoint folder, so a restarted job resumes where it stopped.
+plain parquet folder.  Sinks write one folder per micro-batch and replace it
+when the batch is replayed.  A job with a folder of its own resumes where it
+stopped; a one-off run uses fresh folders under the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import report as R
@@ -31,28 +32,40 @@ def scored_stream(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
     return score_alerts(alerts_view(event_stream(spark, folder)), as_of)
 
 
-def run_available_now(df: DataFrame, name: str, mode: str, sink) -> str:
+def run_available_now(df: DataFrame, name: str, mode: str, sink, job: str | None = None) -> str:
     """Run a streaming query over everything available, then stop.
-    ``sink(batch_df, batch_id, out_path)`` writes one micro-batch."""
+    ``sink(batch_df, batch_id, out_path)`` writes one micro-batch.
+
+    ``job`` is the folder of a job that is run again and again: its output and
+    checkpoint lie there, and a later run goes on where the last one stopped.
+    Without it the run is a one-off in fresh folders."""
     spark = df.sparkSession
-    out = shared_path(spark, f"{name}-out")
-    ckpt = shared_path(spark, f"{name}-ckpt")
+    out = f"{job}/out" if job else shared_path(spark, f"{name}-out")
+    ckpt = f"{job}/ckpt" if job else shared_path(spark, f"{name}-ckpt")
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(lambda b, i: sink(b, i, out)).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
-def overwrite_sink(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Complete-mode result: every batch carries the whole table."""
-    batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+def batch_sink(batch: DataFrame, batch_id: int, out: str) -> None:
+    """One folder per micro-batch, replaced when the batch is replayed."""
+    batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
 
 def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Read an upsert log and keep the newest version of each key."""
+    """Read an upsert log and keep the newest version of each key (a partial
+    aggregate, so each task sends one row per key)."""
     log = spark.read.parquet(out)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    return log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
+    values = [c for c in log.columns if c not in (*keys, "batch_id")]
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+    return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def compact_log(spark: SparkSession, out: str, keys: list[str], into: str) -> None:
+    """Write the newest version of each key as a log of one batch."""
+    last = spark.read.parquet(out).agg(F.max("batch_id")).first()[0]
+    latest_per_key(spark, out, keys).write.mode("overwrite").parquet(f"{into}/batch_id={last}")
 
 
 def severity_counters(scored: DataFrame) -> DataFrame:
@@ -76,26 +89,30 @@ def tick_counts(scored: DataFrame, tick: str = "5 seconds", watermark: str = "10
 
 def seal_sink(batch: DataFrame, batch_id: int, out: str) -> None:
     """Append sealed alerts (never drops rows) to a parquet archive."""
-    (batch.select("snapshot_id", "alert_id", "payload", F.col("vault_hash").alias("sha256"), "captured_at")
-          .withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out))
+    batch_sink(batch.select("snapshot_id", "alert_id", "payload", F.col("vault_hash").alias("sha256"), "captured_at"), batch_id, out)
 
 
 def recent_buffer_sink(n: int = 50):
-    """foreachBatch sink keeping only the newest ``n`` alerts (bounded table)."""
+    """foreachBatch sink keeping only the newest ``n`` alerts (bounded table).
+
+    Version k of the buffer is made of version k - 1 and batch k, and replaces
+    itself when the batch is replayed; read errors are raised."""
     def sink(batch: DataFrame, batch_id: int, out: str) -> None:
         spark = batch.sparkSession
         cur = batch.select("alert_id", "timestamp", "severity", "verification_status")
-        try:
-            prev = spark.read.parquet(out + "/current")
-            cur = prev.unionByName(cur)
-        except Exception:  # first batch: no buffer yet
-            pass
-        top = cur.orderBy(F.col("timestamp").desc(), F.col("alert_id").desc()).limit(n)
-        top.write.mode("overwrite").parquet(out + f"/v{batch_id}")
-        spark.read.parquet(out + f"/v{batch_id}").write.mode("overwrite").parquet(out + "/current")
+        if batch_id > 0:
+            cur = spark.read.parquet(f"{out}/batch_id={batch_id - 1}").unionByName(cur)
+        top = (cur.dropDuplicates(["alert_id"]).orderBy(F.col("timestamp").desc(), F.col("alert_id").desc()).limit(n))
+        batch_sink(top, batch_id, out)
     return sink
 
 
+def newest_buffer(spark: SparkSession, out: str) -> DataFrame:
+    """The last version of a buffer."""
+    versions = spark.read.parquet(out)
+    return versions.where(F.col("batch_id") == versions.agg(F.max("batch_id")).first()[0]).drop("batch_id")
+
+
 def fp_rate_of_buffer(buffer: DataFrame) -> DataFrame:
     return R.false_positive_rate(buffer, n=50)
 
@@ -146,6 +163,3 @@ def repeat_attackers_stream(scored: DataFrame, window_s: int = 600) -> DataFrame
     return rows.groupBy("slash16").applyInPandasWithState(
         _repeat_state_fn(window_s * 1_000_000), REPEAT_OUT, REPEAT_STATE, "append", GroupStateTimeout.NoTimeout)
 
-
-def append_sink(batch: DataFrame, batch_id: int, out: str) -> None:
-    batch.write.mode("append").parquet(out)
