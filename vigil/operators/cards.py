@@ -57,12 +57,14 @@ def card_fields(df: DataFrame) -> DataFrame:
     payload = F.when(F.coalesce(F.col("vault_hash"), F.lit("")) != "",
                      F.concat(F.substring("vault_hash", 1, 16), F.lit("..."))) \
         .otherwise(F.coalesce(F.nullif(F.col("accessed_path"), F.lit("")), F.lit("N/A")))
+    top = F.col("top_features") if "top_features" in df.columns else F.lit(None).cast("array<string>")
     context = F.to_json(F.struct(F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"),
                                  F.coalesce("event_type", F.lit("unknown_event")).alias("event_type"),
                                  F.coalesce("source_ip", F.lit("N/A")).alias("source_ip"),
                                  F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                                 F.coalesce("blast_radius", F.lit(0.0)).alias("blast_radius"),
-                                 F.coalesce("playbook_state", F.lit("UNKNOWN")).alias("playbook_state")))
+                                 F.coalesce(top, F.array(F.lit("unknown"))).alias("top_features"),
+                                 F.coalesce(F.transform("playbook_actions", lambda a: a["action_taken"]),
+                                            F.array().cast("array<string>")).alias("playbook_actions")))
     return (df.withColumn("title", title)
               .withColumn("status_label", state_label(F.col("playbook_state")))
               .withColumn("steps", step_list(F.col("playbook_state")))

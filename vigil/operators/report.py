@@ -31,8 +31,15 @@ def newest_first(df: DataFrame):
     return [F.col("timestamp").desc(), F.col("alert_id").desc()]
 
 
+def newest(df: DataFrame, n: int) -> DataFrame:
+    """The newest ``n`` rows (per-partition top-n, then a merge of n rows each)."""
+    return df.orderBy(*newest_first(df)).limit(n)
+
+
 def false_positive_rate(df: DataFrame, n: int = 50) -> DataFrame:
-    """Share of FALSE_POSITIVE among the newest ``n`` alerts (3 dp)."""
+    """Share of FALSE_POSITIVE among the newest ``n`` alerts (3 dp).
+
+    Given unscored alerts through ``newest`` first, only ``n`` rows are scored."""
     last = df.select("timestamp", "alert_id", "verification_status").orderBy(*newest_first(df)).limit(n)
     cnt = F.count(F.lit(1))
     fp = F.count(F.when(F.col("verification_status") == "FALSE_POSITIVE", 1))
@@ -51,18 +58,24 @@ def recent(df: DataFrame, n: int = 5) -> DataFrame:
 def severity_ticks(df: DataFrame, tick: str = "5 seconds", history: int = 60) -> DataFrame:
     """Per tick: counts per tier (= the growth of the cumulative counters
     between two polls), total, highest tier present, cumulative counters,
-    and the total over the last ``history`` ticks with alerts.
+    and the total over the last ``history`` ticks of the time axis, with or
+    without alerts.
 
     Ticks are aggregated first (partial aggregation); the running totals use
-    a distributed global order, and the ``history`` window is an equi-join on
-    the tick ordinal, so no step puts all ticks into one task."""
+    a distributed global order.  For the ``history`` window, the axis is cut
+    into stretches of that many ticks; a tick also counts as history of the next
+    stretch, so a window lies in one stretch of at most twice as many rows."""
     from vigil.functions.ordered import running_totals
     counts = [F.count(F.when(F.col("severity") == s, 1)).alias(f"n_{s.lower()}") for s in SEVERITIES]
     t = df.groupBy(F.window("timestamp", tick).start.alias("tick_ts")).agg(*counts, F.count(F.lit(1)).alias("n_total"))
     cols = [f"n_{s.lower()}" for s in SEVERITIES] + ["n_total"]
     r = running_totals(t, "tick_ts", cols)
-    back = r.select((F.col("idx") + history).alias("idx"), F.col("cum_n_total").alias("_cum_before"))
-    r = r.join(back, "idx", "left")
+    step = F.expr(f"unix_micros(timestamp '1970-01-01 00:00:00' + interval {tick})")
+    no = F.floor(F.unix_micros("tick_ts") / step)
+    here = r.withColumn("_no", no).withColumn("_part", F.floor(F.col("_no") / history)).withColumn("_own", F.lit(True))
+    both = here.unionByName(here.withColumn("_part", F.col("_part") + 1).withColumn("_own", F.lit(False)))
+    last = Window.partitionBy("_part").orderBy("_no").rangeBetween(-(history - 1), 0)
+    r = both.withColumn("_last", F.sum("n_total").over(last)).where("_own")
     maxsev = None
     for s in reversed(SEVERITIES[1:]):
         cond = F.col(f"n_{s.lower()}") > 0
@@ -70,8 +83,7 @@ def severity_ticks(df: DataFrame, tick: str = "5 seconds", history: int = 60) ->
     maxsev = maxsev.otherwise(F.lit("BENIGN"))
     return r.select(F.date_format("tick_ts", "yyyy-MM-dd HH:mm:ss").alias("tick"), *cols, maxsev.alias("max_severity"),
                     *[F.col(f"cum_n_{s.lower()}").cast("bigint").alias(f"cum_{s.lower()}") for s in SEVERITIES],
-                    (F.col("cum_n_total") - F.coalesce(F.col("_cum_before"), F.lit(0))).cast("bigint")
-                    .alias(f"n_last{history}"))
+                    F.col("_last").cast("bigint").alias(f"n_last{history}"))
 
 
 def severity_counts(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.text import strip
 from vigil.functions.net import slash16
 from vigil.sources import dims
 
@@ -251,7 +252,7 @@ def narrative_template(log: Column) -> Column:
 
 
 def text_is_valid(text: Column) -> Column:
-    return F.coalesce(F.length(F.trim(text)) > 20, F.lit(False))
+    return F.coalesce(F.length(strip(text)) > 20, F.lit(False))
 
 
 def choose_text(external: Column, fallback: Column) -> Column:

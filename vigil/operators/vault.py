@@ -2,8 +2,8 @@
 
 A snapshot is a deterministic payload string per row plus its ``sha2``.
 Two payload forms: ``canonical_json`` (sorted keys, nulls kept) for storage,
-and ``field_payload`` (fields joined by a separator) whose hash other
-engines can recompute.  Verification recomputes and compares; stored files
+and ``field_payload`` (length-prefixed fields) whose hash other engines can
+recompute.  Verification recomputes and compares; stored files
 are verified by hashing their bytes (``binaryFile``), never re-serialising.
 """
 
@@ -18,9 +18,19 @@ def canonical_json(df: DataFrame, cols: list[str] | None = None) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
 
 
-def field_payload(cols: list[str], sep: str = "|") -> Column:
-    """Fields in the given order, nulls as empty strings."""
-    return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+def field_payload(df: DataFrame, cols: list[str]) -> Column:
+    """Fields in the given order, each with its length in front and ``-`` for
+    null, so that different rows never give one payload.  Lists are joined by
+    commas, times are microseconds since the epoch."""
+    def text(c: str) -> Column:
+        kind = df.select(c).dtypes[0][1]
+        if kind.startswith("array"):
+            return F.array_join(c, ",")
+        return (F.unix_micros(c) if kind == "timestamp" else F.col(c)).cast("string")
+
+    def field(v: Column) -> Column:
+        return F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-"))
+    return F.concat(*[field(text(c)) for c in cols])
 
 
 def seal(df: DataFrame, payload: Column, id_col: str = "alert_id", captured_at: Column | None = None) -> DataFrame:

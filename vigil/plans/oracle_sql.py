@@ -224,3 +224,21 @@ scp AS (
          ELSE ['Alert Ingestion'] END AS svc_actions
   FROM sc
 )"""
+
+
+def _sealed_field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE CAST(length({value}) AS VARCHAR) || ':' || {value} END"
+
+
+# The sealed payload of an alert (see ``scoring.SEAL_FIELDS``): text of each field.
+_TEXT = ["alert_id", "CAST(epoch_us(\"timestamp\") AS VARCHAR)", "source_ip", "dest_ip", "CAST(port AS VARCHAR)", "protocol",
+         "event_type", "accessed_path", "processName", "raw_log",
+         *[f"array_to_string({k}, ',')" for k in ("k_sha256", "k_md5", "k_cve", "k_url", "k_ipv6", "k_domain", "k_process", "k_ipv4", "k_lateral", "gaps")],
+         "CAST(c1 AS VARCHAR)", "CAST(c2 AS VARCHAR)", "CAST(c3 AS VARCHAR)", "CAST(confidence_score AS VARCHAR)",
+         "verification_status", "severity", "CAST(confidence AS VARCHAR)", "decoy_asset_id", "CAST(blast_radius AS VARCHAR)",
+         "playbook_state", "array_to_string(svc_actions, ',')"]
+SEALED_PAYLOAD = "(" + " || ".join(_sealed_field(v) for v in _TEXT) + ")"
+
+
+def sealed_payload(fields: list[str]) -> str:
+    return "(" + " || ".join(_sealed_field(v) for v in fields) + ")"

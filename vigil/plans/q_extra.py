@@ -53,8 +53,9 @@ def cacao_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("pb_"), F.regexp_extract("name", r"Incident (\S+)$", 1)).alias("playbook_id"),
         F.regexp_extract("name", r"Incident (\S+)$", 1).alias("alert_id"),
         F.lit("RESOLVED").alias("outcome"), n.alias("n_action_steps"), (n * 2).alias("duration_s"),
-        F.coalesce(F.substring(F.array_min(F.transform(actions, lambda w: w["executed_at"])), 1, 19), F.lit(""))
-         .alias("started_at"))
+        F.coalesce(F.substring("created", 1, 19), F.lit("")).alias("started_at"),
+        F.lit("UNKNOWN").alias("severity"),
+        F.array_join(F.transform(actions, lambda w, i: F.concat_ws(" ", (i * 2).cast("string"), w["name"])), "; ").alias("timeline"))
 
 
 def training_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +89,7 @@ SELECT alert_id, coalesce(nullif(event_type, ''), nullif(substr(raw_log, 1, 60),
   'pending,pending,pending,pending,pending,pending,pending' AS step_status,
   coalesce(nullif(source_ip, ''), 'Unknown') AS attacker_host,
   coalesce(nullif(event_type, ''), nullif(dest_ip, ''), 'Unknown') AS target_account,
-  substr(sha256(concat_ws('|', alert_id, severity, CAST(confidence AS VARCHAR), verification_status, CAST(confidence_score AS VARCHAR),
-         playbook_state, coalesce(source_ip, ''), coalesce(dest_ip, ''), coalesce(event_type, ''))), 1, 16) || '...' AS payload_ref,
+  substr(sha256(""" + O.SEALED_PAYLOAD + """), 1, 16) || '...' AS payload_ref,
   round(confidence * 100, 1) AS confidence_pct, 'green' AS gauge_band,
   CAST(n_ti + n_cve_hits + n_proc_hits + CASE WHEN decoy_asset_id IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS n_threat,
   CAST(CASE WHEN len(gaps) > 0 THEN 1 ELSE 0 END + f_ingress + f_eastwest + CASE WHEN len(k_lateral) > 0 THEN 1 ELSE 0 END
@@ -108,10 +108,10 @@ b AS (SELECT alert_id, source_ip, epoch_us("timestamp") AS t,
 SELECT a.alert_id, a.slash16, count(DISTINCT c.source_ip) AS n_sources, count(DISTINCT c.source_ip) > 1 AS repeat_attacker
 FROM b a JOIN b c ON a.slash16 = c.slash16 AND c.t BETWEEN a.t - 600000000 AND a.t
 GROUP BY ALL""",
-    "cacao_history": O.scored_ctes() + """
+    "cacao_history": O.scored_ctes() + f"""
 SELECT 'pb_' || alert_id AS playbook_id, alert_id, 'RESOLVED' AS outcome, CAST(len(svc_actions) AS INTEGER) AS n_action_steps,
-  CAST(2 * len(svc_actions) AS INTEGER) AS duration_s,
-  strftime("timestamp" + INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS started_at
+  CAST(2 * len(svc_actions) AS INTEGER) AS duration_s, '{AS_OF[:19]}' AS started_at, 'UNKNOWN' AS severity,
+  array_to_string([CAST(2 * (i - 1) AS VARCHAR) || ' ' || a FOR a, i IN svc_actions], '; ') AS timeline
 FROM scp""",
     "training_export": """
 SELECT CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS label, count(*) AS n_rows,

@@ -22,7 +22,7 @@ def stats_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fp_rate_last50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.false_positive_rate(_scored(spark, sf_dir), n=50)
+    return R.false_positive_rate(score_alerts(R.newest(alerts(spark, sf_dir), 50), AS_OF), n=50)
 
 
 def recent_alerts_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ FROM scp ORDER BY "timestamp" DESC, alert_id DESC LIMIT 5""",
 t AS (SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS tick, {_PIVOT}, count(*) AS n_total FROM scp GROUP BY 1)
 SELECT strftime(tick, '%Y-%m-%d %H:%M:%S') AS tick, {', '.join('n_' + s.lower() for s in _SEVS)}, n_total,
   {_MAXSEV} AS max_severity, {_CUMS},
-  CAST(sum(n_total) OVER (ORDER BY tick ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS BIGINT) AS n_last60
+  CAST(sum(n_total) OVER (ORDER BY tick RANGE BETWEEN INTERVAL 59 HOUR PRECEDING AND CURRENT ROW) AS BIGINT) AS n_last60
 FROM t""",
     "dominant_severity": _S + f""",
 d AS (SELECT s.severity, s.ord, count(scp.alert_id) AS n

@@ -10,6 +10,7 @@ from vigil.plans import oracle_sql as O
 from vigil.plans.common import alerts, verified_alerts
 from vigil.plans.scoring import response_shape as shape_of
 from vigil.plans.scoring import score_alerts
+from vigil.session import shared_path
 from vigil.sources import dims
 from vigil.sources.testviews import AS_OF
 
@@ -83,11 +84,13 @@ def action_log_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     # ``_outer`` generators: the log is never empty, and the plain form makes the
     # optimizer infer a size(log) > 0 filter that it pushes below (and so
     # duplicates) the whole scoring projection.
-    e = p.select("alert_id", F.posexplode_outer("actions_log").alias("pos", "a"))
-    return e.select("alert_id", (F.col("pos") + 1).alias("step"), F.col("a.from_state").alias("from_state"),
-                    F.col("a.to_state").alias("to_state"), F.col("a.action_taken").alias("action_taken"),
-                    F.col("a.reason").alias("reason"),
-                    F.lag("a.to_state").over(Window.partitionBy("alert_id").orderBy("pos")).alias("prev_to_state"))
+    # A step's predecessor is its neighbour in the log, so no shuffle is needed.
+    steps = F.transform("actions_log", lambda a, i: F.struct(
+        (i + 1).alias("step"), a["from_state"].alias("from_state"), a["to_state"].alias("to_state"),
+        a["action_taken"].alias("action_taken"), a["reason"].alias("reason"),
+        F.get(F.col("actions_log"), i - 1)["to_state"].alias("prev_to_state")))
+    e = p.select("alert_id", F.explode_outer(steps).alias("a"))
+    return e.select("alert_id", "a.step", "a.from_state", "a.to_state", "a.action_taken", "a.reason", "a.prev_to_state")
 
 
 def cacao_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,16 +118,21 @@ def response_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def response_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response job: required keys → full response machine → narrative →
-    seal → integrity check, one row per alert (rows missing a key are rejected)."""
+    seal → stored snapshot → integrity check of what was stored, one row per
+    alert (rows missing a key are rejected)."""
     from vigil.operators.vault import field_payload, seal
     p = _full_playbooks(spark, sf_dir)
     ok = F.col("alert_id").isNotNull() & F.col("severity").isNotNull() & F.col("confidence_score").isNotNull()
     p = p.where(ok).withColumn("final_state", TR.final_state(F.col("actions_log"))) \
          .withColumn("playbook_narrative", TR.playbook_narrative(F.col("alert_id"), F.col("actions_log")))
-    sealed = seal(p, field_payload(["alert_id", "severity", "final_state", "playbook_narrative"]),
+    p = p.withColumn("_log", F.transform("actions_log", lambda a: F.concat_ws(">", a["from_state"], a["to_state"], a["action_taken"], a["reason"])))
+    sealed = seal(p, field_payload(p, ["alert_id", "severity", "final_state", "playbook_narrative", "_log"]),
                   captured_at=F.lit(AS_OF).cast("timestamp"))
-    return sealed.select("alert_id", "final_state", F.size("actions_log").alias("n_actions"), "playbook_narrative",
-                         F.col("sha256").alias("vault_hash"),
+    store = shared_path(spark, "response-snapshots")
+    (sealed.select("alert_id", "final_state", F.size("actions_log").alias("n_actions"), "playbook_narrative", "payload", "sha256")
+     .write.parquet(store))
+    stored = spark.read.parquet(store)
+    return stored.select("alert_id", "final_state", "n_actions", "playbook_narrative", F.col("sha256").alias("vault_hash"),
                          (F.sha2(F.col("payload"), 256) == F.col("sha256")).alias("integrity_verified"))
 
 
@@ -201,13 +209,13 @@ m2l AS (
 
 
 _JOB = """,
-j AS (SELECT alert_id, severity, log[len(log)].t AS final_state, CAST(len(log) AS INTEGER) AS n_actions,
+j AS (SELECT alert_id, severity, array_to_string(list_transform(log, lambda x: concat_ws('>', x.f, x.t, x.a, x.r)), ',') AS log_text, log[len(log)].t AS final_state, CAST(len(log) AS INTEGER) AS n_actions,
         'Incident ' || alert_id || ': Automated response initiated at ' || strftime(ts0 + INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S.%f')
         || '.' || chr(10) || 'System executed ' || CAST(len(log) AS VARCHAR) || ' response actions.' || chr(10) || 'Final state: '
         || log[len(log)].t || ' at ' || strftime(ts0 + to_seconds(len(log)), '%Y-%m-%dT%H:%M:%S.%f') || '.' AS playbook_narrative
       FROM m2l JOIN (SELECT alert_id, "timestamp" AS ts0 FROM alerts_v) USING (alert_id))
 SELECT alert_id, final_state, n_actions, playbook_narrative,
-  sha256(concat_ws('|', alert_id, severity, final_state, playbook_narrative)) AS vault_hash, true AS integrity_verified
+  sha256(""" + O.sealed_payload(["alert_id", "severity", "final_state", "playbook_narrative", "log_text"]) + """) AS vault_hash, true AS integrity_verified
 FROM j"""
 
 
@@ -265,8 +273,7 @@ SELECT alert_id, severity, confidence, blast_radius, playbook_state,
     || 'TECHNIQUE: Suspicious activity detected via severity_raw pattern (T1059).' || {_NL} || 'ACTION: ISOLATE_HOST' AS summary,
   'INCIDENT NARRATIVE:' || {_NL} || array_to_string(list_transform(svc_actions, lambda a: '- ' || a || {_NL}), '')
     || 'The incident was closed and logged per SOC protocol.' AS narrative,
-  sha256(concat_ws('|', alert_id, severity, CAST(confidence AS VARCHAR), verification_status, CAST(confidence_score AS VARCHAR),
-                   playbook_state, coalesce(source_ip, ''), coalesce(dest_ip, ''), coalesce(event_type, ''))) AS vault_hash,
+  sha256({O.SEALED_PAYLOAD}) AS vault_hash,
   coalesce(source_ip, '') AS source_ip, coalesce(dest_ip, '') AS dest_ip, coalesce(port, 0) AS port,
   coalesce(event_type, '') AS event_type, false AS honeypot_triggered, '' AS triggered_asset_id,
   coalesce(protocol, '') AS protocol, coalesce(accessed_path, '') AS accessed_path,

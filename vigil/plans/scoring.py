@@ -3,7 +3,7 @@
 source → indicators → verification → tier → decoy override → blast radius →
 response → seal → texts.  Everything up to the blast-radius lookup is a
 chain of projections (no shuffle).  The blast lookup joins on the node id;
-the node table is size-checked before it is broadcast.
+adaptive execution broadcasts the node table where its measured size allows.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from vigil.operators import triage as TR
 from vigil.operators.vault import field_payload, seal
 from vigil.operators.verify import verify
 
-# Node tables up to this many rows are broadcast for the blast lookup.
-BLAST_BROADCAST_MAX_ROWS = 2_000_000
-SEAL_FIELDS = ["alert_id", "severity", "confidence", "verification_status", "confidence_score",
-               "playbook_state", "source_ip", "dest_ip", "event_type"]
+# The whole alert: its own fields, its indicators and every decision on it.
+# Evidence and summary texts are rendered from these and not sealed apart.
+SEAL_FIELDS = ["alert_id", "timestamp", "source_ip", "dest_ip", "port", "protocol", "event_type", "accessed_path",
+               "processName", "raw_log", "ioc.sha256", "ioc.md5", "ioc.cve", "ioc.url", "ioc.ipv6", "ioc.domain",
+               "ioc.process", "ioc.ipv4", "ioc.lateral_movement", "structural_gaps", "c1", "c2", "c3",
+               "confidence_score", "verification_status", "severity", "confidence", "decoy_asset_id", "blast_radius",
+               "playbook_state", "_action_names"]
 
 
 def attach_blast(df: DataFrame, blast: DataFrame | None, node_col: str = "source_ip") -> DataFrame:
@@ -27,8 +30,6 @@ def attach_blast(df: DataFrame, blast: DataFrame | None, node_col: str = "source
     if blast is None:
         return df.withColumn("blast_radius", F.lit(0.0))
     b = blast.select(F.col("node").alias("_blast_node"), F.col("blast_radius_score").alias("_blast"))
-    if b.count() <= BLAST_BROADCAST_MAX_ROWS:
-        b = F.broadcast(b)
     j = df.join(b, df[node_col] == F.col("_blast_node"), "left")
     return j.withColumn("blast_radius", F.coalesce(F.col("_blast"), F.lit(0.0))).drop("_blast_node", "_blast")
 
@@ -51,8 +52,9 @@ def score_alerts(alerts: DataFrame, as_of: str | Column, blast: DataFrame | None
                                                        F.col("confidence"), top))
             .withColumn("narrative", TR.narrative_template(F.col("playbook_actions"))))
     as_of_c = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
-    df = seal(df, field_payload(SEAL_FIELDS), captured_at=as_of_c).withColumnRenamed("sha256", "vault_hash")
-    return df
+    df = df.withColumn("_action_names", F.transform("playbook_actions", lambda a: a["action_taken"]))
+    df = seal(df, field_payload(df, SEAL_FIELDS), captured_at=as_of_c).withColumnRenamed("sha256", "vault_hash")
+    return df.drop("_action_names")
 
 
 def response_shape(scored: DataFrame) -> DataFrame:
