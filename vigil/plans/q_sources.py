@@ -111,7 +111,10 @@ FROM events""",
     "flowlog_csv_ingest": "WITH " + O.ALERTS_V_SQL.strip() + """
 SELECT nullif(source_ip, '') AS source_ip, dest_ip, CASE WHEN port = 0 THEN NULL ELSE CAST(port AS VARCHAR) END AS port, protocol,
   CASE WHEN event_id % 7 = 0 THEN 'normal' ELSE event_type END AS event_type, label,
-  TIMESTAMP '2024-01-30 12:00:00' AS "timestamp"
+  TIMESTAMP '2024-01-30 12:00:00' AS "timestamp",
+  replace('{~id~: ~' || alert_id || '~, ~srcip~: ' || coalesce('~' || nullif(source_ip, '') || '~', 'nan') || ', ~dstip~: ' || coalesce('~' || dest_ip || '~', 'nan')
+  || ', ~dsport~: ' || CASE WHEN port = 0 THEN '~-~' ELSE CAST(port AS VARCHAR) END || ', ~proto~: ' || coalesce('~' || protocol || '~', 'nan')
+  || ', ~attack_cat~: ' || CASE WHEN event_id % 7 = 0 THEN 'nan' ELSE '~' || event_type || '~' END || ', ~Label~: ' || CAST(label AS VARCHAR) || '}', '~', chr(39)) AS raw_log
 FROM alerts_v""",
     "ti_feed_hits": O.alerts_verified_ctes() + "\nSELECT alert_id, n_ti AS n_ti_hits FROM vs WHERE n_ti > 0",
     "request_validation": "WITH " + O.ALERTS_V_SQL.strip() + """,

@@ -76,6 +76,19 @@ def read_csv_logs(spark: SparkSession, paths: list[str], encoding: str | None =
     return out
 
 
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def row_text(df: DataFrame) -> Column:
+    """The whole row as text, every column in order: ``{'name': value, ...}``,
+    numbers bare, other values quoted, ``nan`` for null."""
+    def item(c: str) -> Column:
+        v = F.col(f"`{c}`").cast("string")
+        shown = F.when(v.isNull(), F.lit("nan")).when(v.rlike(NUMBER), v).otherwise(F.concat(F.lit("'"), v, F.lit("'")))
+        return F.concat(F.lit(f"'{c}': "), shown)
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[item(c) for c in df.columns if c != "source_file"]), F.lit("}"))
+
+
 def normalise_host_log(df: DataFrame, now: Column) -> DataFrame:
     """Host-log rows → alert columns (event id as text, user as source,
     suspicious score as severity, evil flag as label, epoch seconds as time)."""
@@ -89,8 +102,7 @@ def normalise_host_log(df: DataFrame, now: Column) -> DataFrame:
         evil.cast("int").alias("label"),
         F.coalesce(F.timestamp_micros((ts_s * 1000000).cast("bigint")), now).alias("timestamp"),
         F.when(F.col("processName").isNotNull(), F.col("processName")).alias("processName"),
-        F.concat_ws(" ", *[F.concat(F.lit(c + "="), F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-                           for c in ("timestamp", "userId", "eventId", "processName", "sus", "evil")]).alias("raw_log"))
+        row_text(df).alias("raw_log"))
 
 
 def normalise_flow_log(df: DataFrame, now: Column) -> DataFrame:
@@ -103,7 +115,7 @@ def normalise_flow_log(df: DataFrame, now: Column) -> DataFrame:
         F.col("srcip").alias("source_ip"), F.col("dstip").alias("dest_ip"), port.alias("port"),
         F.col("proto").alias("protocol"),
         F.when(cat.isNull() | (strip(cat) == ""), F.lit("normal")).otherwise(cat).alias("event_type"),
-        F.col("Label").try_cast("int").alias("label"), now.alias("timestamp"))
+        F.col("Label").try_cast("int").alias("label"), now.alias("timestamp"), row_text(df).alias("raw_log"))
 
 
 def read_ti_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
