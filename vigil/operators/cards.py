@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.net import slash16
+from vigil.functions.ordered import running_totals
 from vigil.sources import dims
 
 
@@ -78,27 +79,26 @@ def card_fields(df: DataFrame) -> DataFrame:
               .withColumn("prompt_context", context))
 
 
-def repeat_attackers(df: DataFrame, window_s: int = 600, bucket_s: int = 3600) -> DataFrame:
-    """See module doc; times are compared in microseconds."""
-    return _repeat(df, window_s * 1_000_000, bucket_s * 1_000_000)
+def repeat_attackers(df: DataFrame, window_s: int = 600) -> DataFrame:
+    """Distinct sources per /16 within the last ``window_s`` of each alert (both
+    ends included; times are compared in microseconds).
 
-
-def _repeat(df: DataFrame, window_s: int, bucket_s: int) -> DataFrame:
-    """Distinct sources per /16 within the last ``window_s`` (microseconds) of each alert.
-
-    Partitioned by (/16, time bucket) instead of /16 alone, so a hot /16 is
-    split across buckets; each row is also copied, as history only, into
-    the next bucket when it lies within ``window_s`` of that bucket's start.
-    The result is exact and no partition holds more than one bucket of one
-    /16 (plus its overlap)."""
+    A sweep instead of a sliding set: a source counts from each of its alerts
+    until its next one, or until the window has passed, so every alert gives one
+    +1 and one -1.  Their running total per /16 is the number of sources.  It is
+    taken over ranges of (/16, time), so a hot /16 is split over tasks, and the
+    cost is linear in its alerts."""
+    window = window_s * 1_000_000
     base = (df.where(F.col("source_ip").isNotNull() & (F.col("source_ip") != ""))
               .select("alert_id", "source_ip", F.unix_micros("timestamp").alias("t"),
                       slash16(F.col("source_ip")).alias("slash16")))
-    own = base.withColumn("bucket", F.floor(F.col("t") / bucket_s)).withColumn("is_context", F.lit(False))
-    nxt = (base.withColumn("bucket", F.floor(F.col("t") / bucket_s) + 1)
-               .where(F.col("bucket") * bucket_s - F.col("t") <= window_s)
-               .withColumn("is_context", F.lit(True)))
-    w = (Window.partitionBy("slash16", "bucket").orderBy("t").rangeBetween(-window_s, 0))
-    out = own.unionByName(nxt).withColumn("n_sources", F.size(F.collect_set("source_ip").over(w)))
-    return (out.where(~F.col("is_context"))
-               .select("alert_id", "slash16", "n_sources", (F.col("n_sources") > 1).alias("repeat_attacker")))
+    seen = base.select("slash16", "source_ip", "t").distinct()
+    following = F.lead("t").over(Window.partitionBy("slash16", "source_ip").orderBy("t"))
+    until = F.least(F.coalesce(following, F.col("t") + window + 1), F.col("t") + window + 1)
+    turns = (seen.withColumn("until", until)
+             .select("slash16", F.explode(F.array(F.struct(F.col("t"), F.lit(1).alias("d")),
+                                                  F.struct(F.col("until").alias("t"), F.lit(-1).alias("d")))).alias("x")))
+    changes = turns.groupBy("slash16", F.col("x.t").alias("t")).agg(F.sum("x.d").alias("d"))
+    totals = running_totals(changes, "t", ["d"], by=["slash16"]).select("slash16", "t", F.col("cum_d").alias("n_sources"))
+    return (base.join(totals, ["slash16", "t"])
+                .select("alert_id", "slash16", "n_sources", (F.col("n_sources") > 1).alias("repeat_attacker")))
