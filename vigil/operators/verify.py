@@ -2,11 +2,12 @@
 
 Each pass yields a score and a list of evidence entries
 ``struct<pass:int, rule:string, weight:int, subject:string, text:string>``.
-Lookups against the event table, the service ports and the (size-bounded)
-address ranges are literal maps / arrays inside the expression, so the whole
-operator is one projection: no join, no shuffle, and it runs unchanged on a
-streaming DataFrame.  Large threat-intel feeds use
-:func:`vigil.operators.iprange.range_hits` instead (bucketed equi-join).
+Lookups against the event table, the service ports and the fixed address
+ranges are literal maps / arrays inside the expression, so the whole operator
+is one projection: no join, no shuffle, and it runs unchanged on a streaming
+DataFrame.  Threat-intel feeds given as tables are joined by key instead
+(:func:`with_feed_hits`) and their hits enter the same scores and evidence, so
+a feed of any size is scored alike.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.ioc import ioc_kind
 from vigil.functions.net import WIDE_PRIVATE_BLOCKS, cidr_bounds, ip_to_long, long_in_blocks
+from vigil.operators.iprange import range_hits
 from vigil.sources import dims
 
 EVIDENCE_TYPE = "struct<pass:int,rule:string,weight:int,subject:string,text:string>"
@@ -25,9 +27,6 @@ def empty_evidence() -> Column:
     return F.array().cast(f"array<{EVIDENCE_TYPE}>")
 
 
-# Ranges above this many entries are not inlined into the expression.
-MAX_INLINE_RANGES = 2000
-
 
 def _lit_map(pairs) -> Column:
     flat = []
@@ -38,8 +37,6 @@ def _lit_map(pairs) -> Column:
 
 def range_array(ranges: list[tuple[str, str]]) -> Column:
     """Constant array<struct<ord,cidr,label,lo,hi>> for inline range probes."""
-    if len(ranges) > MAX_INLINE_RANGES:
-        raise ValueError(f"{len(ranges)} ranges: use vigil.operators.iprange for large feeds")
     items = []
     for i, (cidr, label) in enumerate(ranges):
         lo, hi = cidr_bounds(cidr)
@@ -196,6 +193,42 @@ def behaviour_filler(source_ip: Column, dest_ip: Column, event_type: Column) ->
 
 
 # ---------------------------------------------------------------- pass 3
+def all_addresses(source_ip: Column, ext: Column) -> Column:
+    """Indicator addresses, then the source."""
+    return F.concat(ext, F.when(~_blank(source_ip), F.array(source_ip.cast("string")))
+                    .otherwise(F.array().cast("array<string>")))
+
+
+def with_feed_hits(df: DataFrame, feed: dict[str, DataFrame], key: str = "alert_id") -> DataFrame:
+    """Adds ``_ti_at`` (position of an address occurrence → its first feed range),
+    ``_bad_cves`` and ``_bad_procs`` (the alert's values that the feed lists).
+
+    Addresses, CVEs and processes are exploded and joined with the feed's tables
+    by key; only alerts with hits come back, one row each, by ``key``, which
+    identifies an alert."""
+    addrs = df.select(key, F.posexplode(all_addresses(F.col("source_ip"), F.col("_ext"))).alias("_pos", "ip"))
+    ranges = range_hits(addrs, feed["ti_cidr"], "ip", keys=[key, "_pos"])
+    at = ranges.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "cidr"))).alias("_ti_at"))
+
+    def listed(col: str, table: DataFrame, value: str, fold, out: str) -> DataFrame:
+        values = df.select(key, F.explode(col).alias("_v")).select(key, fold("_v").alias("_v"))
+        known = table.select(fold(value).alias("_v")).distinct()
+        return values.join(known, "_v").groupBy(key).agg(F.collect_set("_v").alias(out))
+
+    cves = listed("_cve", feed["ti_cve"], "cve", F.upper, "_bad_cves")
+    procs = listed("_proc", feed["ti_process"], "process", F.lower, "_bad_procs")
+    return df.join(at, key, "left").join(cves, key, "left").join(procs, key, "left")
+
+
+def feed_probes(source_ip: Column, ext: Column, ti_at: Column, risk_ranges: list[tuple[str, str]] | None = None) -> Column:
+    """As ``intel_probes``, the feed ranges coming from ``with_feed_hits``."""
+    risk_arr = range_array(dims.RISK_RANGES if risk_ranges is None else risk_ranges)
+    return F.transform(all_addresses(source_ip, ext), lambda ip, i: F.struct(
+        ip.alias("ip"),
+        F.when(F.try_element_at(ti_at, i).isNotNull(), F.struct(F.try_element_at(ti_at, i).alias("cidr"))).alias("ti"),
+        first_range(ip_to_long(ip), risk_arr).alias("risk")))
+
+
 def intel_probes(source_ip: Column, ext: Column, ti_ranges: list[str] | None = None,
                  risk_ranges: list[tuple[str, str]] | None = None) -> Column:
     """Every address occurrence (indicator addresses, then the source) with
@@ -204,9 +237,7 @@ def intel_probes(source_ip: Column, ext: Column, ti_ranges: list[str] | None = N
     risk_ranges = dims.RISK_RANGES if risk_ranges is None else risk_ranges
     ti_arr = range_array([(c, "") for c in ti_ranges])
     risk_arr = range_array(risk_ranges)
-    all_ips = F.concat(ext, F.when(~_blank(source_ip), F.array(source_ip.cast("string")))
-                       .otherwise(F.array().cast("array<string>")))
-    parsed = F.transform(all_ips, lambda ip: F.struct(ip.alias("ip"), ip_to_long(ip).alias("ipl")))
+    parsed = F.transform(all_addresses(source_ip, ext), lambda ip: F.struct(ip.alias("ip"), ip_to_long(ip).alias("ipl")))
     return F.transform(parsed, lambda p: F.struct(
         p["ip"].alias("ip"),
         first_range(p["ipl"], ti_arr).alias("ti"),
@@ -214,7 +245,7 @@ def intel_probes(source_ip: Column, ext: Column, ti_ranges: list[str] | None = N
 
 
 def intel_hits(event_type: Column, probes: Column, cves: Column, procs: Column,
-               bad_cves: list[str] | None = None, bad_processes: list[str] | None = None) -> Column:
+               bad_cves: list[str] | Column | None = None, bad_processes: list[str] | Column | None = None) -> Column:
     """Pass-3 hits without any text: feed hits (one per address occurrence),
     counted risk-range hits, bad CVEs and bad processes.
 
@@ -222,8 +253,13 @@ def intel_hits(event_type: Column, probes: Column, cves: Column, procs: Column,
     of the pass.  Entry texts hold only the address, range, label and event
     between fixed words without digits or dots, so the test runs on the key
     ``ip cidr [label] event`` instead of the rendered sentence."""
-    bad_cves = [c.upper() for c in (dims.TI_BAD_CVES if bad_cves is None else bad_cves)]
-    bad_procs = [p.lower() for p in (dims.TI_BAD_PROCESSES if bad_processes is None else bad_processes)]
+    def among(values, fixed: list[str], fold: str):
+        if isinstance(values, Column):  # the alert's own listed values
+            return lambda x: F.coalesce(F.array_contains(values, x), F.lit(False))
+        return lambda x: x.isin(*[getattr(v, fold)() for v in (fixed if values is None else values)])
+
+    is_bad_cve = among(bad_cves, dims.TI_BAD_CVES, "upper")
+    is_bad_proc = among(bad_processes, dims.TI_BAD_PROCESSES, "lower")
     evt_s = _show(event_type)
     ti = F.filter(probes, lambda p: p["ti"].isNotNull())
     ti_keys = F.transform(ti, lambda p: F.concat_ws(" ", p["ip"], p["ti"]["cidr"], evt_s))
@@ -241,8 +277,8 @@ def intel_hits(event_type: Column, probes: Column, cves: Column, procs: Column,
     risk = F.aggregate(F.filter(probes, lambda p: p["risk"].isNotNull()), init, add_risk)
     return F.struct(F.transform(ti, lambda p: F.struct(p["ip"].alias("ip"), p["ti"]["cidr"].alias("cidr"))).alias("ti"),
                     risk["hits"].alias("risk"),
-                    F.filter(cves, lambda c: F.upper(c).isin(*bad_cves)).alias("cve"),
-                    F.filter(procs, lambda x: F.lower(x).isin(*bad_procs)).alias("process"))
+                    F.filter(cves, lambda c: is_bad_cve(F.upper(c))).alias("cve"),
+                    F.filter(procs, lambda x: is_bad_proc(F.lower(x))).alias("process"))
 
 
 def intel_score(hits: Column, sha: Column) -> Column:
@@ -298,7 +334,7 @@ def status_of(score: Column) -> Column:
 
 def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col: str = "timestamp",
            ts_is_string: bool = False, ti_ranges=None, risk_ranges=None, bad_cves=None,
-           bad_processes=None) -> DataFrame:
+           bad_processes=None, feed: dict[str, DataFrame] | None = None, key: str = "alert_id") -> DataFrame:
     """Add c1, c2, c3, confidence_score, verification_status, evidence and
     evidence_trail (rendered text) to an alert DataFrame with an ``iocs`` map.
 
@@ -307,6 +343,7 @@ def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col:
     is evaluated once per row and the generated code stays small."""
     as_of_c = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     c = F.col
+    # with a feed (tables ti_cidr, ti_cve, ti_process), its hits replace the listed values
     boost_c = boost if isinstance(boost, Column) else F.lit(boost)
     df = (df
           .withColumn("structural_gaps", structural_gaps(c("source_ip"), c("event_type"), c("raw_log"), c(ts_col),
@@ -320,8 +357,12 @@ def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col:
           .withColumn("_proc", ioc_kind(df, "process"))
           .withColumn("_sha", ioc_kind(df, "sha256")))
     src_priv, dst_priv = direction_flags(c("source_ip"), c("dest_ip"), c("_src_l"), c("_dst_l"))
-    df = (df.withColumn("_src_priv", src_priv).withColumn("_dst_priv", dst_priv)
-            .withColumn("_probes", intel_probes(c("source_ip"), c("_ext"), ti_ranges, risk_ranges)))
+    df = df.withColumn("_src_priv", src_priv).withColumn("_dst_priv", dst_priv)
+    if feed is None:
+        df = df.withColumn("_probes", intel_probes(c("source_ip"), c("_ext"), ti_ranges, risk_ranges))
+    else:
+        df = with_feed_hits(df, feed, key).withColumn("_probes", feed_probes(c("source_ip"), c("_ext"), c("_ti_at"), risk_ranges))
+        bad_cves, bad_processes = c("_bad_cves"), c("_bad_procs")
     s1, e1 = structural_pass(c("structural_gaps"), c("source_ip"), c("dest_ip"), c("port"), c("event_type"))
     df = (df.withColumn("_hits3", intel_hits(c("event_type"), c("_probes"), c("_cve"), c("_proc"), bad_cves, bad_processes))
             .withColumn("c1", s1)
@@ -344,5 +385,5 @@ def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col:
              .withColumn("evidence", F.concat(F.array(c("e1")), c("e2"), c("e3")))
              .withColumn("evidence_trail", F.transform(c("evidence"), lambda e: e["text"]))
              .drop("e1", "e2", "e3", "_e2", "_e3", "_src_l", "_dst_l", "_ext", "_lat", "_dom", "_cve",
-                   "_proc", "_sha", "_probes", "_src_priv", "_dst_priv"))
+                   "_proc", "_sha", "_probes", "_src_priv", "_dst_priv", "_ti_at", "_bad_cves", "_bad_procs"))
     return out

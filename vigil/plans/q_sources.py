@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.ioc import with_ioc_struct
+from vigil.functions.ioc import with_ioc_struct, with_iocs
 from vigil.operators.iprange import range_hits
+from vigil.operators.verify import verify
 from vigil.plans import oracle_sql as O
 from vigil.plans.common import alerts, table
 from vigil.session import shared_path
@@ -57,13 +58,17 @@ def flowlog_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("port", F.col("port").cast("string"))
 
 
-def ti_feed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shipped feed as JSON → bucketed range join with every address occurrence."""
+def _written_feed(spark: SparkSession) -> dict[str, DataFrame]:
     import json
     path = shared_path(spark, "ti-feed")
     kb = {"bad_ips": dims.TI_BAD_IPS, "bad_cves": dims.TI_BAD_CVES, "bad_processes": dims.TI_BAD_PROCESSES}
     spark.createDataFrame([(json.dumps(kb, indent=4),)], "value string").coalesce(1).write.text(path)
-    feed = L.read_ti_feed(spark, path)
+    return L.read_ti_feed(spark, path)
+
+
+def ti_feed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped feed as JSON → bucketed range join with every address occurrence."""
+    feed = _written_feed(spark)
     a = with_ioc_struct(alerts(spark, sf_dir), "raw_log", "processName", out="ioc")
     src = F.when(F.col("source_ip").isNotNull() & (F.col("source_ip") != ""), F.array("source_ip")) \
            .otherwise(F.array().cast("array<string>"))
@@ -73,6 +78,13 @@ def ti_feed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_ti_hits"))
 
 
+def verify_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verification against a feed that was read from JSON: every lookup is a join by key."""
+    feed = _written_feed(spark)
+    a = with_iocs(alerts(spark, sf_dir), "raw_log", "processName")
+    return verify(a, AS_OF, feed=feed).select("alert_id", "c3", "confidence_score", "verification_status")
+
+
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "requests")
     a = alerts(spark, sf_dir)
@@ -96,6 +108,7 @@ QUERIES = {
     "hostlog_csv_ingest": hostlog_csv_ingest,
     "flowlog_csv_ingest": flowlog_csv_ingest,
     "ti_feed_hits": ti_feed_hits,
+    "verify_feed": verify_feed,
     "request_validation": request_validation,
     "column_profile": column_profile,
 }
@@ -117,6 +130,7 @@ SELECT nullif(source_ip, '') AS source_ip, dest_ip, CASE WHEN port = 0 THEN NULL
   || ', ~attack_cat~: ' || CASE WHEN event_id % 7 = 0 THEN 'nan' ELSE '~' || event_type || '~' END || ', ~Label~: ' || CAST(label AS VARCHAR) || '}', '~', chr(39)) AS raw_log
 FROM alerts_v""",
     "ti_feed_hits": O.alerts_verified_ctes() + "\nSELECT alert_id, n_ti AS n_ti_hits FROM vs WHERE n_ti > 0",
+    "verify_feed": O.scored_ctes() + "\nSELECT alert_id, CAST(c3 AS INTEGER) AS c3, confidence_score, verification_status FROM scp",
     "request_validation": "WITH " + O.ALERTS_V_SQL.strip() + """,
 r AS (SELECT CASE WHEN event_id % 113 = 0 THEN 'unparsable'
                   WHEN NOT regexp_full_match(coalesce(source_ip, 'not_an_ip'), '^\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}$')
