@@ -96,3 +96,16 @@ def test_stratified_split_exact(spark):
     # class 0: 700 rows → 210 held out → 105 test / 105 validation; class 1: 300 → 90 → 45 / 45
     assert got == {("train", 0): 490, ("validation", 0): 105, ("test", 0): 105,
                    ("train", 1): 210, ("validation", 1): 45, ("test", 1): 45}
+
+
+def test_saved_pipeline_takes_nulls_unseen_values_and_many_categories(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    rows = [(i, None if i % 9 == 0 else float(i % 2) * 3 + i % 5 * 0.1, f"c{i % 50}", i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, x double, c string, y int")
+    fitted, scored, _ = ML.train_candidates(df.where("k < 200"), df.where("k >= 200"), ["x"], ["c"], "y", key_col="k")
+    assert set(scored) == {"random_forest", "gradient_boosting", "logistic_regression"}
+    path = str(tmp_path / "model")
+    fitted["gradient_boosting"].write().save(path)
+    new = spark.createDataFrame([(1, None, "never seen"), (2, 3.0, None), (3, 0.1, "c1")], "k int, x double, c string")
+    got = {r.k: r.prediction for r in PipelineModel.load(path).transform(new).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == 1.0

@@ -249,30 +249,37 @@ def select_model(metrics: DataFrame) -> DataFrame:
 def train_candidates(train: DataFrame, validation: DataFrame, numeric: list[str], categorical: list[str],
                      label: str, seed: int = SPLIT_SEED, key_col: str | None = None):
     """Fit random forest (100 trees), gradient boosting (30 rounds, depth 4) and
-    logistic regression (≤ 3000 iterations) on scaled numerics + category codes."""
-    from pyspark.ml import Pipeline
+    logistic regression (≤ 3000 iterations) on scaled numerics + category codes.
+
+    Each fitted pipeline holds the whole path from raw columns: medians for
+    nulls, scaling, codes (unseen values get a code of their own) and the model,
+    so that loading and ``transform`` is all that serving needs."""
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 
     med = fit_medians(train, numeric)
-    train, validation = impute_medians(train, med), impute_medians(validation, med)
     if train.select(label).distinct().limit(2).count() < 2 and key_col is not None:
-        train = single_class_augment(train, key_col, numeric, label, seed=seed)
-    params = fit_standardizer(train, numeric)
-    tr = standardize(train, params, "_z")
-    va = standardize(validation, params, "_z")
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_code", stringOrderType="alphabetAsc", handleInvalid="keep")
+        train = single_class_augment(impute_medians(train, med), key_col, numeric, label, seed=seed)
+    train = train.persist()
+    params = fit_standardizer(impute_medians(train, med), numeric)
+    scaled = ", ".join(f"(coalesce(cast(`{c}` as double), {float(med[c] or 0.0)!r}D) - {params[c][0]!r}D) / {float(params[c][1])!r}D AS `{c}_z`"
+                       for c in numeric)
+    prepare = SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__" if numeric else "SELECT * FROM __THIS__")
+    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_code", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
            for c in categorical]
+    bins = max([32, *(len(m.labels) + 1 for m in idx)])  # a tree needs a bin for each category
     feats = [f"{c}_z" for c in numeric] + [f"{c}_code" for c in categorical]
     asm = VectorAssembler(inputCols=feats, outputCol="features")
     models = {
-        "random_forest": RandomForestClassifier(labelCol=label, numTrees=100, seed=seed),
-        "gradient_boosting": GBTClassifier(labelCol=label, maxIter=30, maxDepth=4, seed=seed),
+        "random_forest": RandomForestClassifier(labelCol=label, numTrees=100, seed=seed, maxBins=bins),
+        "gradient_boosting": GBTClassifier(labelCol=label, maxIter=30, maxDepth=4, seed=seed, maxBins=bins),
         "logistic_regression": LogisticRegression(labelCol=label, maxIter=3000),
     }
     fitted, scored = {}, {}
     for name, est in models.items():
-        model = Pipeline(stages=idx + [asm, est]).fit(tr)
-        fitted[name] = model
-        scored[name] = model.transform(va)
+        model = Pipeline(stages=[prepare, *idx, asm, est]).fit(train)
+        fitted[name] = PipelineModel(model.stages)
+        scored[name] = model.transform(validation)
+    train.unpersist()
     return fitted, scored, feats

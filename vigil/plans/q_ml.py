@@ -85,8 +85,7 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "model")
     fitted[best].write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    params = ML.fit_standardizer(train, NUMERIC)
-    test_m = _label_metrics(loaded.transform(ML.standardize(test, params, "_z"))).first()
+    test_m = _label_metrics(loaded.transform(test)).first()
     importances = {}
     for name, model in fitted.items():
         est = model.stages[-1]
