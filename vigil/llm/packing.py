@@ -21,16 +21,17 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.bpe import byte_alphabet
 from vigil.llm.common import blocks_for
 
 CAPACITY = 4096
@@ -39,6 +40,8 @@ GROUP_BYTES = 6 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 TRIES = 8              # cheapest sequences that are tried for one that holds a document whole
 KEPT_WORDS = 800_000   # words whose ids a worker keeps; the table is emptied when full
+LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+BYTE_LETTERS = {b: c for c, b in byte_alphabet().items()}
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double")
 
 
@@ -55,15 +58,34 @@ class WordIds:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.kept: dict[str, bytes] = {"": b""}
-        self.letters_then_marks = regex.compile(r"((?:(?!\u0130)\p{L})+)([.,;:!?]+)")  # U+0130 lower-cases to a letter and a mark
+        self.model = self.tok.model
+        self.bases: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        split = {w: m.groups() for w in words if (m := self.letters_then_marks.fullmatch(w))}
-        new = [w for w in {*(w for w in words if w not in split), *(p for ps in split.values() for p in ps)} if w not in self.kept]
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[w] = array(self.code, e.ids).tobytes()
-        for w, ps in split.items():
-            self.kept[w] = b"".join(self.kept[p] for p in ps)
+        """Latin-1 letters need no normalizing but lower case, are one pre-token,
+        and never join the marks after them, so they go to the BPE model straight
+        away; all other words take the library's whole path."""
+        kept, bases, others, pairs = self.kept, self.bases, [], []
+        for w in words:
+            m = LETTERS_THEN_MARKS(w)
+            if m is None:
+                others.append(w)
+                continue
+            base = m[1].lower()
+            ids = bases.get(base)
+            if ids is None:
+                letters = base if base.isascii() else base.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = bases[base] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if m[2]:
+                pairs.append((w, ids, m[2]))
+            else:
+                kept[w] = ids
+        marks = {p[2] for p in pairs}.difference(kept)
+        others += marks
+        for w, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            kept[w] = array(self.code, e.ids).tobytes()
+        for w, ids, mark in pairs:
+            kept[w] = ids + kept[mark]
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``."""
@@ -71,7 +93,7 @@ class WordIds:
         for at in range(0, len(texts), 32):
             some = [text.replace("\n", " ").split(" ") for text in texts[at:at + 32]]
             if len(self.kept) > KEPT_WORDS:
-                self.kept = {"": b""}
+                self.kept, self.bases = {"": b""}, {}
             new = set().union(*some).difference(self.kept)
             if new:
                 self._learn(list(new))
