@@ -36,7 +36,9 @@ def _best(df: DataFrame) -> DataFrame:
 
 
 def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """All shortest weighted paths from ``sources`` (default: every node).
+    """All shortest weighted paths from ``sources`` (default: every node, of
+    which those without incoming edges are left out of the rounds, see
+    ``_paths_from_all``).
 
     nodes(id), edges(src, dst, weight) → (src, dst, dist, hops, path array,
     path_key).  A node reaches itself with distance 0.
@@ -46,11 +48,13 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     good (an anti-join on the pair with a distance / path condition), so the
     path table is never rewritten between rounds.  The best row per pair is
     resolved once at the end."""
+    if sources is None:
+        return _paths_from_all(nodes, edges)
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"),
                      F.col("weight").cast("double").alias("w"))
-    starts = (sources if sources is not None else nodes).select(F.col("id").alias("src"))
+    starts = sources.select(F.col("id").alias("src"))
     base = starts.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"),
                          F.col("src").alias("path_key"), F.array(F.col("src")).alias("path")).checkpoint()
     deltas = [base]
@@ -77,6 +81,22 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     return paths.withColumn("hops", F.size("path") - 1)
 
 
+def _paths_from_all(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths from every node.  No path leads through a node without incoming
+    edges, so the rounds run from the other nodes only, and such a node's paths
+    are one edge and a path from that edge's end: one join instead of rounds."""
+    entered = edges.select(F.col("dst").alias("id")).distinct()
+    core = shortest_paths(nodes, edges, nodes.join(entered, "id", "left_semi"))
+    outer = nodes.join(entered, "id", "left_anti").select(F.col("id").alias("src"))
+    first = edges.select("src", F.col("dst").alias("via"), F.col("weight").cast("double").alias("w")).join(outer, "src")
+    onward = core.select(F.col("src").alias("via"), "dst", "dist", "path_key", "path")
+    led = _best(first.join(onward, "via").select(
+        "src", "dst", (F.col("w") + F.col("dist")).alias("dist"),
+        F.concat("src", F.lit(PATH_SEP), "path_key").alias("path_key"), F.concat(F.array("src"), F.col("path")).alias("path")))
+    own = outer.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"), F.col("src").alias("path_key"), F.array("src").alias("path"))
+    return core.drop("hops").unionByName(led).unionByName(own).withColumn("hops", F.size("path") - 1)
+
+
 def blast_radius(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """Per node: score Σ 1/(d+1) over reachable critical nodes (4 dp, halves
     to even), reachable count, path to the nearest critical node (ties → node
