@@ -53,7 +53,7 @@ def corpus(seed, hot):
     return rows + [(6000, None), (6001, ""), (6002, " \n\t"), (6003, "a b"), (6004, "A  B"), (6005, "rep " * 3000), (6006, "rep " * 2999)]
 
 
-@pytest.mark.parametrize(("n", "num", "den", "seed", "hot"), [(3, 90, 100, 1, 90), (5, 80, 100, 2, 60), (2, 50, 100, 3, 20)])
+@pytest.mark.parametrize(("n", "num", "den", "seed", "hot"), [(3, 90, 100, 1, 60), (5, 80, 100, 2, 40)])
 def test_against_all_pairs(spark, n, num, den, seed, hot):
     rows = corpus(seed, hot)
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, cls string").repartition(3)

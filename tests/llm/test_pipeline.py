@@ -67,7 +67,3 @@ def test_packing_holds_every_document(stages):
     got = {r.doc_id: r.n for r in stages[4].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert got == want
 
-
-def test_run(spark, stages):
-    a = sorted((r.doc_id, r.start, r.length) for r in C.run(spark, SF).collect())
-    assert a == sorted((r.doc_id, r.start, r.length) for r in stages[4].collect())

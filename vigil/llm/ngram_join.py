@@ -12,11 +12,13 @@ number of elements; bands have a few segments to spare, so nearly empty segments
 are left out.  Candidates are verified on the n-gram sets themselves.
 
 Equal sets form one class before anything is joined; a class leaves a task once.
-Groups are not expanded into pairs.  In each signature's bucket every class is
-first paired with one hub, the class that shares most signatures.  Verified
-links give components; only classes of one bucket that still lie in different
-components are paired with each other.  This finds the components of the full
-link graph, as each pair of candidates is either tested or already connected.
+Groups are not expanded into pairs.  The classes of a signature's bucket form
+groups around hubs, the classes that share most signatures.  A group is compared
+in blocks of bounded size, by matrix products inside a task that returns only
+links which connect what is not connected yet; in large groups the classes
+similar to the hub are set aside first.  This finds the components of the full
+link graph, as each pair of candidates is either tested or already connected,
+and no join ever holds a row for each pair of a group.
 
 N-grams and sets are represented by 64-bit hashes.
 
@@ -45,6 +47,9 @@ from vigil.llm.components import connected
 BAND_FACTOR = 1.5
 SPARE_SEGMENTS = 2
 DELETION_SEGMENTS = 2
+BLOCK_WEIGHT = 1 << 18   # n-grams in a block of a cluster, about; a small set counts as
+LEAST_WEIGHT = 1 << 9    # so many, which bounds the sets of a block too
+SLAB = 4096
 SIGNED = 1 << 63
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F)]
 
@@ -217,6 +222,98 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num
             .select("a", "a_raw", "b", "b_raw").mapInPandas(check, "a long, b long").distinct())
 
 
+def spanning_links(x: pd.DataFrame, y: pd.DataFrame | None, n: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links among the rows ``cls, part, raw`` of two blocks (or within one) that
+    connect parts; links within what is connected by then are left out.
+
+    Sizes of all intersections come from products of 0/1 matrices, over slabs of
+    the n-grams that occur more than once."""
+    def sets(block: pd.DataFrame) -> tuple[list[int], list[int], list[np.ndarray]]:
+        out = ([], [], [])
+        for cls, part, raw in zip(block["cls"].tolist(), block["part"].tolist(), block["raw"], strict=True):
+            grams = ngram_set(raw, n)
+            if set_code(grams) == cls:  # else another text with the same doc_id
+                for column, value in zip(out, (cls, part, grams), strict=True):
+                    column.append(value)
+        return out
+
+    codes, parts, grams = sets(x)
+    split = len(codes)
+    if y is not None:
+        codes, parts, grams = (u + v for u, v in zip((codes, parts, grams), sets(y), strict=True))
+    if not codes:
+        return []
+    size = np.array([len(g) for g in grams], dtype=np.int64)
+    _, gram, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(grams)), size)
+    again = times[gram] > 1
+    row, gram = row[again], (np.cumsum(times > 1) - 1)[gram[again]]
+    rows, columns = (slice(0, split), slice(split, None)) if y is not None else (slice(None), slice(None))
+    both = np.zeros((len(grams[rows]), len(grams[columns])), np.float32)
+    by = np.argsort(gram, kind="stable")
+    row, gram = row[by], gram[by]
+    for lo in range(0, int(gram[-1]) + 1 if len(gram) else 0, SLAB):
+        some = slice(*np.searchsorted(gram, [lo, lo + SLAB]))
+        has = np.zeros((len(grams), SLAB), np.float32)
+        has[row[some], gram[some] - lo] = 1
+        both += has[rows] @ has[columns].T
+    union = size[rows][:, None] + size[columns][None, :] - both
+    i, j = np.nonzero(den * both >= num * union)
+    j += split if y is not None else 0
+    root: dict[int, int] = {}
+
+    def find(part: int) -> int:
+        while root.get(part, part) != part:
+            root[part] = part = root.get(root[part], root[part])
+        return part
+
+    out = []
+    for u, v in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = find(parts[u]), find(parts[v])
+        if p != q:
+            root[p] = q
+            out.append((codes[u], codes[v]))
+    return out
+
+
+def _group_links(ranked: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` that connect all similar classes which share a bucket.
+
+    A bucket's classes belong to the group of its hub, the class with most
+    signatures shared.  A group is cut into blocks of bounded size and pairs of
+    blocks are compared in one task each.  In groups of several blocks, the
+    classes similar to the hub are found first and put next to each other, so
+    that blocks of such classes alone need no comparison."""
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "size", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.size").alias("hub_size"))
+    groups = cut(ranked.join(hubs, "key").groupBy("hub", "cls").agg(F.max("size").alias("size"), F.max("hub_size").alias("hub_size"))
+                 .join(classes, "cls"))
+    weight = F.greatest("size", F.lit(LEAST_WEIGHT))
+    large = groups.groupBy("hub").agg(F.sum(weight).alias("w")).where(F.col("w") > BLOCK_WEIGHT).select("hub")
+    stars = groups.join(large, "hub").where("cls <> hub").where(_similar("size", "hub_size", num, den)).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    links = cut(_verified(stars, classes, docs, n, num, den))
+    before = Window.partitionBy("hub").orderBy("part", "size", "cls").rowsBetween(Window.unboundedPreceding, -1)
+    members = cut(groups.join(links.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.col("a").alias("part")), ["hub", "cls"], "left")
+                  .withColumn("part", F.coalesce("part", "cls"))
+                  .withColumn("block", F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0)) / BLOCK_WEIGHT)))
+    blocks = members.groupBy("hub", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("part").alias("first"), F.max("part").alias("last"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    pairs = cut(x.join(y, F.col("x.hub") == F.col("y.hub"))
+                .where((F.col("x.block") <= F.col("y.block")) & (F.least("x.first", "y.first") < F.greatest("x.last", "y.last"))
+                       & (F.col("x.lo") * num <= F.col("y.hi") * den) & (F.col("y.lo") * num <= F.col("x.hi") * den))
+                .select(F.col("x.hub").alias("hub"), F.col("x.block").alias("i"), F.col("y.block").alias("j")))
+    texts = (in_bitmap(docs, "doc_id", members, "first_doc").select(F.col("doc_id").alias("first_doc"), text_bytes("text").alias("raw"))
+             .join(members.select("cls", "part", "hub", "block", "first_doc"), "first_doc"))
+    left = texts.join(pairs.select("hub", F.col("i").alias("block"), "i", "j"), ["hub", "block"]).select("hub", "i", "j", "cls", "part", "raw")
+    right = texts.join(pairs.where("i < j").select("hub", F.col("j").alias("block"), "i", "j"), ["hub", "block"])
+    right = right.select(*[F.col(c).alias(c) for c in ("hub", "i", "j", "cls", "part", "raw")])  # columns apart from the left side's
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(spanning_links(x, y if len(y) else None, n, num, den), columns=["a", "b"], dtype="int64")
+
+    keys = ["hub", "i", "j"]
+    return links.union(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long"))
+
+
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each document; documents link when
     ``den * |intersection| >= num * |union|`` of their word n-gram sets."""
@@ -231,25 +328,8 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     shared = found.where("kind > 0").groupBy("key", "cls").agg(F.max("size").alias("size"))
     degree = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     ranked = cut(shared.join(degree, "cls"))
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "size", "cls")).alias("hub")).select(
-        "key", F.col("hub.cls").alias("hub"), F.col("hub.size").alias("hub_size"))
-    stars = (ranked.join(hubs, "key").where("cls <> hub").where(_similar("size", "hub_size", num, den))
-             .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
-    links = cut(_verified(stars, classes, texts, n, num, den))
     nodes = ranked.select("cls").distinct().join(classes, "cls").select(F.col("cls").alias("node"), F.col("first_doc").alias("rank"))
-    parts = connected(nodes, links)
-    # classes of one bucket that the hubs left in different components
-    placed = ranked.join(parts.select(F.col("node").alias("cls"), F.col("root").alias("part")), "cls").select("key", "cls", "size", "part")
-    apart = (placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
-    placed = cut(placed.join(apart, "key"))
-    groups = placed.select("key", "part").distinct()
-    across = (groups.alias("x").join(groups.alias("y"), "key").where("x.part < y.part").select("key", F.col("x.part").alias("p"), F.col("y.part").alias("q")))
-    side = lambda p, c: placed.select("key", F.col("part").alias(p), F.col("cls").alias(c), F.col("size").alias(f"{c}_size"))
-    rest = (across.join(side("p", "u"), ["key", "p"]).join(side("q", "v"), ["key", "q"]).where(_similar("u_size", "v_size", num, den))
-            .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more = _verified(rest, classes, texts, n, num, den)
-    parts = connected(nodes, links.union(more))
+    parts = connected(nodes, _group_links(ranked, classes, texts, n, num, den))
     return (members.join(classes, "cls", "left").join(parts.select(F.col("node").alias("cls"), F.col("root_rank")), "cls", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                     .otherwise(F.coalesce("root_rank", "first_doc")).alias("component_id")))
