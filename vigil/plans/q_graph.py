@@ -59,16 +59,14 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges on each node's path to its nearest critical node, with protocol
-    (path hops are consecutive pairs via ``lead``; every hop is a graph edge)."""
-    from pyspark.sql import Window
+    (path hops are consecutive pairs of the path; every hop is a graph edge)."""
     nodes, edges, p = _paths(spark, sf_dir)
     b = G.blast_radius(nodes, p).where(F.size("path_to_nearest_critical") > 1)
-    hops = b.select("node", F.posexplode_outer("path_to_nearest_critical").alias("pos", "hop_src"))
-    hops = hops.withColumn("hop_dst", F.lead("hop_src").over(Window.partitionBy("node").orderBy("pos"))) \
-               .where(F.col("hop_dst").isNotNull())
+    path = F.col("path_to_nearest_critical")
+    pairs = F.transform(F.slice(path, 1, F.size(path) - 1), lambda x, i: F.struct((i + 1).alias("hop"), x.alias("hop_src"), F.get(path, i + 1).alias("hop_dst")))
+    hops = b.select("node", F.explode_outer(pairs).alias("h")).select("node", "h.hop", "h.hop_src", "h.hop_dst")
     e = edges.select(F.col("src").alias("hop_src"), F.col("dst").alias("hop_dst"), "protocol", "weight")
-    return hops.join(e, ["hop_src", "hop_dst"], "left").select("node", (F.col("pos") + 1).alias("hop"), "hop_src",
-                                                               "hop_dst", "protocol", "weight")
+    return hops.join(e, ["hop_src", "hop_dst"], "left").select("node", "hop", "hop_src", "hop_dst", "protocol", "weight")
 
 
 def graphml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
