@@ -39,7 +39,7 @@ END_TOKEN = 2
 GROUP_BYTES = 6 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 TRIES = 8              # cheapest sequences that are tried for one that holds a document whole
-KEPT_WORDS = 800_000   # words whose ids a worker keeps; the table is emptied when full
+KEPT_WORDS = 300_000   # words whose ids a worker keeps; the table is emptied when full
 LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
 BYTE_LETTERS = {b: c for c, b in byte_alphabet().items()}
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double")
