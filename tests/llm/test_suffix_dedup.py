@@ -80,3 +80,33 @@ def test_every_window_contains_an_anchor_chosen_by_its_bytes():
         inside = [a - p for a in at if p <= a <= p + D.SIDE]
         own, _ = D.anchors(data[p:p + D.WINDOW])
         assert set(own.tolist()) <= set(inside) and len(own)
+
+
+@pytest.mark.parametrize("settle", [1 << 20, 50])
+def test_hot_keys_against_brute_force(spark, monkeypatch, settle):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(D, "HOT_ROWS", 3, raising=False)
+    monkeypatch.setattr(D, "SETTLED_WINDOWS", settle, raising=False)
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in D.repeat_digests(df).collect()), key=repr) == brute(rows)
+
+
+def test_a_line_in_every_document_is_dealt_out(spark, monkeypatch):
+    """A line shorter than a window, between other neighbours each time, and a passage."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line, passage = noise(60), noise(300)
+    rows = [(i, noise(90) + line + noise(90) + passage + noise(90)) for i in range(1200)]
+    monkeypatch.setattr(D, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(D, "HOT_ROWS", 100, raising=False)
+    resolve = D._resolve
+
+    def guarded(bucket):
+        keys = [r[D.SIDE:D.SIDE + D.KEY] for r in bucket["around"] if r is not None]
+        assert max((keys.count(k) for k in set(keys)), default=0) <= 100, "a key's rows are in one bucket"
+        return resolve(bucket)
+
+    monkeypatch.setattr(D, "_resolve", guarded)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in D.repeat_digests(df).collect()), key=repr) == brute(rows)

@@ -14,16 +14,19 @@ place.  Steps:
    anywhere are found by one window count.
 2. Each block cuts out the surroundings of the anchors that are shared (the
    suffix and the bytes before it).  Equal surroundings within a block are
-   settled there, so a passage leaves a block once however often it occurs.
+   settled there.  A key that occurs more than ``HOT_ROWS`` times, such as a line
+   in many documents between other neighbours, sends no surroundings: the windows
+   whose least key it is are settled one by one, and each leaves a block once.
 3. Sampled splitters range-partition the suffixes by their leading bytes.  A
    bucket sorts its suffixes by multikey quicksort and takes runs with a common
    key; within a run each window's first occurrence is found from the bytes on
    both sides of the key.  Splitters are cut to the key's length, so a run lies
-   on one side of each boundary.
+   on one side of each boundary.  Windows of hot keys are dealt to the buckets by
+   their hash, so no bucket holds more than a row per block for any of them.
 4. The repeated spans return to the blocks, which cut them out.
 
 Windows are compared through 64-bit hashes of their bytes on either side of an
-equal key.
+equal key, those of hot keys through 96 bits of hashes of all their bytes.
 
 Defined results: a null text is empty; documents shorter than a window keep all
 bytes; a null doc_id comes before all others; rows that share a doc_id are
@@ -49,8 +52,11 @@ SIDE = WINDOW - KEY             # bytes beside a key that a window can hold
 BLOCK_BYTES = 16 << 20
 SAMPLED_DOCS = 2_000            # documents whose anchors give the splitters
 MAX_SPLITTERS = 16_384          # beyond it, ranges are divided by a hash of the key
+HOT_ROWS = 1 << 15              # a key that occurs more often is settled window by window; a suffix takes about 1 kB in a bucket
+SETTLED_WINDOWS = 1 << 20       # windows of hot keys that a block settles at once
 NTH_SHIFT = 40                  # a position's upper bits number the documents that share a doc_id
 NO_ID = -(1 << 63)
+HOT = -1                        # ``before`` of a hot key's window; ``until`` and ``after`` hold its hashes
 ROWS = "bucket long, around binary, before int, after int, doc long, at long, until long"
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F)]
 
@@ -92,6 +98,15 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def hot_windows(data: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of windows whose least key hash is among ``hot`` (ascending), and two hashes of each."""
+    h = key_hashes(data)
+    least = _sliding(h, SIDE + 1, np.minimum, (1 << 64) - 1)
+    p = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least)
+    first, last = (mixed(h[q] * _C[2] + h[q + KEY]) for q in (p, p + WINDOW - 2 * KEY))  # 64 bytes each, which overlap
+    return p, mixed(first * _C[2] + last), (mixed(last * _C[3] + first) >> np.uint64(33)).astype(np.int32)
+
+
 def surroundings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """``SIDE`` bytes before each anchor, its key and ``SIDE`` bytes after; zeros beyond the ends."""
     padded = np.zeros(len(data) + 2 * SIDE, np.uint8)
@@ -117,7 +132,7 @@ def _documents(block: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _reported(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 1: each block's anchor hashes with their number (2 stands for several)."""
+    """Step 1: each block's anchor hashes with their number."""
     held: dict[int, list[np.ndarray]] = {}
     for b in batches:
         for block, raw in zip(b["block"], b["raw"], strict=True):
@@ -126,7 +141,7 @@ def _reported(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held.setdefault(block, []).append(h)
     for block, parts in held.items():
         h, n = np.unique(np.concatenate(parts), return_counts=True)
-        yield pd.DataFrame({"block": np.int64(block), "key": h.view(np.int64), "n": np.minimum(n, 2).astype(np.int32)})
+        yield pd.DataFrame({"block": np.int64(block), "key": h.view(np.int64), "n": n.astype(np.int32)})
 
 
 def splitters(docs: DataFrame, n: int) -> list[bytes]:
@@ -150,6 +165,7 @@ def _cut_out(cuts: list[bytes], parts: int):
     """Step 2 for one block."""
     bounds = np.array([int.from_bytes(c[:8], "big") for c in cuts], dtype=np.uint64)
     full = np.array(cuts, dtype=object)
+    n_buckets = (len(cuts) + 1) * parts
 
     def bucket_of(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         lead = np.ascontiguousarray(keys[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
@@ -159,12 +175,42 @@ def _cut_out(cuts: list[bytes], parts: int):
             low[i] += int(np.searchsorted(full[low[i]:high[i]], keys[i].tobytes(), side="right"))
         return low.astype(np.int64) * parts + (hashes % np.uint64(parts)).astype(np.int64)
 
+    def settled(windows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], seen: np.ndarray) -> tuple[list[pd.DataFrame], np.ndarray]:
+        """Rows for windows of hot keys (``doc, nth, positions, two hashes`` per
+        document): new ones are sent, others are repeats; and all hashes seen."""
+        doc, nth = (np.array([w[i] for w in windows], dtype=np.int64) for i in (0, 1))
+        which = np.repeat(np.arange(len(windows)), [len(w[2]) for w in windows])
+        p, code, check = (np.concatenate([w[i] for w in windows]) for i in (2, 3, 4))
+        new = np.zeros(len(p), bool)
+        new[np.unique(code, return_index=True)[1]] = True
+        if len(seen):
+            new &= seen[np.minimum(np.searchsorted(seen, code), len(seen) - 1)] != code
+        out = [pd.DataFrame({"bucket": (code[new] % np.uint64(n_buckets)).astype(np.int64), "around": None, "before": HOT, "after": check[new],
+                             "doc": doc[which[new]], "at": p[new] + nth[which[new]], "until": code[new].view(np.int64)})]
+        start = (which[~new] << NTH_SHIFT) + p[~new]
+        spans = union(start, start + WINDOW)
+        if len(spans):
+            which, low = spans[:, 0] >> NTH_SHIFT, (1 << NTH_SHIFT) - 1
+            out.append(pd.DataFrame({"bucket": doc[which] % n_buckets, "around": None, "before": 0, "after": 0,
+                                     "doc": doc[which], "at": (spans[:, 0] & low) + nth[which], "until": spans[:, 1] & low}))
+        return out, np.sort(np.concatenate([seen, code[new]]))
+
     def run(block: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        wanted = np.sort(shared["key"].to_numpy().view(np.uint64)) if len(shared) else np.empty(0, np.uint64)
+        wanted, hot = (np.sort(shared.loc[shared["hot"] == x, "key"].to_numpy(np.int64).view(np.uint64)) for x in (False, True))
         seen: set[int] = set()
         out: list[pd.DataFrame] = []
-        for doc, nth, data in _documents(block) if len(wanted) else ():
+        windows, n_windows, seen_windows = [], 0, np.empty(0, np.uint64)
+        for doc, nth, data in _documents(block) if len(shared) else ():
             at, h = anchors(data)
+            if len(hot) and len(h) and (hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h).any():
+                windows.append((doc, nth, *hot_windows(data, hot)))
+                n_windows += len(windows[-1][2])
+                if n_windows >= SETTLED_WINDOWS:
+                    more, seen_windows = settled(windows, seen_windows)
+                    out += more
+                    windows, n_windows = [], 0
+            if not len(wanted):
+                continue
             place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             keep = wanted[place] == h
             at, h = at[keep], h[keep]
@@ -186,8 +232,10 @@ def _cut_out(cuts: list[bytes], parts: int):
                 start, end = (p - np.minimum(before, SIDE))[known], (p + KEY + after)[known]
                 spans = union(start[end - start >= WINDOW], end[end - start >= WINDOW])
                 if len(spans):
-                    out.append(pd.DataFrame({"bucket": np.int64(doc % max(1, (len(cuts) + 1) * parts)), "around": None, "before": 0, "after": 0,
+                    out.append(pd.DataFrame({"bucket": np.int64(doc % n_buckets), "around": None, "before": 0, "after": 0,
                                              "doc": doc, "at": spans[:, 0] + nth, "until": spans[:, 1]}))
+        if windows:
+            out += settled(windows, seen_windows)[0]
         names = [c.split()[0] for c in ROWS.split(", ")]
         return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame({c: [] for c in names})
 
@@ -228,10 +276,21 @@ def multikey_quicksort(words: np.ndarray, small: int = 256) -> np.ndarray:
     return order
 
 
+def _repeated(windows: pd.DataFrame) -> pd.DataFrame:
+    """``doc, at, until`` of the windows of hot keys that another one precedes."""
+    doc, at, code, check = (windows[c].to_numpy() for c in ("doc", "at", "until", "after"))
+    order = np.lexsort((at, doc, check, code))
+    doc, at, code, check = doc[order], at[order], code[order], check[order]
+    again = np.concatenate([[False], (code[1:] == code[:-1]) & (check[1:] == check[:-1])])[:len(doc)]
+    return pd.DataFrame({"doc": doc[again], "at": at[again], "until": (at[again] & ((1 << NTH_SHIFT) - 1)) + WINDOW})
+
+
 def _resolve(bucket: pd.DataFrame) -> pd.DataFrame:
     """Step 3 for one bucket: ``doc, at, until`` of repeated spans."""
-    sent = bucket["around"].notna().to_numpy()
-    passed = bucket.loc[~sent, ["doc", "at", "until"]]
+    sent, hot = bucket["around"].notna().to_numpy(), (bucket["before"] == HOT).to_numpy()
+    passed = bucket.loc[~sent & ~hot, ["doc", "at", "until"]]
+    if hot.any():
+        passed = pd.concat([passed, _repeated(bucket[hot])], ignore_index=True)
     rows = bucket[sent].sort_values(["doc", "at"], ignore_index=True)
     if not len(rows):
         return passed
@@ -331,7 +390,8 @@ def _blocks_and_spans(docs: DataFrame, others: list[Column]) -> tuple[DataFrame,
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("long")
     blocks = raw.withColumn("block", block_of("doc_id")).repartition(n_blocks, "block")
     reported = blocks.mapInPandas(_reported, "block long, key long, n int")
-    shared = (reported.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1").select("block", "key"))
+    shared = (reported.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1")
+              .select("block", "key", (F.col("all") > HOT_ROWS).alias("hot")))
     sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_cut_out(cuts, parts), ROWS)
     spans = sent.groupBy("bucket").applyInPandas(_resolve, "doc long, at long, until long").withColumn("block", block_of("doc"))
     return blocks, spans
