@@ -97,3 +97,14 @@ def test_components_of_chains_and_stars(spark):
     df = connected(spark.createDataFrame(nodes, "node long, rank long"), spark.createDataFrame(edges, "a long, b long"))
     got = {r.node: r.root for r in df.collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200, 300: 300, 301: 301}
+
+
+def test_rows_without_an_id_link_with_near_copies(spark):
+    rng = random.Random(6)
+    text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(200)]
+    near = lambda words, i: " ".join([*words[:i], "other", *words[i + 1:]])
+    base, alone = text(), text()
+    rows = [(7, " ".join(base)), (None, near(base, 0)), (None, near(base, 199)), (9, " ".join(text())), (None, " ".join(alone)), (None, near(alone, 0)), (7, "a text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df, 3, 90, 100).collect()), key=repr)
+    assert got == sorted([(7, 198, 7), (None, 198, 7), (None, 198, 7), (9, 198, 9), (None, 198, None), (None, 198, None), (7, 3, 7)], key=repr)

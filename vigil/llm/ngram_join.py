@@ -20,12 +20,13 @@ similar to the hub are set aside first.  This finds the components of the full
 link graph, as each pair of candidates is either tested or already connected,
 and no join ever holds a row for each pair of a group.
 
-N-grams and sets are represented by 64-bit hashes.
+N-grams and sets are represented by 64-bit hashes, rows by one of doc_id and text.
 
 Defined results: null and empty texts, and texts without words, have no n-grams
 and link with nothing; a text of fewer words than n is one n-gram; equal sets
-link; rows with a null doc_id link through equal sets only; rows that share a
-doc_id are judged by their own texts; an empty table gives no rows.
+link; rows with a null doc_id link as others do, and a component of such rows
+alone has a null component_id; rows that share a doc_id are judged by their own
+texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -148,8 +149,8 @@ class Partitioning:
 
 
 def _indexed(n: int, num: int, den: int):
-    """Rows ``key, id, cls, size, kind``: one of kind 0 per document, and its
-    class's signatures (kind 1 indexed, 2 probed too) once per task."""
+    """Rows ``key, id, cls, size, kind``: one of kind 0 per document, with its row
+    key, and its class's signatures (kind 1 indexed, 2 probed too) once per task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rule, seen = Partitioning(num, den), set()
@@ -167,8 +168,7 @@ def _indexed(n: int, num: int, den: int):
                     parts.append((code, len(grams), keys, probed))
             codes = np.array([d[1] for d in docs], dtype=np.int64)
             ids = pd.array([None if d[0] is None or d[0] != d[0] else int(d[0]) for d in docs], dtype="Int64")
-            spread = mixed(np.arange(len(docs), dtype=np.uint64) * _C[0] + codes.view(np.uint64)).view(np.int64)
-            yield pd.DataFrame({"key": spread, "id": ids, "cls": codes, "size": np.array([d[2] for d in docs], dtype=np.int32), "kind": np.int32(0)})
+            yield pd.DataFrame({"key": b["row"].to_numpy(), "id": ids, "cls": codes, "size": np.array([d[2] for d in docs], dtype=np.int32), "kind": np.int32(0)})
             if parts:
                 sizes = [len(p[2]) for p in parts]
                 yield pd.DataFrame({"key": np.concatenate([p[2] for p in parts]).view(np.int64), "id": pd.array([None] * sum(sizes), dtype="Int64"),
@@ -185,14 +185,19 @@ def _similar(a: str, b: str, num: int, den: int):
     return low * den >= high * num
 
 
+def _first_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``first_row, raw``: the text of each class's first row, once."""
+    return (in_bitmap(docs, "row", classes.select("first_row"), "first_row")
+            .groupBy(F.col("row").alias("first_row")).agg(F.first("raw").alias("raw")))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets reach the similarity.  Only
     texts of classes in some pair take part in the shuffles."""
     pairs = cut(pairs)
-    first = classes.select("cls", "first_doc")
+    first = classes.select("cls", "first_row")
     members = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first, "cls"))
-    texts = (in_bitmap(docs, "doc_id", members.select("first_doc"), "first_doc").select(F.col("doc_id").alias("first_doc"), text_bytes("text").alias("raw"))
-             .join(members, "first_doc").select("cls", "raw"))
+    texts = _first_texts(docs, members).join(members, "first_row").select("cls", "raw")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[int, np.ndarray | None] = {}
@@ -202,7 +207,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num
                 if len(kept) >= 512:
                     kept.clear()
                 got = ngram_set(raw, n)
-                kept[code] = got if set_code(got) == code else None  # another text with the same doc_id
+                kept[code] = got if set_code(got) == code else None  # another text with the same row key
             return kept[code]
 
         for b in batches:
@@ -232,7 +237,7 @@ def spanning_links(x: pd.DataFrame, y: pd.DataFrame | None, n: int, num: int, de
         out = ([], [], [])
         for cls, part, raw in zip(block["cls"].tolist(), block["part"].tolist(), block["raw"], strict=True):
             grams = ngram_set(raw, n)
-            if set_code(grams) == cls:  # else another text with the same doc_id
+            if set_code(grams) == cls:  # else another text with the same row key
                 for column, value in zip(out, (cls, part, grams), strict=True):
                     column.append(value)
         return out
@@ -301,8 +306,7 @@ def _group_links(ranked: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
                 .where((F.col("x.block") <= F.col("y.block")) & (F.least("x.first", "y.first") < F.greatest("x.last", "y.last"))
                        & (F.col("x.lo") * num <= F.col("y.hi") * den) & (F.col("y.lo") * num <= F.col("x.hi") * den))
                 .select(F.col("x.hub").alias("hub"), F.col("x.block").alias("i"), F.col("y.block").alias("j")))
-    texts = (in_bitmap(docs, "doc_id", members, "first_doc").select(F.col("doc_id").alias("first_doc"), text_bytes("text").alias("raw"))
-             .join(members.select("cls", "part", "hub", "block", "first_doc"), "first_doc"))
+    texts = _first_texts(docs, members).join(members.select("cls", "part", "hub", "block", "first_row"), "first_row")
     left = texts.join(pairs.select("hub", F.col("i").alias("block"), "i", "j"), ["hub", "block"]).select("hub", "i", "j", "cls", "part", "raw")
     right = texts.join(pairs.where("i < j").select("hub", F.col("j").alias("block"), "i", "j"), ["hub", "block"])
     right = right.select(*[F.col(c).alias(c) for c in ("hub", "i", "j", "cls", "part", "raw")])  # columns apart from the left side's
@@ -314,22 +318,35 @@ def _group_links(ranked: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
     return links.union(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each document; documents link when
-    ``den * |intersection| >= num * |union|`` of their word n-gram sets."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = (texts.select("doc_id", text_bytes("text").alias("raw"))
-            .mapInPandas(_indexed(n, num, den), "key long, id long, cls long, size int, kind int"))
+def keyed(docs: DataFrame, row: str = "row") -> DataFrame:
+    """``docs`` with a key of each row, the same for rows of equal doc_id and text."""
+    return docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), text_bytes("text")))
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents ``doc_id, n_shingles, cls, row``, classes ``cls, first_doc,
+    first_row`` (their least doc_id, null last) and ``cls, root, root_rank`` of
+    the classes that may link with others; the root has the least first_doc."""
+    texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("raw"), "row")
+    rows = texts.mapInPandas(_indexed(n, num, den), "key long, id long, cls long, size int, kind int")
     bucket = Window.partitionBy("key")
     found = cut(rows.withColumn("lo", F.min("cls").over(bucket)).withColumn("hi", F.max("cls").over(bucket)).withColumn("top", F.max("kind").over(bucket))
                 .where("kind = 0 or (lo < hi and top = 2)").drop("lo", "hi", "top"))
-    members = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), "cls")
-    classes = members.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
+    members = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), "cls", F.col("key").alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    classes = members.where("n_shingles > 0").groupBy("cls").agg(first).select("cls", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"))
     shared = found.where("kind > 0").groupBy("key", "cls").agg(F.max("size").alias("size"))
     degree = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     ranked = cut(shared.join(degree, "cls"))
     nodes = ranked.select("cls").distinct().join(classes, "cls").select(F.col("cls").alias("node"), F.col("first_doc").alias("rank"))
     parts = connected(nodes, _group_links(ranked, classes, texts, n, num, den))
-    return (members.join(classes, "cls", "left").join(parts.select(F.col("node").alias("cls"), F.col("root_rank")), "cls", "left")
+    return members, classes, parts.select(F.col("node").alias("cls"), "root", "root_rank")
+
+
+def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of each document; documents link when
+    ``den * |intersection| >= num * |union|`` of their word n-gram sets."""
+    members, classes, parts = _components(docs, n, num, den)
+    return (members.join(classes, "cls", "left").join(parts.drop("root"), "cls", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                     .otherwise(F.coalesce("root_rank", "first_doc")).alias("component_id")))
