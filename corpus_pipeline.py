@@ -11,6 +11,10 @@ return the columns of ``documents``.
    go; a cut inside a character drops that character's other bytes too.  Documents
    of which nothing stays go.
 4. packing into sequences of 4,096 tokens.
+
+Stages 1 and 2 decide on rows, not ids: rows that share a doc_id are judged by
+their own texts, and rows with a null doc_id like others; in stage 2 a null
+doc_id comes last, and of rows equal in doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import ngram_join, packing, quality, suffix_dedup
-from vigil.llm.common import importable, read, shared_folder, without_ids
+from vigil.llm.common import importable, read, shared_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,8 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    parts = ngram_join.jaccard_components(docs, 5, 80, 100)
-    return without_ids(docs, "doc_id", parts.where("component_id < doc_id").select("doc_id"), "doc_id")
+    return ngram_join.one_of_each(docs, 5, 80, 100)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

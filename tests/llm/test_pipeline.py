@@ -67,3 +67,30 @@ def test_packing_holds_every_document(stages):
     got = {r.doc_id: r.n for r in stages[4].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert got == want
 
+
+def test_repeated_and_null_ids(spark):
+    """Decisions hold for rows, not for every row with the same doc_id."""
+    import random
+    from tests.llm.test_quality import corpus
+    from vigil.llm import quality
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (3, c + " end"), (None, d), (None, d), (None, d + " end"), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "en", "x", 1) for r in rows], schema).repartition(3)
+    kept = C.near_duplicate_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    left = [x for x in got if x not in [(None, d), (None, d + " end")]]
+    assert sorted(left, key=repr) == sorted([(1, a), (2, b), (3, c + " end"), (4, None), (4, None), (None, "")], key=repr)
+    assert len(got) == len(left) + 1
+
+    texts = corpus()
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i, _ in texts[:200]], "doc_id long, quality int, toxic int")
+    good, bad = texts[201][1], texts[200][1]
+    rows = [*texts[:200], (1000, good), (1000, bad), (None, good), (None, bad)]
+    docs = spark.createDataFrame([(*r, "en", "x", 1) for r in rows], schema)
+    got = [(r.doc_id, r.text) for r in quality.accepted(docs, labels).collect() if r.doc_id is None or r.doc_id == 1000]
+    assert sorted(got, key=repr) == sorted([(1000, good), (None, good)], key=repr)

@@ -76,6 +76,11 @@ def in_bitmap(df: DataFrame, col: str, ids: DataFrame, id_col: str, outside: boo
     return out.where(~marked if outside else marked).select(*df.columns)
 
 
+def keyed(docs: DataFrame, row: str = "row") -> DataFrame:
+    """``docs`` with a 64-bit key of each row, the same for rows of equal doc_id and text; null counts as empty text."""
+    return docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), text_bytes("text")))
+
+
 def without_ids(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``df`` whose ``col`` is not among ``ids``; only rows that the bitmap marks are shuffled."""
     sure = in_bitmap(df, col, ids, id_col, outside=True)

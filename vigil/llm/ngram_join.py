@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import cut, in_bitmap, text_bytes
+from vigil.llm.common import cut, in_bitmap, keyed, text_bytes, without_ids
 from vigil.llm.components import connected
 
 BAND_FACTOR = 1.5
@@ -318,11 +318,6 @@ def _group_links(ranked: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
     return links.union(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long"))
 
 
-def keyed(docs: DataFrame, row: str = "row") -> DataFrame:
-    """``docs`` with a key of each row, the same for rows of equal doc_id and text."""
-    return docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), text_bytes("text")))
-
-
 def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents ``doc_id, n_shingles, cls, row``, classes ``cls, first_doc,
     first_row`` (their least doc_id, null last) and ``cls, root, root_rank`` of
@@ -350,3 +345,19 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     return (members.join(classes, "cls", "left").join(parts.drop("root"), "cls", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                     .otherwise(F.coalesce("root_rank", "first_doc")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``docs`` with all columns: of linked rows the one with the least doc_id
+    stays (null last; then the least key of doc_id and text); of rows equal in
+    both, the least by the other columns.  Rows without n-grams all stay."""
+    names, rows = docs.columns, keyed(docs, "_row")
+    members, classes, parts = _components(docs, n, num, den)
+    judged = cut(members.where("n_shingles > 0").groupBy("cls", "row").agg(F.count(F.lit(1)).alias("copies"))
+                 .join(classes, "cls").join(parts, "cls", "left")
+                 .select("row", "copies", ((F.col("row") == F.col("first_row")) & (F.coalesce("root", "cls") == F.col("cls"))).alias("stays")))
+    several = judged.where("stays and copies > 1").select(F.col("row").alias("_row"))
+    rest = without_ids(rows, "_row", judged.where("not stays or copies > 1"), "row").select(*names)
+    least = (in_bitmap(rows, "_row", several, "_row").join(several, "_row", "left_semi")
+             .groupBy("_row").agg(F.min(F.struct(*names)).alias("_least")))
+    return rest.unionByName(least.select(*[F.col("_least").getField(c).alias(c) for c in names]))
