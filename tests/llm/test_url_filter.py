@@ -73,3 +73,12 @@ def test_no_labels_one_class_nulls_and_empty(spark):
     toxic = spark.createDataFrame([(7, 1, 1)], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, "http://a.org/7"), (2, "http://b.com/7")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in U.judge(some, U.fit(some, toxic), URL_RULES).collect()} == {1: "block", 2: "allow"}
+
+
+def test_suffix_rates_cover_all_labelled_urls(spark):
+    from vigil.llm import url_filter as filters
+    pages = spark.createDataFrame([(i, f"https://h{i}.{'com' if i % 2 else 'net'}/{i}") for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 1), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    base = filters.labelled_urls(pages, labels, 40).selectExpr("avg(bad)").first()[0]
+    got = sorted(r.suffix_bad_rate for r in filters.fit(pages, labels, trees=1, depth=1, limit=40).suffixes.collect())
+    assert all(abs(x - y) < 1e-9 for x, y in zip(got, [10 * base / 210, (100 + 10 * base) / 210], strict=True))

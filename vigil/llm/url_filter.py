@@ -80,14 +80,16 @@ def lexical_features(pages: DataFrame) -> DataFrame:
             .withColumn("has_extension", F.rlike(F.col("path"), F.lit(r"\.[A-Za-z0-9]{1,5}$")).cast("int")))
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+def labelled_urls(pages: DataFrame, labels: DataFrame, limit: int | None = MAX_LABELLED) -> DataFrame:
     """``url, bad`` for URLs whose document (the number that ends their path) is
-    labelled; bad: low quality or toxic.  At most about ``limit`` rows, chosen by hash."""
+    labelled; bad: low quality or toxic.  At most about ``limit`` rows, chosen by hash; all with None."""
     known = (labels.where(F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("double")).alias("bad")))
     rows = (pages.select("url", F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:\.\w+)?/?$", 1).alias("n"))
             .where("n <> ''").select("url", F.col("n").cast("long").alias("doc_id"))
             .join(known.where("bad is not null"), "doc_id").select("url", "bad"))
+    if limit is None:
+        return rows
     total = rows.count()
     return rows if total <= limit else rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1e6 * limit / total))
 
@@ -110,13 +112,13 @@ class UrlModel:
 
 def fit(pages: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, limit: int = MAX_LABELLED, seed: int = 7) -> UrlModel:
     """Trees on a bounded sample of labelled URLs.  Suffix statistics: the smoothed
-    bad rate over the labelled URLs and the share of all URLs, over every page."""
+    bad rate over all labelled URLs and the share of all URLs, over every page."""
     sample = labelled_urls(pages, labels, limit).persist()
     n, base = sample.agg(F.count(F.lit(1)), F.avg("bad")).first()
     base = float(base or 0.0)
     every = lexical_features(pages.select("url")).groupBy("suffix_bucket").agg(F.count(F.lit(1)).alias("n_all"))
     total = pages.count()
-    rated = lexical_features(sample).groupBy("suffix_bucket").agg(((F.sum("bad") + 10 * base) / (F.count(F.lit(1)) + 10)).alias("suffix_bad_rate"))
+    rated = lexical_features(labelled_urls(pages, labels, None)).groupBy("suffix_bucket").agg(((F.sum("bad") + 10 * base) / (F.count(F.lit(1)) + 10)).alias("suffix_bad_rate"))
     suffixes = every.join(F.broadcast(rated), "suffix_bucket", "left").select(
         "suffix_bucket", F.coalesce("suffix_bad_rate", F.lit(base)).alias("suffix_bad_rate"), (F.col("n_all") / max(total, 1)).alias("suffix_share"))
     if not n or base in (0.0, 1.0):
