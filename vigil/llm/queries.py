@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vigil.llm import bpe, fingerprints, ngram_join, packing, quality, sharding, suffix_dedup, url_filter, vptree, warc
+from vigil.llm import (bpe, fingerprints, language_id, ngram_join, packing, quality, ranked_search, sharding, suffix_dedup, url_filter, vptree, warc,
+                       whitening)
 from vigil.llm.common import read, shared_folder
 
 N_SHARDS = 40
@@ -70,5 +71,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "cost")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_vptree, op4_ngram_join, op5_url_filter, op6_quality, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing)}
-ORACLE: dict[str, str] = {}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(read(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+RANKED_SQL = r"""
+WITH matched AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM matched GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM matched GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, totals GROUP BY term, docs),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM items JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_vptree, op4_ngram_join, op5_url_filter, op6_quality, op7_warc, op8_sharding, op9_suffix_dedup, op10_packing,
+                                   op11_whitening, op12_language_id, op13_ranked_search)}
+ORACLE: dict[str, str] = {"op13_ranked_search": RANKED_SQL}
