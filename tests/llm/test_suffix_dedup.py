@@ -103,7 +103,7 @@ def test_a_line_in_every_document_is_dealt_out(spark, monkeypatch):
     resolve = D._resolve
 
     def guarded(bucket):
-        keys = [r[D.SIDE:D.SIDE + D.KEY] for r in bucket["around"] if r is not None]
+        keys = [r[D.SIDE:D.SIDE + D.KEY] for r in bucket["around"].to_pylist() if r is not None]
         assert max((keys.count(k) for k in set(keys)), default=0) <= 100, "a key's rows are in one bucket"
         return resolve(bucket)
 

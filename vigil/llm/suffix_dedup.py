@@ -39,7 +39,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,15 +48,19 @@ from vigil.llm.common import blocks_for, text_bytes
 WINDOW = 100
 KEY = 32
 SIDE = WINDOW - KEY             # bytes beside a key that a window can hold
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SAMPLED_DOCS = 2_000            # documents whose anchors give the splitters
 MAX_SPLITTERS = 16_384          # beyond it, ranges are divided by a hash of the key
 HOT_ROWS = 1 << 15              # a key that occurs more often is settled window by window; a suffix takes about 1 kB in a bucket
-SETTLED_WINDOWS = 1 << 20       # windows of hot keys that a block settles at once
+SETTLED_WINDOWS = 1 << 18       # windows of hot keys that a block settles at once
+PIECE_ROWS = 1 << 15            # rows that a block collects before they become one Arrow batch
+RUN_ROWS = 1 << 14              # suffixes of whole runs that a bucket compares at once
 NTH_SHIFT = 40                  # a position's upper bits number the documents that share a doc_id
 NO_ID = -(1 << 63)
 HOT = -1                        # ``before`` of a hot key's window; ``until`` and ``after`` hold its hashes
 ROWS = "bucket long, around binary, before int, after int, doc long, at long, until long"
+ROWS_ARROW = pa.schema([("bucket", pa.int64()), ("around", pa.binary()), ("before", pa.int32()), ("after", pa.int32()), ("doc", pa.int64()), ("at", pa.int64()), ("until", pa.int64())])
+SPANS_ARROW = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("until", pa.int64())])
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -122,42 +125,83 @@ def _row_hashes(rows: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.n
     return h
 
 
-def _documents(block: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``doc, shifted number among equal ids, bytes`` in order of (id, text)."""
-    last, nth = None, 0
-    for doc, raw in sorted(zip(block["doc_id"].tolist(), block["raw"], strict=True)):
-        nth = nth + 1 if doc == last else 0
-        last = doc
-        yield doc, nth << NTH_SHIFT, np.frombuffer(raw, np.uint8)
+def _documents(block: pa.Table) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """``row, doc, shifted number among equal ids, bytes`` in order of (id, text); the bytes stay in the Arrow buffers."""
+    ids, raw = block.column("doc_id").to_numpy(), block.column("raw")
+    order = np.argsort(ids, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1], [True]])) if len(ids) else []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        some = order[lo:hi].tolist()
+        if len(some) > 1:
+            some.sort(key=lambda i: raw[i].as_py())
+        for nth, i in enumerate(some):
+            yield i, int(ids[i]), nth << NTH_SHIFT, np.frombuffer(raw[i].as_buffer(), np.uint8)
 
 
-def _reported(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1: each block's anchor hashes with their number."""
     held: dict[int, list[np.ndarray]] = {}
     for b in batches:
-        for block, raw in zip(b["block"], b["raw"], strict=True):
-            _, h = anchors(np.frombuffer(raw, np.uint8))
+        for block, raw in zip(b.column("block").to_pylist(), b.column("raw"), strict=True):
+            _, h = anchors(np.frombuffer(raw.as_buffer(), np.uint8))
             if len(h):
                 held.setdefault(block, []).append(h)
     for block, parts in held.items():
         h, n = np.unique(np.concatenate(parts), return_counts=True)
-        yield pd.DataFrame({"block": np.int64(block), "key": h.view(np.int64), "n": n.astype(np.int32)})
+        yield pa.record_batch([pa.array(np.full(len(h), block, dtype=np.int64)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["block", "key", "n"])
+
+
+class _Rows:
+    """Rows of ``ROWS``, collected as arrays and turned into Arrow batches of bounded size."""
+
+    TYPES = (np.int64, None, np.int32, np.int32, np.int64, np.int64, np.int64)
+
+    def __init__(self):
+        self.pending: list[tuple] = []
+        self.waiting = 0
+        self.batches: list[pa.RecordBatch] = []
+
+    def add(self, bucket: np.ndarray, around: np.ndarray | None, before, after, doc, at: np.ndarray, until) -> None:
+        """``around`` has a row of bytes per row, or is None; scalars hold for all rows."""
+        if len(at):
+            self.pending.append((bucket, around, before, after, doc, at, until))
+            self.waiting += len(at)
+            if self.waiting >= PIECE_ROWS:
+                self.flush()
+
+    def flush(self) -> None:
+        if not self.pending:
+            return
+        sizes = [len(r[5]) for r in self.pending]
+        sent = np.repeat([r[1] is not None for r in self.pending], sizes)
+        data = np.concatenate([r[1].reshape(-1) for r in self.pending if r[1] is not None] or [np.empty(0, np.uint8)])
+        offsets = np.concatenate([[0], np.cumsum(np.where(sent, SIDE + KEY + SIDE, 0))]).astype(np.int32)
+        around = pa.Array.from_buffers(pa.binary(), len(sent), [pa.py_buffer(np.packbits(sent, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+        columns = [around if t is None else pa.array(np.concatenate([np.full(n, r[i], dtype=t) if np.ndim(r[i]) == 0 else r[i].astype(t) for r, n in zip(self.pending, sizes, strict=True)]))
+                   for i, t in enumerate(self.TYPES)]
+        self.batches.append(pa.record_batch(columns, schema=ROWS_ARROW))
+        self.pending, self.waiting = [], 0
+
+    def table(self) -> pa.Table:
+        self.flush()
+        return pa.Table.from_batches(self.batches, schema=ROWS_ARROW)
 
 
 def splitters(docs: DataFrame, n: int) -> list[bytes]:
     """At most ``n`` - 1 keys that cut a bounded sample of suffixes evenly."""
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[bytes] = []
-            for raw in b["raw"]:
-                at, _ = anchors(np.frombuffer(raw, np.uint8))
-                out += [raw[p:p + KEY] for p in at[::max(1, len(at) // 50)].tolist()]
-            yield pd.DataFrame({"key": out})
+            for raw in b.column("raw"):
+                data = np.frombuffer(raw.as_buffer(), np.uint8)
+                at, _ = anchors(data)
+                out += [data[p:p + KEY].tobytes() for p in at[::max(1, len(at) // 50)].tolist()]
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["key"])
 
     total = docs.count()
     share = min(1.0, SAMPLED_DOCS / max(total, 1))
-    sample = sorted(r["key"] for r in docs.sample(share, seed=11).select("raw").mapInPandas(keys, "key binary").collect())
+    sample = sorted(r["key"] for r in docs.sample(share, seed=11).select("raw").mapInArrow(keys, "key binary").collect())
     return sorted({bytes(sample[len(sample) * i // n]) for i in range(1, n)}) if sample else []
 
 
@@ -175,9 +219,9 @@ def _cut_out(cuts: list[bytes], parts: int):
             low[i] += int(np.searchsorted(full[low[i]:high[i]], keys[i].tobytes(), side="right"))
         return low.astype(np.int64) * parts + (hashes % np.uint64(parts)).astype(np.int64)
 
-    def settled(windows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], seen: np.ndarray) -> tuple[list[pd.DataFrame], np.ndarray]:
-        """Rows for windows of hot keys (``doc, nth, positions, two hashes`` per
-        document): new ones are sent, others are repeats; and all hashes seen."""
+    def settled(windows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], seen: np.ndarray, out: _Rows) -> np.ndarray:
+        """Adds rows for windows of hot keys (``doc, nth, positions, two hashes`` per
+        document): new ones are sent, others are repeats.  Returns all hashes seen."""
         doc, nth = (np.array([w[i] for w in windows], dtype=np.int64) for i in (0, 1))
         which = np.repeat(np.arange(len(windows)), [len(w[2]) for w in windows])
         p, code, check = (np.concatenate([w[i] for w in windows]) for i in (2, 3, 4))
@@ -185,29 +229,27 @@ def _cut_out(cuts: list[bytes], parts: int):
         new[np.unique(code, return_index=True)[1]] = True
         if len(seen):
             new &= seen[np.minimum(np.searchsorted(seen, code), len(seen) - 1)] != code
-        out = [pd.DataFrame({"bucket": (code[new] % np.uint64(n_buckets)).astype(np.int64), "around": None, "before": HOT, "after": check[new],
-                             "doc": doc[which[new]], "at": p[new] + nth[which[new]], "until": code[new].view(np.int64)})]
+        out.add((code[new] % np.uint64(n_buckets)).astype(np.int64), None, HOT, check[new], doc[which[new]], p[new] + nth[which[new]], code[new].view(np.int64))
         start = (which[~new] << NTH_SHIFT) + p[~new]
         spans = union(start, start + WINDOW)
         if len(spans):
-            which, low = spans[:, 0] >> NTH_SHIFT, (1 << NTH_SHIFT) - 1
-            out.append(pd.DataFrame({"bucket": doc[which] % n_buckets, "around": None, "before": 0, "after": 0,
-                                     "doc": doc[which], "at": (spans[:, 0] & low) + nth[which], "until": spans[:, 1] & low}))
-        return out, np.sort(np.concatenate([seen, code[new]]))
+            at, low = spans[:, 0] >> NTH_SHIFT, (1 << NTH_SHIFT) - 1
+            out.add(doc[at] % n_buckets, None, 0, 0, doc[at], (spans[:, 0] & low) + nth[at], spans[:, 1] & low)
+        return np.sort(np.concatenate([seen, code[new]]))
 
-    def run(block: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        wanted, hot = (np.sort(shared.loc[shared["hot"] == x, "key"].to_numpy(np.int64).view(np.uint64)) for x in (False, True))
+    def run(block: pa.Table, shared: pa.Table) -> pa.Table:
+        keys, is_hot = shared.column("key").to_numpy().view(np.uint64), shared.column("hot").to_numpy()
+        wanted, hot = np.sort(keys[~is_hot.astype(bool)]), np.sort(keys[is_hot.astype(bool)])
         seen: set[int] = set()
-        out: list[pd.DataFrame] = []
+        out = _Rows()
         windows, n_windows, seen_windows = [], 0, np.empty(0, np.uint64)
-        for doc, nth, data in _documents(block) if len(shared) else ():
+        for _, doc, nth, data in _documents(block) if len(keys) else ():
             at, h = anchors(data)
             if len(hot) and len(h) and (hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h).any():
                 windows.append((doc, nth, *hot_windows(data, hot)))
                 n_windows += len(windows[-1][2])
                 if n_windows >= SETTLED_WINDOWS:
-                    more, seen_windows = settled(windows, seen_windows)
-                    out += more
+                    seen_windows = settled(windows, seen_windows, out)
                     windows, n_windows = [], 0
             if not len(wanted):
                 continue
@@ -224,20 +266,16 @@ def _cut_out(cuts: list[bytes], parts: int):
                 send = np.zeros(len(p), bool)
                 send[first[new]] = True
                 if send.any():
-                    out.append(pd.DataFrame({
-                        "bucket": bucket_of(rows[send, SIDE:SIDE + KEY], hp[send]), "around": [r.tobytes() for r in rows[send]],
-                        "before": before[send], "after": after[send], "doc": doc, "at": p[send] + nth, "until": np.int64(0)}))
+                    out.add(bucket_of(rows[send, SIDE:SIDE + KEY], hp[send]), rows[send], before[send], after[send], doc, p[send] + nth, 0)
                 known = ~send
                 # every window at this anchor was seen earlier in this block
                 start, end = (p - np.minimum(before, SIDE))[known], (p + KEY + after)[known]
                 spans = union(start[end - start >= WINDOW], end[end - start >= WINDOW])
                 if len(spans):
-                    out.append(pd.DataFrame({"bucket": np.int64(doc % n_buckets), "around": None, "before": 0, "after": 0,
-                                             "doc": doc, "at": spans[:, 0] + nth, "until": spans[:, 1]}))
+                    out.add(doc % n_buckets, None, 0, 0, doc, spans[:, 0] + nth, spans[:, 1])
         if windows:
-            out += settled(windows, seen_windows)[0]
-        names = [c.split()[0] for c in ROWS.split(", ")]
-        return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame({c: [] for c in names})
+            settled(windows, seen_windows, out)
+        return out.table()
 
     return lambda block, shared: run(block, shared)
 
@@ -276,43 +314,65 @@ def multikey_quicksort(words: np.ndarray, small: int = 256) -> np.ndarray:
     return order
 
 
-def _repeated(windows: pd.DataFrame) -> pd.DataFrame:
+def _repeated(doc: np.ndarray, at: np.ndarray, code: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``doc, at, until`` of the windows of hot keys that another one precedes."""
-    doc, at, code, check = (windows[c].to_numpy() for c in ("doc", "at", "until", "after"))
     order = np.lexsort((at, doc, check, code))
     doc, at, code, check = doc[order], at[order], code[order], check[order]
     again = np.concatenate([[False], (code[1:] == code[:-1]) & (check[1:] == check[:-1])])[:len(doc)]
-    return pd.DataFrame({"doc": doc[again], "at": at[again], "until": (at[again] & ((1 << NTH_SHIFT) - 1)) + WINDOW})
+    return doc[again], at[again], (at[again] & ((1 << NTH_SHIFT) - 1)) + WINDOW
+
+
+def _whole_runs(run: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of ``run`` in pieces of whole runs, about ``RUN_ROWS`` each, ascending within a piece."""
+    order = np.argsort(run, kind="stable")
+    edges = np.append(np.flatnonzero(np.concatenate([[True], run[order][1:] != run[order][:-1]])), len(run))
+    lo = 0
+    while lo < len(run):
+        hi = int(edges[min(np.searchsorted(edges, lo + RUN_ROWS), len(edges) - 1)])
+        yield np.sort(order[lo:hi])
+        lo = hi
 
 
-def _resolve(bucket: pd.DataFrame) -> pd.DataFrame:
+def _resolve(bucket: pa.Table) -> pa.Table:
     """Step 3 for one bucket: ``doc, at, until`` of repeated spans."""
-    sent, hot = bucket["around"].notna().to_numpy(), (bucket["before"] == HOT).to_numpy()
-    passed = bucket.loc[~sent & ~hot, ["doc", "at", "until"]]
+    before, after, doc, at, until = (bucket.column(c).to_numpy() for c in ("before", "after", "doc", "at", "until"))
+    column = bucket.column("around")
+    sent, hot = column.is_valid().to_numpy().astype(bool), before == HOT
+    out = [(doc[~sent & ~hot], at[~sent & ~hot], until[~sent & ~hot])]
     if hot.any():
-        passed = pd.concat([passed, _repeated(bucket[hot])], ignore_index=True)
-    rows = bucket[sent].sort_values(["doc", "at"], ignore_index=True)
-    if not len(rows):
-        return passed
-    around = np.frombuffer(b"".join(rows["around"]), np.uint8).reshape(len(rows), SIDE + KEY + SIDE)
-    before, after, at, doc = (rows[c].to_numpy().astype(np.int64) for c in ("before", "after", "at", "doc"))
-    suffix = np.zeros((len(rows), -(-WINDOW // 8) * 8), np.uint8)
+        out.append(_repeated(doc[hot], at[hot], until[hot], after[hot]))
+    if sent.any():
+        texts = []
+        for chunk in column.chunks:  # rows without surroundings are empty there
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+            texts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].reshape(-1, SIDE + KEY + SIDE))
+        order = np.lexsort((at[sent], doc[sent]))
+        out += _compared(np.concatenate(texts)[order], *(c[sent][order].astype(np.int64) for c in (before, after, doc, at)))
+    return pa.table([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(3)], schema=SPANS_ARROW)
+
+
+def _compared(around: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``doc, at, until`` of repeated spans among suffixes in order of (doc, at)."""
+    suffix = np.zeros((len(at), -(-WINDOW // 8) * 8), np.uint8)
     suffix[:, :WINDOW] = around[:, SIDE:]
     words = suffix.view(">u8").astype(np.uint64)
+    del suffix
     order = multikey_quicksort(words)
     lead = words[order, :KEY // 8]
-    run = np.empty(len(rows), np.int64)
+    run = np.empty(len(at), np.int64)
     run[order] = np.cumsum(np.concatenate([[True], (lead[1:] != lead[:-1]).any(axis=1)]))
+    del words, lead, order
     _, first = np.unique(_row_hashes(around, before, after), return_index=True)
-    head = np.zeros(len(rows), bool)
+    head = np.zeros(len(at), bool)
     head[first] = True
     # all windows of later rows with the same surroundings are repeats
     start, end = (at - before)[~head], (at + KEY + after)[~head]
     whole = end - start >= WINDOW
-    out = [passed, pd.DataFrame({"doc": doc[~head][whole], "at": start[whole], "until": (end & ((1 << NTH_SHIFT) - 1))[whole]})]
+    yield doc[~head][whole], start[whole], (end & ((1 << NTH_SHIFT) - 1))[whole]
     mixed_runs = np.bincount(run[head], minlength=run.max() + 1) > 1
-    some = np.flatnonzero(head & mixed_runs[run])  # ascending, hence in order of (doc, at)
-    if len(some):
+    candidates = np.flatnonzero(head & mixed_runs[run])  # ascending, hence in order of (doc, at)
+    for piece in _whole_runs(run[candidates]):
+        some = candidates[piece]
         here = around[some]
         right = np.empty((SIDE + 1, len(some)), np.uint64)
         right[0] = run[some].astype(np.uint64) * _C[3]
@@ -332,13 +392,12 @@ def _resolve(bucket: pd.DataFrame) -> pd.DataFrame:
         r, lo = np.nonzero(step == 1)
         _, hi = np.nonzero(step == -1)  # first and last offsets of each stretch of repeated windows
         p = at[some][r]
-        out.append(pd.DataFrame({"doc": doc[some][r], "at": p - (hi - 1), "until": (p - lo + WINDOW) & ((1 << NTH_SHIFT) - 1)}))
-    return pd.concat(out, ignore_index=True).astype("int64")
+        yield doc[some][r], p - (hi - 1), (p - lo + WINDOW) & ((1 << NTH_SHIFT) - 1)
 
 
-def _spans_by_document(spans: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
+def _spans_by_document(spans: pa.Table) -> dict[tuple[int, int], np.ndarray]:
     """Merged spans of each (document, shifted number among equal ids)."""
-    doc, at, until = (spans[c].to_numpy().astype(np.int64) for c in ("doc", "at", "until"))
+    doc, at, until = (spans.column(c).to_numpy() for c in ("doc", "at", "until"))
     nth = at >> NTH_SHIFT
     order = np.lexsort((at, nth, doc))
     doc, nth, at, until = doc[order], nth[order], (at & ((1 << NTH_SHIFT) - 1))[order], until[order]
@@ -353,12 +412,13 @@ def _spans_by_document(spans: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]
 NO_SPANS = np.empty((0, 2), np.int64)
 
 
-def _removed(finish):
+def _removed(finish, schema: pa.Schema):
     """Step 4 for one block: each document and its merged spans go to ``finish``."""
 
-    def run(block: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+    def run(block: pa.Table, spans: pa.Table) -> pa.Table:
         found = _spans_by_document(spans)
-        return finish([(d, data, found.get((d, n), NO_SPANS)) for d, n, data in _documents(block)])
+        rows = [finish(d, data, found.get((d, n), NO_SPANS)) for _, d, n, data in _documents(block)]
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
 
@@ -370,13 +430,12 @@ def kept_bytes(data: np.ndarray, spans: np.ndarray) -> bytes:
     return b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _texts(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame([(d, len(x), s.reshape(-1).tolist(), kept_bytes(x, s)) for d, x, s in docs], columns=["doc_id", "n_bytes", "spans", "kept"])
+def _texts(d: int, x: np.ndarray, s: np.ndarray) -> tuple:
+    return d, len(x), s.reshape(-1).tolist(), kept_bytes(x, s)
 
 
-def _digests(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame([(d, len(x), int((s[:, 1] - s[:, 0]).sum()), len(s), hashlib.sha256(kept_bytes(x, s)).hexdigest()) for d, x, s in docs],
-                        columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _digests(d: int, x: np.ndarray, s: np.ndarray) -> tuple:
+    return d, len(x), int((s[:, 1] - s[:, 0]).sum()), len(s), hashlib.sha256(kept_bytes(x, s)).hexdigest()
 
 
 def _blocks_and_spans(docs: DataFrame, others: list[Column]) -> tuple[DataFrame, DataFrame]:
@@ -389,28 +448,30 @@ def _blocks_and_spans(docs: DataFrame, others: list[Column]) -> tuple[DataFrame,
     cuts, parts = splitters(raw, ranges), -(-2 * n_blocks // ranges)
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("long")
     blocks = raw.withColumn("block", block_of("doc_id")).repartition(n_blocks, "block")
-    reported = blocks.mapInPandas(_reported, "block long, key long, n int")
+    reported = blocks.select("block", "raw").mapInArrow(_reported, "block long, key long, n int")
     shared = (reported.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1")
               .select("block", "key", (F.col("all") > HOT_ROWS).alias("hot")))
-    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_cut_out(cuts, parts), ROWS)
-    spans = sent.groupBy("bucket").applyInPandas(_resolve, "doc long, at long, until long").withColumn("block", block_of("doc"))
+    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_out(cuts, parts), ROWS)
+    spans = sent.groupBy("bucket").applyInArrow(_resolve, "doc long, at long, until long").withColumn("block", block_of("doc"))
     return blocks, spans
 
 
-def _deduplicated(docs: DataFrame, finish, schema: str) -> DataFrame:
+def _deduplicated(docs: DataFrame, finish, schema: pa.Schema, columns: str) -> DataFrame:
     blocks, spans = _blocks_and_spans(docs, [])
-    out = blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_removed(finish), schema)
+    out = blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_removed(finish, schema), columns)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, spans`` (starts and ends of removed bytes, alternating) and the bytes ``kept``."""
-    return _deduplicated(docs, _texts, "doc_id long, n_bytes long, spans array<long>, kept binary")
+    return _deduplicated(docs, _texts, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())]),
+                         "doc_id long, n_bytes long, spans array<long>, kept binary")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``; the kept bytes stay inside the worker."""
-    return _deduplicated(docs, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _deduplicated(docs, _digests, pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string())]),
+                         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -422,16 +483,13 @@ def cleaned(docs: DataFrame) -> DataFrame:
     blocks, spans = _blocks_and_spans(docs, [*others, F.col("text").isNull().alias("no_text")])
 
     def run(block: pa.Table, spans: pa.Table) -> pa.Table:
-        found = _spans_by_document(spans.to_pandas())
-        ids, raws = block.column("doc_id").to_pylist(), block.column("raw").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], raws[i]))
-        texts, changed, last, nth = [], [], None, 0
-        for i, missing in zip(order, block.column("no_text").take(order).to_pylist(), strict=True):
-            nth = nth + 1 if ids[i] == last else 0
-            last = ids[i]
-            cut = found.get((ids[i], nth << NTH_SHIFT), NO_SPANS)
-            kept = kept_bytes(np.frombuffer(raws[i], np.uint8), cut) if len(cut) else raws[i]
-            texts.append(None if missing else kept.decode("utf-8", "ignore"))
+        found = _spans_by_document(spans)
+        missing = block.column("no_text").to_pylist()
+        order, texts, changed = [], [], []
+        for i, doc, nth, data in _documents(block):
+            cut = found.get((doc, nth), NO_SPANS)
+            order.append(i)
+            texts.append(None if missing[i] else kept_bytes(data, cut).decode("utf-8", "ignore"))
             changed.append(len(cut) > 0)
         out = block.take(order).select([f"c{i}" for i in range(len(names))])
         out = out.append_column("text", pa.array(texts, pa.string())).append_column("changed", pa.array(changed, pa.bool_()))
