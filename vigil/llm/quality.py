@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def buckets(raw: bytes) -> np.ndarray:
+def buckets(raw: bytes | pa.Buffer) -> np.ndarray:
     """Hash bucket of every n-gram of a text."""
     data = np.frombuffer(raw, np.uint8)
     if not len(data):
@@ -95,19 +96,19 @@ def buckets(raw: bytes) -> np.ndarray:
 def _counted(good: np.ndarray):
     """Counts per bucket over all texts and over those of the ids in ``good`` (sorted)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw_n, good_n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            ids = b["doc_id"].to_numpy()
+            ids = b.column("doc_id").to_numpy()
             at = np.minimum(np.searchsorted(good, ids), max(len(good) - 1, 0))
             target = good[at] == ids if len(good) else np.zeros(len(ids), bool)
-            for text, is_good in zip(b["raw"], target, strict=True):
-                n = np.bincount(buckets(text), minlength=BUCKETS)
+            for text, is_good in zip(b.column("raw"), target, strict=True):
+                n = np.bincount(buckets(text.as_buffer()), minlength=BUCKETS)
                 raw_n += n
                 if is_good:
                     good_n += n
         some = np.flatnonzero(raw_n)
-        yield pd.DataFrame({"bucket": some, "raw": raw_n[some], "target": good_n[some]})
+        yield pa.record_batch([pa.array(some), pa.array(raw_n[some]), pa.array(good_n[some])], names=["bucket", "raw", "target"])
 
     return run
 
@@ -120,10 +121,17 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def _weighed(ratio: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Weighs text by text: only the sum and the number of its n-grams are kept."""
+
+    def weight(text: pa.BinaryScalar) -> tuple[float, int]:
+        at = buckets(text.as_buffer())
+        return ratio[at].sum() / (len(at) + SHRINK), len(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [buckets(text) for text in b["raw"]]
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "log_weight": [ratio[x].sum() / (len(x) + SHRINK) for x in at], "n_grams": [len(x) for x in at]})
+            got = [weight(text) for text in b.column("raw")]
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())],
+                                  names=["row", "doc_id", "log_weight", "n_grams"])
 
     return run
 
@@ -153,11 +161,11 @@ def weighed(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tu
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()  # bounded by ``limit``
     good = np.array(sorted(r["doc_id"] for r in known if r["quality"] > 0), dtype=np.int64)
     named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    counts = named.mapInPandas(_counted(good), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    counts = named.mapInArrow(_counted(good), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in counts:
         raw[bucket], target[bucket] = r, t
-    scored = cut(texts.mapInPandas(_weighed(log_ratio(raw, target)), "row long, doc_id long, log_weight double, n_grams long"))
+    scored = cut(texts.mapInArrow(_weighed(log_ratio(raw, target)), "row long, doc_id long, log_weight double, n_grams long"))
     sample = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["quality"])) for r in known], "doc_id long, quality int")
     fitted = scored.join(sample, "doc_id").select("log_weight", "quality").limit(4 * limit).toPandas() if known else pd.DataFrame({"log_weight": [], "quality": []})
     return scored, best_threshold(fitted.log_weight[fitted.quality > 0].to_numpy(), fitted.log_weight[fitted.quality == 0].to_numpy())
