@@ -94,3 +94,23 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(*r, "en", "x", 1) for r in rows], schema)
     got = [(r.doc_id, r.text) for r in quality.accepted(docs, labels).collect() if r.doc_id is None or r.doc_id == 1000]
     assert sorted(got, key=repr) == sorted([(1000, good), (None, good)], key=repr)
+
+
+@pytest.mark.parametrize("names", [["_row", "_h", "_w", "_bits"], ["row", "least", "p", "a.b"]])
+def test_columns_with_clashing_names_travel_through(spark, names):
+    """Texts of the given table, some twice, some without words, with columns named like the stages' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = [F.concat(F.lit(f"{n} of "), F.col("doc_id")).alias(n) for n in names]
+    wide = docs.union(docs.where("doc_id < 20")).select("*", *more)
+    for _, stage in C.STAGES[:3]:
+        plain = {r.doc_id: r.text for r in stage(spark, docs, SF).collect()}
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns
+        for r in got.collect():
+            assert [r[n] for n in names] == [f"{n} of {r.doc_id}" for n in names] and r.doc_id in plain
+
+
+def test_an_empty_table_gives_no_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in C.STAGES:
+        assert stage(spark, docs, SF).count() == 0

@@ -60,6 +60,14 @@ def _bit(col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(BITMAP_WORDS * 64))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores after it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def in_bitmap(df: DataFrame, col: str, ids: DataFrame, id_col: str, outside: bool = False) -> DataFrame:
     """Rows whose hashed ``col`` is marked by some id (a superset of the rows
     whose id is among ``ids``), or with ``outside`` the other rows.
@@ -67,13 +75,14 @@ def in_bitmap(df: DataFrame, col: str, ids: DataFrame, id_col: str, outside: boo
     A prefilter before a join on the id: it keeps long texts that cannot match
     out of the shuffle.  The bitmap has at most ``BITMAP_WORDS`` rows, which
     bounds the broadcast; with very many ids it fills up and lets rows pass."""
-    words = (ids.where(F.col(id_col).isNotNull()).select(_bit(id_col).alias("_p"))
-             .groupBy(F.floor(F.col("_p") / 64).cast("long").alias("_w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits")))
-    marked = F.expr("_bits is not null and _h is not null and (shiftright(_bits, cast(_h % 64 as int)) & 1L) = 1L")
-    out = (df.withColumn("_h", F.when(F.col(col).isNotNull(), _bit(col))).withColumn("_w", F.floor(F.col("_h") / 64).cast("long"))
-           .join(F.broadcast(words), "_w", "left"))
-    return out.where(~marked if outside else marked).select(*df.columns)
+    hashed, word, bits = (free_name(df, c) for c in ("_h", "_w", "_bits"))
+    words = (ids.where(F.col(id_col).isNotNull()).select(_bit(id_col).alias("p"))
+             .groupBy(F.floor(F.col("p") / 64).cast("long").alias(word))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias(bits)))
+    marked = F.expr(f"{bits} is not null and {hashed} is not null and (shiftright({bits}, cast({hashed} % 64 as int)) & 1L) = 1L")
+    out = (df.withColumn(hashed, F.when(F.col(f"`{col}`").isNotNull(), _bit(f"`{col}`"))).withColumn(word, F.floor(F.col(hashed) / 64).cast("long"))
+           .join(F.broadcast(words), word, "left"))
+    return out.where(~marked if outside else marked).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def keyed(docs: DataFrame, row: str = "row") -> DataFrame:
@@ -84,5 +93,5 @@ def keyed(docs: DataFrame, row: str = "row") -> DataFrame:
 def without_ids(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``df`` whose ``col`` is not among ``ids``; only rows that the bitmap marks are shuffled."""
     sure = in_bitmap(df, col, ids, id_col, outside=True)
-    rest = in_bitmap(df, col, ids, id_col).join(ids.select(F.col(id_col).alias(col)).distinct(), col, "left_anti").select(*df.columns)
+    rest = in_bitmap(df, col, ids, id_col).join(ids.select(F.col(id_col).alias(col)).distinct(), col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
     return sure.unionByName(rest)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import cut, in_bitmap, keyed, text_bytes, without_ids
+from vigil.llm.common import cut, free_name, in_bitmap, keyed, text_bytes, without_ids
 from vigil.llm.components import connected
 
 BAND_FACTOR = 1.5
@@ -351,13 +351,14 @@ def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``docs`` with all columns: of linked rows the one with the least doc_id
     stays (null last; then the least key of doc_id and text); of rows equal in
     both, the least by the other columns.  Rows without n-grams all stay."""
-    names, rows = docs.columns, keyed(docs, "_row")
+    names, row = docs.columns, free_name(docs, "_row")
+    rows, columns = keyed(docs, row), [F.col(f"`{c}`") for c in names]
     members, classes, parts = _components(docs, n, num, den)
     judged = cut(members.where("n_shingles > 0").groupBy("cls", "row").agg(F.count(F.lit(1)).alias("copies"))
                  .join(classes, "cls").join(parts, "cls", "left")
                  .select("row", "copies", ((F.col("row") == F.col("first_row")) & (F.coalesce("root", "cls") == F.col("cls"))).alias("stays")))
-    several = judged.where("stays and copies > 1").select(F.col("row").alias("_row"))
-    rest = without_ids(rows, "_row", judged.where("not stays or copies > 1"), "row").select(*names)
-    least = (in_bitmap(rows, "_row", several, "_row").join(several, "_row", "left_semi")
-             .groupBy("_row").agg(F.min(F.struct(*names)).alias("_least")))
-    return rest.unionByName(least.select(*[F.col("_least").getField(c).alias(c) for c in names]))
+    several = judged.where("stays and copies > 1").select(F.col("row").alias(row))
+    rest = without_ids(rows, row, judged.where("not stays or copies > 1"), "row").select(*columns)
+    least = (in_bitmap(rows, row, several, row).join(several, row, "left_semi")
+             .groupBy(row).agg(F.min(F.struct(*columns)).alias("least")))
+    return rest.unionByName(least.select(*[F.col("least").getField(c).alias(c) for c in names]))

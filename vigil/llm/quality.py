@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import cut, keyed, without_ids
+from vigil.llm.common import cut, free_name, keyed, without_ids
 
 BUCKETS = 1 << 16
 CLASS_GRAMS = 4
@@ -214,4 +214,5 @@ def resampled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, sha
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are drawn, all columns; rows that share a doc_id, or have none, are judged by their own texts."""
-    return without_ids(keyed(docs, "_row"), "_row", resampled(docs, labels).where("not kept"), "row").select(*docs.columns)
+    row = free_name(docs, "_row")
+    return without_ids(keyed(docs, row), row, resampled(docs, labels).where("not kept"), "row").select(*[F.col(f"`{c}`") for c in docs.columns])
