@@ -448,7 +448,7 @@ def _blocks_and_spans(docs: DataFrame, others: list[Column]) -> tuple[DataFrame,
     cuts, parts = splitters(raw, ranges), -(-2 * n_blocks // ranges)
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("long")
     blocks = raw.withColumn("block", block_of("doc_id")).repartition(n_blocks, "block")
-    reported = blocks.select("block", "raw").mapInArrow(_reported, "block long, key long, n int")
+    reported = blocks.mapInArrow(_reported, "block long, key long, n int")
     shared = (reported.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1")
               .select("block", "key", (F.col("all") > HOT_ROWS).alias("hot")))
     sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_out(cuts, parts), ROWS)
