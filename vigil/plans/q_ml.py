@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import ml as ML
+from vigil.operators import oversample as OV
 from vigil.operators import triage as TR
 from vigil.plans import oracle_sql as O
 from vigil.plans.common import table, verified_alerts
@@ -44,6 +45,19 @@ def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).groupBy("split", F.col(LABEL).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def oversampled_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic rows that level the classes of the training split; the other
+    splits are left as they are.  Categories take part as their codes."""
+    from vigil.session import materialize
+    train = materialize(_split(spark, sf_dir).where(F.col("split") == "train"))
+    for c in CATEGORICAL:
+        codes = ML.category_codes(train, c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
+        train = train.join(codes, c)
+    features = [*NUMERIC, *(f"{c}_code" for c in CATEGORICAL)]
+    made = OV.oversampled(train.select("doc_id", LABEL, *features), "doc_id", features, LABEL)
+    return made.select(F.col(LABEL).alias("label"), "draw", "base", "neighbour", *[F.round(c, 6).alias(c) for c in features])
+
+
 def feature_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _split(spark, sf_dir)
     params = ML.fit_standardizer(s.where(F.col("split") == "train"), NUMERIC)
@@ -107,6 +121,7 @@ QUERIES = {
     "feature_medians": feature_medians,
     "train_split": train_split,
     "feature_scaling": feature_scaling,
+    "oversampled_train": oversampled_train,
     "label_encoding": label_encoding,
     "classifier_metrics": classifier_metrics,
     "model_selection": model_selection,
@@ -148,6 +163,21 @@ SELECT (SELECT count(*) FROM tt) AS n_rows, 6 AS n_cols,
 st AS (SELECT avg(n_chars) AS m, CASE WHEN stddev_pop(n_chars) = 0 OR stddev_pop(n_chars) IS NULL THEN 1.0 ELSE stddev_pop(n_chars) END AS s
        FROM sp2 WHERE split = 'train')
 SELECT doc_id, split, round((CAST(n_chars AS DOUBLE) - st.m) / st.s, 6) AS z_n_chars FROM sp2, st""",
+    "oversampled_train": "WITH " + _SPLIT + """,
+coded AS (SELECT doc_id, quality, CAST(n_chars AS DOUBLE) AS a, CAST(dense_rank() OVER (ORDER BY CAST(lang AS VARCHAR)) - 1 AS DOUBLE) AS b,
+            CAST(dense_rank() OVER (ORDER BY CAST(source AS VARCHAR)) - 1 AS DOUBLE) AS c FROM sp2 WHERE split = 'train'),
+size AS (SELECT quality, count(*) AS n, max(count(*)) OVER () AS most FROM coded GROUP BY quality),
+lim AS (SELECT CASE WHEN count_if(n < most AND n <= 5) > 0 THEN 1 ELSE 5 END AS k FROM size),
+tr AS (SELECT coded.*, n, most, row_number() OVER (PARTITION BY coded.quality ORDER BY doc_id) - 1 AS idx FROM coded JOIN size USING (quality) WHERE n < most),
+near AS (SELECT x.doc_id, y.a AS na, y.b AS nb, y.c AS nc, row_number() OVER (PARTITION BY x.doc_id ORDER BY
+           (x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2, y.a, y.b, y.c) AS nth FROM tr x JOIN tr y ON x.quality = y.quality AND x.doc_id <> y.doc_id),
+spots AS (SELECT quality, n, unnest(range(most - n)) AS draw, k FROM size, lim WHERE n < most),
+picks AS (SELECT quality, draw, CAST('0x' || substr(md5(draw || '|' || quality || '|base|42'), 1, 8) AS BIGINT) % n AS idx,
+            CAST('0x' || substr(md5(draw || '|' || quality || '|neighbour|42'), 1, 8) AS BIGINT) % k + 1 AS nth,
+            CAST('0x' || substr(md5(draw || '|' || quality || '|gap|42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS gap FROM spots)
+SELECT p.quality AS label, draw, tr.doc_id AS base, CAST(nth AS INTEGER) AS neighbour, round(a + gap * (na - a), 6) AS n_chars,
+  round(b + gap * (nb - b), 6) AS lang_code, round(c + gap * (nc - c), 6) AS source_code
+FROM picks p JOIN tr USING (quality, idx) JOIN near USING (doc_id, nth)""",
     "label_encoding": "WITH " + _TT + """
 SELECT 'lang' AS feature, v AS value, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code
 FROM (SELECT DISTINCT CAST(lang AS VARCHAR) AS v FROM tt WHERE lang IS NOT NULL)
