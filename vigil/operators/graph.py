@@ -134,7 +134,11 @@ def simulate_paths(requests: DataFrame, nodes: DataFrame, paths: DataFrame) -> D
     """requests(source, target) → hops, path, risk exposure max(0, 100 − 10·dist)
     (2 dp); unknown or unreachable pairs give 0 / [] / 0.0."""
     p = paths.select(F.col("src").alias("source"), F.col("dst").alias("target"), "dist", "path")
-    j = requests.join(p, ["source", "target"], "left")
+    return risk_of_paths(requests.join(p, ["source", "target"], "left"))
+
+
+def risk_of_paths(j: DataFrame) -> DataFrame:
+    """``source, target, dist, path`` of requests, null where there is no path → their figures."""
     found = F.col("dist").isNotNull()
     return j.select(
         "source", "target",
@@ -153,3 +157,19 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, display_critical_types: li
                     F.count(F.when(F.col("is_node") == 0, 1)).alias("total_edges"),
                     F.count(F.when(F.col("critical_asset"), 1)).alias("n_critical"),
                     F.count(F.when(F.col("node_type").isin(*display_critical_types), 1)).alias("display_critical"))
+
+
+def listing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All nodes with label and type and all edges with protocol, UNKNOWN where there is none."""
+    none = F.lit(None).cast("string")
+    return (nodes.select(F.lit("node").alias("kind"), F.col("id").alias("source"), none.alias("target"), F.col("id").alias("label"),
+                         F.coalesce("node_type", F.lit("UNKNOWN")).alias("detail"))
+            .unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("source"), F.col("dst").alias("target"), none.alias("label"),
+                                      F.coalesce("protocol", F.lit("UNKNOWN")).alias("detail"))))
+
+
+def critical_list(nodes: DataFrame) -> DataFrame:
+    """Critical nodes with their number in order of the node order."""
+    from vigil.functions.ordered import running_totals
+    some = running_totals(nodes.where("critical_asset").select("id", "node_type", "node_ord"), "node_ord", [])
+    return some.select((F.col("idx") + 1).alias("nth"), F.col("id").alias("node"), "node_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.operators import exposure as X
 from vigil.operators import graph as G
 from vigil.plans.common import table
 from vigil.sources import dims
@@ -27,8 +28,7 @@ def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blast_radius_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, p = _paths(spark, sf_dir)
-    b = G.blast_radius(nodes, p)
+    b = X.blast_radius(*_topo(spark, sf_dir))
     return b.select("node", "blast_radius_score", "affected_count", "nearest_critical",
                     F.array_join("path_to_nearest_critical", ">").alias("path_to_nearest_critical"),
                     "movement_pattern")
@@ -42,16 +42,48 @@ def critical_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.bround(F.sum(1.0 / (F.col("dist") + 1.0)), 4).alias("blast_radius_score"))
 
 
-def attack_path_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, p = _paths(spark, sf_dir)
+def _requests(spark, sf_dir) -> DataFrame:
+    """A path request per customer and order segment; every 97th order asks for an unknown target."""
     o = table(spark, sf_dir, "orders")
-    req = o.select(F.concat(F.lit("C:"), F.col("o_custkey").cast("string")).alias("source"),
-                   F.when(F.col("o_orderkey") % 97 == 0, F.lit("N:unknown"))
-                    .otherwise(F.concat(F.lit("N:"), (F.col("o_orderkey") % 25).cast("string"))).alias("target")).distinct()
-    s = G.simulate_paths(req, nodes, p)
+    return o.select(F.concat(F.lit("C:"), F.col("o_custkey").cast("string")).alias("source"),
+                    F.when(F.col("o_orderkey") % 97 == 0, F.lit("N:unknown"))
+                     .otherwise(F.concat(F.lit("N:"), (F.col("o_orderkey") % 25).cast("string"))).alias("target")).distinct()
+
+
+def attack_path_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = _topo(spark, sf_dir)
+    s = G.risk_of_paths(X.simulated(_requests(spark, sf_dir), edges))
     return s.select("source", "target", "hops", F.array_join("path", ">").alias("path"), "risk_exposure")
 
 
+def affected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that each customer with orders reaches, in order, and the row
+    of an unknown node: customers of every 97th order are asked for by a name
+    that the graph does not hold."""
+    nodes, edges = _topo(spark, sf_dir)
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.when(F.col("o_orderkey") % 97 == 0, F.lit("X:")).otherwise(F.lit("C:")), F.col("o_custkey").cast("string"))
+    return X.affected(o.select(name.alias("node")), nodes, edges)
+
+
+def path_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links on display, marked where a path to the nearest critical node
+    runs; the display leaves out SSH links, which paths add."""
+    nodes, edges = _topo(spark, sf_dir)
+    paths = X.nearest_paths(nodes, X.prepared(edges))
+    return X.marked(paths, edges.where("protocol <> 'SSH'"))
+
+
+def topology_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _topo(spark, sf_dir)
+    return G.listing(nodes, edges)
+
+
+def critical_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _topo(spark, sf_dir)
+    return G.critical_list(nodes)
+
+
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _topo(spark, sf_dir)
     return G.graph_summary(nodes, edges, dims.DISPLAY_CRITICAL_TYPES)
@@ -60,9 +92,9 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges on each node's path to its nearest critical node, with protocol
     (path hops are consecutive pairs of the path; every hop is a graph edge)."""
-    nodes, edges, p = _paths(spark, sf_dir)
-    b = G.blast_radius(nodes, p).where(F.size("path_to_nearest_critical") > 1)
-    path = F.col("path_to_nearest_critical")
+    nodes, edges = _topo(spark, sf_dir)
+    b = X.nearest_paths(nodes, X.prepared(edges)).where(F.size("path") > 1)
+    path = F.col("path")
     pairs = F.transform(F.slice(path, 1, F.size(path) - 1), lambda x, i: F.struct((i + 1).alias("hop"), x.alias("hop_src"), F.get(path, i + 1).alias("hop_dst")))
     hops = b.select("node", F.explode_outer(pairs).alias("h")).select("node", "h.hop", "h.hop_src", "h.hop_dst")
     e = edges.select(F.col("src").alias("hop_src"), F.col("dst").alias("hop_dst"), "protocol", "weight")
@@ -93,6 +125,10 @@ QUERIES = {
     "critical_exposure": critical_exposure,
     "attack_path_sim": attack_path_sim,
     "graph_summary": graph_summary,
+    "affected_nodes": affected_nodes,
+    "path_marking": path_marking,
+    "topology_listing": topology_listing,
+    "critical_list": critical_list,
 }
 
 _TOPO = """
@@ -162,6 +198,28 @@ SELECT r.source, r.target,
   CASE WHEN b.dist IS NULL THEN '' ELSE array_to_string(b.path, '>') END AS path,
   CASE WHEN b.dist IS NULL THEN 0.0 ELSE round_even(greatest(0.0, 100.0 - b.dist * 10.0), 2) END AS risk_exposure
 FROM req r LEFT JOIN best b ON b.src = r.source AND b.dst = r.target""",
+    "affected_nodes": _WALK + """,
+req AS (SELECT DISTINCT CASE WHEN o_orderkey % 97 = 0 THEN 'X:' ELSE 'C:' END || CAST(o_custkey AS VARCHAR) AS node FROM orders)
+SELECT r.node, CASE WHEN b.src IS NULL THEN 0 ELSE CAST(row_number() OVER (PARTITION BY r.node ORDER BY b.dist, b.dst) AS INTEGER) END AS nth,
+  b.dst AS affected_node, coalesce(b.dist, 0.0) AS dist, CASE WHEN b.src IS NULL THEN 'UNKNOWN' WHEN count(b.src) OVER (PARTITION BY r.node) > 1 THEN 'LATERAL_MOVEMENT' ELSE 'DIRECT_ATTACK' END AS movement_pattern
+FROM req r LEFT JOIN best b ON b.src = r.node""",
+    "path_marking": _WALK + """,
+cp AS (SELECT b.* FROM best b JOIN nodes n ON b.dst = n.id AND n.critical_asset),
+near AS (SELECT src, arg_min(path, (dist, dst)) AS path FROM cp GROUP BY 1),
+hops AS (SELECT path[i] AS src, path[i + 1] AS dst, count(*) AS n FROM (SELECT path, generate_subscripts(path, 1) AS i FROM near WHERE len(path) > 1) WHERE i < len(path) GROUP BY ALL),
+pe AS (SELECT src, dst, CASE WHEN src LIKE 'C:%' THEN 'SMB' WHEN src LIKE 'S:%' THEN 'DB'
+                             WHEN src LIKE 'N:%' THEN 'RDP' WHEN dst LIKE 'N:%' THEN 'RDP' ELSE 'SSH' END AS protocol FROM edges),
+shown AS (SELECT * FROM pe WHERE protocol <> 'SSH')
+SELECT coalesce(h.src, s.src) AS src, coalesce(h.dst, s.dst) AS dst, s.protocol,
+  CASE WHEN s.src IS NULL THEN 'ADDED' WHEN h.src IS NULL THEN 'PLAIN' ELSE 'MARKED' END AS outcome, coalesce(h.n, 0) AS n_paths
+FROM hops h FULL OUTER JOIN shown s ON h.src = s.src AND h.dst = s.dst""",
+    "topology_listing": "WITH " + _TOPO.strip() + """
+SELECT 'node' AS kind, id AS source, NULL AS target, id AS label, node_type AS detail FROM nodes
+UNION ALL
+SELECT 'edge', src, dst, NULL, CASE WHEN src LIKE 'C:%' THEN 'SMB' WHEN src LIKE 'S:%' THEN 'DB'
+                                    WHEN src LIKE 'N:%' THEN 'RDP' WHEN dst LIKE 'N:%' THEN 'RDP' ELSE 'SSH' END FROM edges""",
+    "critical_list": "WITH " + _TOPO.strip() + """
+SELECT row_number() OVER (ORDER BY id) AS nth, id AS node, node_type FROM nodes WHERE critical_asset""",
     "graph_summary": "WITH " + _TOPO.strip() + f"""
 SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges,
   (SELECT count(*) FROM nodes WHERE critical_asset) AS n_critical,
