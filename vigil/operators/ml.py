@@ -72,12 +72,16 @@ def exact_median(df: DataFrame, value: str, by: list[str], partitions: int | Non
 
 
 def fit_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact median per numeric column (one value each reaches the driver)."""
-    out = {}
-    for c in cols:
-        r = exact_median(df.withColumn("_all", F.lit(1)), c, ["_all"]).first()
-        out[c] = r["median"] if r else None
-    return out
+    """Exact median per numeric column (one value each reaches the driver).
+
+    All columns are one selection: values are counted per (column, value), so the
+    number of shuffles and checkpoints does not depend on the number of columns."""
+    if not cols:
+        return {}
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols]))
+    found = exact_median(df.select(named.alias("x")).select("x.feature", "x.value").where("not isnan(value)"), "value", ["feature"])
+    medians = {r["feature"]: r["median"] for r in found.collect()}
+    return {c: medians.get(c) for c in cols}
 
 
 def impute_medians(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:

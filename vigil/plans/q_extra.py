@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.ioc import with_iocs
 from vigil.operators import cards as C
+from vigil.operators import listing as LS
 from vigil.operators import triage as TR
 from vigil.plans import oracle_sql as O
 from vigil.plans.common import alerts
@@ -58,6 +59,40 @@ def cacao_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(actions, lambda w, i: F.concat_ws(" ", (i * 2).cast("string"), w["name"])), "; ").alias("timeline"))
 
 
+def cacao_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported documents of which some lines broke and some lost their workflow:
+    the rest as history in order of its start, newest first, and what was set aside."""
+    path, aside = shared_path(spark, "cacao-broken"), shared_path(spark, "cacao-quarantine")
+    s = score_alerts(alerts(spark, sf_dir), AS_OF)
+    eid = F.col("event_id")
+    text = F.to_json(TR.cacao_document(F.col("alert_id"), F.col("playbook_actions"), F.col("summary"), F.col("timestamp")))
+    line = F.when(eid % 59 == 0, F.concat(F.lit("{"), text)).when(eid % 47 == 0, F.concat(F.lit('{"name": "Incident '), F.col("alert_id"), F.lit('"}'))).otherwise(text)
+    s.select(line.alias("value")).write.text(path)
+    kept = L.read_or_quarantine(spark, path, CACAO_SCHEMA, F.col("workflow").isNotNull(), aside)
+    history = kept.select(F.regexp_extract("name", r"Incident (\S+)$", 1).alias("alert_id"), F.substring("created", 1, 19).alias("started_at"))
+    history = LS.ordered(history, LS.newest_first("started_at", "alert_id")).select(F.lit("kept").alias("outcome"), "nth", "alert_id", "started_at")
+    away = spark.read.parquet(aside).groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("nth"))
+    return history.unionByName(away.withColumn("alert_id", F.lit(None).cast("string")).withColumn("started_at", F.lit(None).cast("string")))
+
+
+def request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert requests as JSON lines: valid ones become alerts and are scored."""
+    from vigil.plans.q_sources import written_requests
+    ok, _ = L.read_requests(spark, written_requests(spark, sf_dir))
+    a = L.alerts_of_requests(ok, F.lit(AS_OF).cast("timestamp")).withColumn("processName", F.lit(None).cast("string"))
+    s = score_alerts(a, AS_OF)
+    return s.select("alert_id", "event_type", "confidence_score", "verification_status", "severity", "confidence", "playbook_state",
+                    F.size("evidence").alias("n_evidence"))
+
+
+def evidence_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of evidence of every alert in its order, with what its text lists in brackets."""
+    from vigil.plans.common import verified_alerts
+    v = verified_alerts(spark, sf_dir).select("alert_id", F.posexplode_outer("evidence").alias("pos", "e"))
+    return v.select("alert_id", (F.col("pos") + 1).alias("position"), F.col("e.pass").alias("pass"), "e.rule", "e.weight", "e.subject",
+                    F.regexp_extract("e.text", r"\[([^\]]*)\]", 1).alias("listed"))
+
+
 def training_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host-log CSV → normalised alerts → indicators (+ process column) →
     CSV export with the indicator map as JSON → label / indicator counts."""
@@ -75,13 +110,60 @@ def training_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "cacao_quarantine": cacao_quarantine,
+    "request_scores": request_scores,
+    "evidence_long": evidence_long,
     "alert_cards": alert_cards,
     "repeat_attackers": repeat_attackers,
     "cacao_history": cacao_history,
     "training_export": training_export,
 }
 
+_ALERTS = O.ALERTS_V_SQL.strip()
+_VALID_IP = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
+# the accepted requests in place of the alerts
+_REQUESTED = "WITH " + _ALERTS.replace("alerts_v AS (", "alerts_given AS (", 1) + f""",
+alerts_v AS (SELECT * REPLACE (
+    'REQ-' || md5(concat_ws('|', raw_log, source_ip, dest_ip, CAST(port AS VARCHAR), strftime("timestamp", '%Y-%m-%dT%H:%M:%SZ'), event_type)) AS alert_id,
+    date_trunc('second', "timestamp") AS "timestamp", NULL::VARCHAR AS "processName")
+  FROM alerts_given WHERE event_id % 113 <> 0 AND event_id % 71 <> 0
+    AND regexp_full_match(source_ip, '{_VALID_IP}') AND regexp_full_match(dest_ip, '{_VALID_IP}'))"""
+# rules in order within a pass; entries within a rule in order of their place
+_EVIDENCE = O.alerts_verified_ctes() + f""",
+flags AS (SELECT *, event_type IN ({', '.join(O.q(e) for e in O.EVENT_NAMES)}) AS known FROM vs),
+ev AS (
+  SELECT alert_id, 1 AS pass, 1 AS o, 0 AS i, CASE WHEN len(gaps) = 0 THEN 'structure_ok' ELSE 'structure_gap' END AS rule, c1 AS weight,
+    CASE WHEN len(gaps) = 0 THEN event_type ELSE array_to_string(gaps, ', ') END AS subject, array_to_string(gaps, ', ') AS listed FROM flags
+  UNION ALL SELECT alert_id, 2, 1, 0, 'event_known', 10, event_type, '' FROM flags WHERE known
+  UNION ALL SELECT alert_id, 2, 2, 0, 'ingress_service', 30, CAST(port AS VARCHAR), '' FROM flags WHERE f_ingress = 1
+  UNION ALL SELECT alert_id, 2, 3, 0, 'east_west', 20, CAST(port AS VARCHAR), '' FROM flags WHERE f_eastwest = 1
+  UNION ALL SELECT alert_id, 2, 4, 0, 'lateral_ips', 15, array_to_string(k_lateral, ','),
+    array_to_string(k_lateral[1:4], ', ') || CASE WHEN len(k_lateral) > 4 THEN ' +' || (len(k_lateral) - 4) || ' more' ELSE '' END FROM flags WHERE len(k_lateral) > 0
+  UNION ALL SELECT alert_id, 2, 5, 0, 'external_ips', 10, array_to_string(k_ipv4, ','),
+    array_to_string(k_ipv4[1:3], ', ') || CASE WHEN len(k_ipv4) > 3 THEN ' +' || (len(k_ipv4) - 3) || ' more' ELSE '' END FROM flags WHERE len(k_ipv4) > 0
+  UNION ALL SELECT alert_id, 2, 6, 0, 'domains', 10, array_to_string(k_domain, ','),
+    array_to_string(k_domain[1:3], ', ') || CASE WHEN len(k_domain) > 3 THEN ' +' || (len(k_domain) - 3) || ' more' ELSE '' END FROM flags WHERE len(k_domain) > 0
+  UNION ALL SELECT alert_id, 2, 7, 0, 'no_anomaly', 0, event_type, '' FROM flags WHERE c2 = 0
+  UNION ALL SELECT alert_id, 3, 1, pos, 'ti_ip', 30, ip, '' FROM tih
+  UNION ALL SELECT alert_id, 3, 2, pos, 'risk_range', 20, ip, '' FROM rk_counted
+  UNION ALL SELECT alert_id, 3, 3, i, 'ti_cve', 30, k_cve[i], '' FROM (SELECT alert_id, k_cve, generate_subscripts(k_cve, 1) AS i FROM flags WHERE len(k_cve) > 0)
+    WHERE upper(k_cve[i]) IN ({', '.join(O.q(c.upper()) for c in O.dims.TI_BAD_CVES)})
+  UNION ALL SELECT alert_id, 3, 4, i, 'ti_process', 30, k_process[i], '' FROM (SELECT alert_id, k_process, generate_subscripts(k_process, 1) AS i FROM flags WHERE len(k_process) > 0)
+    WHERE lower(k_process[i]) IN ({', '.join(O.q(c.lower()) for c in O.dims.TI_BAD_PROCESSES)})
+  UNION ALL SELECT alert_id, 3, 5, 0, 'sha256', 10, array_to_string(k_sha256[1:2], ', '), array_to_string(k_sha256[1:2], ', ') || '...' FROM flags WHERE len(k_sha256) > 0
+  UNION ALL SELECT alert_id, 3, 6, 0, 'no_intel', 0, event_type, '' FROM flags WHERE c3 = 0)
+SELECT alert_id, CAST(row_number() OVER (PARTITION BY alert_id ORDER BY pass, o, i) AS INTEGER) AS position, pass, rule, weight, subject, listed FROM ev"""
+
 ORACLE = {
+    "cacao_quarantine": O.scored_ctes() + """
+SELECT 'kept' AS outcome, row_number() OVER (ORDER BY started_at DESC, alert_id) AS nth, alert_id, started_at
+FROM (SELECT alert_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS started_at FROM scp WHERE event_id % 59 <> 0 AND event_id % 47 <> 0)
+UNION ALL SELECT 'unparsable', count(*), NULL, NULL FROM scp WHERE event_id % 59 = 0
+UNION ALL SELECT 'incomplete', count(*), NULL, NULL FROM scp WHERE event_id % 59 <> 0 AND event_id % 47 = 0""",
+    "request_scores": _REQUESTED + O.scored_ctes()[len("WITH " + _ALERTS):] + """
+SELECT alert_id, event_type, confidence_score, verification_status, severity, confidence, playbook_state,
+  CAST(1 + greatest(n2_raw, 1) + greatest(n3_raw, 1) AS INTEGER) AS n_evidence FROM scp""",
+    "evidence_long": _EVIDENCE,
     "alert_cards": O.scored_ctes() + """
 SELECT alert_id, coalesce(nullif(event_type, ''), nullif(substr(raw_log, 1, 60), ''), alert_id) AS title,
   CASE playbook_state WHEN 'ALERT_RECEIVED' THEN 'New' WHEN 'RESOLVED' THEN 'Resolved' WHEN 'FAILED_DEFENCE' THEN 'Failed Defence'

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from vigil.operators import ml as ML
 from vigil.operators import oversample as OV
 from vigil.operators import triage as TR
+from vigil.operators import serving as SV
 from vigil.plans import oracle_sql as O
 from vigil.plans.common import table, verified_alerts
+from vigil.sources import dims
 
 NUMERIC, CATEGORICAL, LABEL = ["n_chars"], ["lang", "source"], "quality"
 
@@ -115,7 +117,29 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.try_element_at(imp_map, F.col("model")) if imp_map is not None else F.lit(None).cast("string")).alias("top_features"))
 
 
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trains and stores a model of the alerts' host-log features, loads it by its
+    dataset and scores every alert with it, some with processes it never saw and
+    some without a severity.  Event types with a fixed probability show it; for the
+    others the model's own figures are checked for their form."""
+    from vigil.plans.common import alerts
+    from vigil.session import materialize, shared_path
+    folder = shared_path(spark, "models")
+    a = materialize(alerts(spark, sf_dir).select("alert_id", "event_id", "event_type", "processName", "severity_raw", "label"))
+    SV.train(spark, "beth", a, folder)
+    given = a.withColumn("processName", F.when(F.col("event_id") % 10 == 0, F.lit("never-seen")).otherwise(F.col("processName")))
+    given = given.withColumn("severity_raw", F.when(F.col("event_id") % 7 != 0, F.col("severity_raw")))
+    path = shared_path(spark, "predictions")
+    SV.score(given.drop("label"), SV.load(spark, folder, "beth")).write.parquet(path)
+    s = spark.read.parquet(path)
+    fixed = F.col("event_type").isin(*[e for _, events in dims.EVENT_PROBABILITY_GROUPS for e in events])
+    sound = F.col("p_model").between(0, 1) & (F.size("top_features") == 3) & F.col("severity").isNotNull() & (fixed | (F.col("confidence") == F.round("p_model", 4)))
+    return s.select("alert_id", "event_type", F.when(fixed, F.col("severity")).otherwise(F.lit("by model")).alias("severity"),
+                    F.when(fixed, F.col("confidence")).otherwise(F.lit(-1.0)).alias("confidence"), sound.alias("sound"))
+
+
 QUERIES = {
+    "model_scores": model_scores,
     "dataset_report": dataset_report,
     "label_counts": label_counts,
     "feature_medians": feature_medians,
@@ -146,7 +170,13 @@ m AS (SELECT c, tp, support,
 m2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
          support / sum(support) OVER () AS w FROM m)"""
 
+_FIXED = "event_type IN (" + ", ".join(O.q(e) for _, events in dims.EVENT_PROBABILITY_GROUPS for e in events) + ")"
+
 ORACLE = {
+    "model_scores": "WITH " + O.ALERTS_V_SQL.strip() + f""",
+p AS (SELECT alert_id, event_type, {O.p_attack_sql()} AS p, {_FIXED} AS fixed FROM alerts_v)
+SELECT alert_id, event_type, CASE WHEN fixed THEN {O.tier_sql('p')} ELSE 'by model' END AS severity,
+  CASE WHEN fixed THEN p ELSE -1.0 END::DOUBLE AS confidence, true AS sound FROM p""",
     "dataset_report": "WITH " + _TT + """,
 cl AS (SELECT quality, count(*) AS n FROM tt GROUP BY 1)
 SELECT (SELECT count(*) FROM tt) AS n_rows, 6 AS n_cols,

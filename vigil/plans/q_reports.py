@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.operators import listing as LS
 from vigil.operators import report as R
 from vigil.plans import oracle_sql as O
 from vigil.plans.common import alerts
@@ -42,7 +43,14 @@ def alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ip_search="10.0.0", limit=500)
 
 
+def alerts_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scored alerts in the order of the dashboard's list."""
+    s = _scored(spark, sf_dir).select("alert_id", "severity", "verification_status", "confidence_score", "timestamp")
+    return LS.ordered(s, LS.newest_first("timestamp", "alert_id")).select("nth", "alert_id", "severity", "verification_status", "confidence_score")
+
+
 QUERIES = {
+    "alerts_newest_first": alerts_newest_first,
     "stats_totals": stats_totals,
     "fp_rate_last50": fp_rate_last50,
     "recent_alerts_top5": recent_alerts_top5,
@@ -59,6 +67,8 @@ _CUMS = ", ".join(f"CAST(sum(n_{s.lower()}) OVER (ORDER BY tick ROWS UNBOUNDED P
                   for s in _SEVS)
 
 ORACLE = {
+    "alerts_newest_first": O.scored_ctes() + """
+SELECT row_number() OVER (ORDER BY "timestamp" DESC, alert_id) AS nth, alert_id, severity, verification_status, confidence_score FROM scp""",
     "stats_totals": _S + """
 SELECT count(*) AS total_alerts, count(CASE WHEN decoy_asset_id IS NOT NULL THEN 1 END) AS honeypots_triggered,
   count(CASE WHEN verification_status = 'VERIFIED' THEN 1 END) AS n_verified,

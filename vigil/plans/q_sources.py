@@ -85,7 +85,8 @@ def verify_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(a, AS_OF, feed=feed).select("alert_id", "c3", "confidence_score", "verification_status")
 
 
-def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written_requests(spark: SparkSession, sf_dir: str) -> str:
+    """Every alert as a request in JSON lines, some broken or invalid; returns their folder."""
     path = shared_path(spark, "requests")
     a = alerts(spark, sf_dir)
     eid = F.col("event_id")
@@ -95,7 +96,11 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "event_type", "accessed_path", "protocol"))
     line = F.when(eid % 113 == 0, F.concat(F.lit("{broken json "), F.col("alert_id"))).otherwise(body)
     a.select(line.alias("value")).write.text(path)
-    ok, bad = L.read_requests(spark, path)
+    return path
+
+
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok, bad = L.read_requests(spark, written_requests(spark, sf_dir))
     return (ok.select(F.lit("accepted").alias("outcome")).unionByName(bad.select(F.col("reject_reason").alias("outcome")))
               .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
 

@@ -55,7 +55,22 @@ def stream_repeat_attackers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).drop("batch_id")
 
 
+def stream_unique_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of several files in which every tenth event comes twice, mostly in
+    another file: each alert is scored and kept once."""
+    from vigil.session import shared_path
+    apply_session_defaults(spark)
+    feed = shared_path(spark, "feed")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("copy", F.lit(0))
+    twice = events.unionByName(events.where("event_id % 10 = 0").withColumn("copy", F.lit(1)))
+    twice.repartition(6, "event_id", "copy").drop("copy").write.parquet(feed)
+    scored = S.score_alerts(alerts_view(S.event_stream(spark, feed, "*.parquet", 2)), AS_OF)
+    out = S.run_available_now(scored, "unique", "append", S.unique_sink("alert_id", ["alert_id", "severity", "verification_status"], 2))
+    return spark.read.parquet(out).drop("batch_id")
+
+
 QUERIES = {
+    "stream_unique_alerts": stream_unique_alerts,
     "stream_repeat_attackers": stream_repeat_attackers,
     "stream_recent_buffer": stream_recent_buffer,
     "stream_severity_counts": stream_severity_counts,
@@ -71,6 +86,7 @@ def _repeat_oracle() -> str:
 
 
 ORACLE = {
+    "stream_unique_alerts": O.scored_ctes() + "\nSELECT alert_id, severity, verification_status FROM scp",
     "stream_repeat_attackers": _repeat_oracle(),
     "stream_recent_buffer": O.scored_ctes() + """,
 l AS (SELECT * FROM scp ORDER BY "timestamp" DESC, alert_id DESC LIMIT 50)

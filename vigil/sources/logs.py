@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.net import ipv4_shape_ok
 from vigil.functions.text import strip
+from vigil.sources.dims import ALERT_SCHEMA
 
 
 ENCODINGS = ["UTF-8", "ISO-8859-1", "windows-1252"]
@@ -155,3 +157,38 @@ def column_profile(df: DataFrame) -> DataFrame:
     types = dict(df.dtypes)
     stack = ", ".join(f"'{c}', '{types[c]}', `{c}__n`, `{c}__min`" for c in cols)
     return wide.selectExpr(f"stack({len(cols)}, {stack}) as (column_name, dtype, non_null, min_value)")
+
+
+def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column]) -> DataFrame:
+    """``df`` with every field of ``schema`` in its type: a missing field takes its
+    default, or null; other columns stay behind them."""
+    have = set(df.columns)
+
+    def field(f: T.StructField) -> Column:
+        value = F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
+        return (F.coalesce(value, defaults[f.name].cast(f.dataType)) if f.name in defaults else value).alias(f.name)
+
+    return df.select(*[field(f) for f in schema.fields], *[F.col(f"`{c}`") for c in df.columns if c not in schema.fieldNames()])
+
+
+def alerts_of_requests(requests: DataFrame, now: Column) -> DataFrame:
+    """Accepted requests as alerts.  The request's own fields lie over the alert
+    that its log gives; the id is a digest of the request, a missing time is now,
+    indicators start empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("raw_log", "source_ip", "dest_ip", "port", "timestamp", "event_type")]
+    own = requests.withColumn("alert_id", F.concat(F.lit("REQ-"), F.md5(F.concat_ws("|", *parts))))
+    own = own.withColumn("timestamp", F.regexp_replace("timestamp", "Z$", "+00:00").try_cast("timestamp"))
+    empty = F.create_map().cast("map<string,array<string>>")
+    return conform(own, ALERT_SCHEMA, {"timestamp": now, "iocs": empty}).drop("iocs")
+
+
+def read_or_quarantine(spark: SparkSession, path: str, schema: str, valid: Column, quarantine: str) -> DataFrame:
+    """Documents of JSON lines that parse and are ``valid``; the other lines go to
+    the folder ``quarantine`` with their reason and text."""
+    rows = spark.read.text(path)
+    parsed = rows.select("value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    parsed = parsed.select("value", "d.*")
+    reason = F.when(F.col("_corrupt").isNotNull(), F.lit("unparsable")).when(~F.coalesce(valid, F.lit(False)), F.lit("incomplete"))
+    judged = parsed.withColumn("reason", reason)
+    judged.where("reason is not null").select("reason", F.col("value").alias("line")).write.mode("overwrite").parquet(quarantine)
+    return judged.where("reason is null").drop("reason", "value", "_corrupt")

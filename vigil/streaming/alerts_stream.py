@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.folders import file_system, versions
 from vigil.operators import report as R
 from vigil.plans.scoring import score_alerts
 from vigil.session import shared_path
@@ -113,6 +114,56 @@ def newest_buffer(spark: SparkSession, out: str) -> DataFrame:
     return versions.where(F.col("batch_id") == versions.agg(F.max("batch_id")).first()[0]).drop("batch_id")
 
 
+def drop_known(batch: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+    """One row of each ``key`` that ``known`` does not hold."""
+    fresh = batch.dropDuplicates([key])
+    return fresh if known is None else fresh.join(known.select(key), key, "left_anti")
+
+
+class SeenStore:
+    """Keys seen so far, in a folder: ``base=k`` holds those of all batches up to
+    k, ``batch_id=k`` the new ones of batch k.  A batch reads what came before it
+    only, so a replay sees the same store; every ``compact_every`` batches the
+    earlier ones become one base, and what it covers is deleted."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, compact_every: int = 20):
+        self.spark, self.folder, self.key, self.compact_every = spark, folder, key, compact_every
+
+    def versions(self, kind: str) -> list[int]:
+        return versions(self.spark, self.folder, kind)
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        """The keys of all batches before ``batch_id``."""
+        base = max((b for b in self.versions("base") if b < batch_id), default=None)
+        parts = [f"{self.folder}/base={base}"] if base is not None else []
+        parts += [f"{self.folder}/batch_id={b}" for b in self.versions("batch_id") if (-1 if base is None else base) < b < batch_id]
+        return self.spark.read.schema(f"{self.key} string").parquet(*parts) if parts else None
+
+    def add(self, keys: DataFrame, batch_id: int) -> None:
+        keys.select(self.key).write.mode("overwrite").parquet(f"{self.folder}/batch_id={batch_id}")
+        if batch_id and batch_id % self.compact_every == 0:
+            self.compact(batch_id - 1)
+
+    def compact(self, upto: int) -> None:
+        bases = self.versions("base")
+        covered = [("base", b) for b in bases if b < upto] + [("batch_id", b) for b in self.versions("batch_id") if b <= upto]
+        if upto not in bases:  # a replay finds it written
+            self.before(upto + 1).write.mode("overwrite").parquet(f"{self.folder}/base={upto}")
+        fs, path = file_system(self.spark, self.folder)
+        for kind, b in covered:
+            fs.delete(path.suffix(f"/{kind}={b}"), True)
+
+
+def unique_sink(key: str, columns: list[str], compact_every: int = 20):
+    """foreachBatch sink that writes each ``key`` once, over all batches and restarts."""
+    def sink(batch: DataFrame, batch_id: int, out: str) -> None:
+        spark = batch.sparkSession
+        store = SeenStore(spark, f"{out}-seen", key, compact_every)
+        batch_sink(drop_known(batch.select(*columns), store.before(batch_id), key), batch_id, out)
+        store.add(spark.read.parquet(f"{out}/batch_id={batch_id}"), batch_id)
+    return sink
+
+
 def fp_rate_of_buffer(buffer: DataFrame) -> DataFrame:
     return R.false_positive_rate(buffer, n=50)
 
@@ -121,6 +172,28 @@ REPEAT_OUT = "alert_id string, slash16 string, n_sources long, repeat_attacker b
 REPEAT_STATE = "ts array<bigint>, ips array<string>"
 
 
+def sources_in_window(times, sources, window_us: int):
+    """For rows in order of time the number of different sources from
+    ``window_us`` before each to its own time (equal times included).  Both ends
+    of the window move forward only, so the work is linear in the rows."""
+    import numpy as np
+    out = np.zeros(len(times), dtype="int64")
+    counts: dict = {}
+    left = right = 0
+    for i, t in enumerate(times):
+        while right < len(times) and times[right] <= t:
+            counts[sources[right]] = counts.get(sources[right], 0) + 1
+            right += 1
+        while times[left] < t - window_us:
+            if counts[sources[left]] == 1:
+                del counts[sources[left]]
+            else:
+                counts[sources[left]] -= 1
+            left += 1
+        out[i] = len(counts)
+    return out
+
+
 def _repeat_state_fn(window_us: int):
     """Per /16: distinct sources within ``window_us`` before each alert
     (inclusive, equal times included).  State keeps only the (time, source)
@@ -130,22 +203,15 @@ def _repeat_state_fn(window_us: int):
         import numpy as np
         import pandas as pd
         batch = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            ts, ips = state.get
-            hist = pd.DataFrame({"t": np.asarray(ts, dtype="int64"), "source_ip": list(ips)})
-        else:
-            hist = pd.DataFrame({"t": np.asarray([], dtype="int64"), "source_ip": []})
-        allrows = pd.concat([hist[["t", "source_ip"]], batch[["t", "source_ip"]]], ignore_index=True)
-        allrows = allrows.sort_values("t", kind="stable")
-        t_all = allrows["t"].to_numpy()
-        ip_all = allrows["source_ip"].to_numpy()
-        bt = batch["t"].to_numpy()
-        left = np.searchsorted(t_all, bt - window_us, side="left")
-        right = np.searchsorted(t_all, bt, side="right")
-        n = np.fromiter((len(set(ip_all[a:b])) for a, b in zip(left, right)), dtype="int64", count=len(bt))
-        cutoff = t_all.max() - window_us
-        keep = allrows[allrows["t"] >= cutoff]
-        state.update((keep["t"].tolist(), keep["source_ip"].tolist()))
+        ts, ips = state.get if state.exists else ([], [])
+        t = np.concatenate([np.asarray(ts, dtype="int64"), batch["t"].to_numpy()])
+        source = np.concatenate([np.asarray(list(ips), dtype=object), batch["source_ip"].to_numpy(dtype=object)])
+        order = np.argsort(t, kind="stable")
+        n = np.empty(len(t), dtype="int64")
+        n[order] = sources_in_window(t[order].tolist(), source[order].tolist(), window_us)
+        n = n[len(ts):]
+        keep = order[t[order] >= t.max() - window_us]
+        state.update((t[keep].tolist(), source[keep].tolist()))
         yield pd.DataFrame({"alert_id": batch["alert_id"], "slash16": key[0], "n_sources": n,
                             "repeat_attacker": n > 1})
     return fn
