@@ -108,3 +108,15 @@ def test_rows_without_an_id_link_with_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df, 3, 90, 100).collect()), key=repr)
     assert got == sorted([(7, 198, 7), (None, 198, 7), (None, 198, 7), (9, 198, 9), (None, 198, None), (None, 198, None), (7, 3, 7)], key=repr)
+
+
+def test_sketches_never_forbid_similar_sets():
+    import numpy as np
+    from vigil.llm import ngram_join as J
+    rng = np.random.default_rng(7)
+    for size in (1, 9, 300, 5_000, 90_000):
+        x = np.unique(rng.integers(0, 1 << 63, size=size).astype(np.uint64) * np.uint64(2))
+        for gone in (0, 1, len(x) // 10, len(x) // 2):
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, size=gone).astype(np.uint64)]))
+            a, b = (np.frombuffer(J.sketch(s), np.uint8).astype(int) for s in (x, y))
+            assert np.abs(a - b).sum() <= len(np.setxor1d(x, y))

@@ -38,6 +38,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ DELETION_SEGMENTS = 2
 BLOCK_WEIGHT = 1 << 18   # n-grams in a block of a cluster, about; a small set counts as
 LEAST_WEIGHT = 1 << 9    # so many, which bounds the sets of a block too
 SLAB = 4096
+SKETCH = 256             # counts of a set's elements by hash; they differ by no more than the sets do
+SIGNED_ROWS = 1 << 18    # signatures collected before they become a batch
 SIGNED = 1 << 63
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F)]
 
@@ -79,6 +82,15 @@ def set_code(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - SIGNED if len(grams) else 0
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """How many elements fall into each of ``SKETCH`` parts of the hash range, 255 at most."""
+    return np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+
+
 class Partitioning:
     """Bands of set sizes and the bounds that follow from the similarity ``num / den``."""
 
@@ -149,32 +161,41 @@ class Partitioning:
 
 
 def _indexed(n: int, num: int, den: int):
-    """Rows ``key, id, cls, size, kind``: one of kind 0 per document, with its row
-    key, and its class's signatures (kind 1 indexed, 2 probed too) once per task."""
+    """Rows ``key, id, cls, size, kind, sketch``: one of kind 0 per document, with
+    its row key and sketch, and its class's signatures (kind 1 indexed, 2 probed
+    too) once per task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(p[2]) for p in parts]
+        each = lambda i, t: pa.array(np.repeat(np.array([p[i] for p in parts], dtype=t), sizes))
+        kind = pa.array(np.concatenate([p[3] for p in parts]).astype(np.int32) + 1, pa.int32())
+        return pa.record_batch([pa.array(np.concatenate([p[2] for p in parts]).view(np.int64)), pa.nulls(sum(sizes), pa.int64()),
+                                each(0, np.int64), each(1, np.int32), kind, pa.nulls(sum(sizes), pa.binary())], names=names)
+
+    names = ["key", "id", "cls", "size", "kind", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, seen = Partitioning(num, den), set()
         for b in batches:
-            docs, parts = [], []
-            for doc, raw in zip(b["doc_id"].tolist(), b["raw"], strict=True):
-                grams = ngram_set(raw, n)
+            docs, parts, waiting = [], [], 0
+            for raw in b.column("raw"):
+                grams = ngram_set(raw.as_py(), n)
                 code = set_code(grams)
-                docs.append((doc, code, len(grams)))
+                docs.append((code, len(grams), sketch(grams) if len(grams) else None))
                 if code in seen or not len(grams):
                     continue
                 seen.add(code)
                 keys, probed = rule.signatures(grams)
                 if len(keys):
                     parts.append((code, len(grams), keys, probed))
-            codes = np.array([d[1] for d in docs], dtype=np.int64)
-            ids = pd.array([None if d[0] is None or d[0] != d[0] else int(d[0]) for d in docs], dtype="Int64")
-            yield pd.DataFrame({"key": b["row"].to_numpy(), "id": ids, "cls": codes, "size": np.array([d[2] for d in docs], dtype=np.int32), "kind": np.int32(0)})
+                    waiting += len(keys)
+                if waiting >= SIGNED_ROWS:
+                    yield signed(parts)
+                    parts, waiting = [], 0
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.int32()),
+                                   pa.array(np.zeros(len(docs), np.int32)), pa.array([d[2] for d in docs], pa.binary())], names=names)
             if parts:
-                sizes = [len(p[2]) for p in parts]
-                yield pd.DataFrame({"key": np.concatenate([p[2] for p in parts]).view(np.int64), "id": pd.array([None] * sum(sizes), dtype="Int64"),
-                                    "cls": np.repeat(np.array([p[0] for p in parts], dtype=np.int64), sizes),
-                                    "size": np.repeat(np.array([p[1] for p in parts], dtype=np.int32), sizes),
-                                    "kind": np.concatenate([p[3] for p in parts]).astype(np.int32) + 1})
+                yield signed(parts)
 
     return run
 
@@ -281,6 +302,51 @@ def spanning_links(x: pd.DataFrame, y: pd.DataFrame | None, n: int, num: int, de
     return out
 
 
+def _allowed(num: int, den: int):
+    """Pairs ``a, b`` of hubs and classes whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                apart = np.abs(sketches(b["sketch"]) - sketches(b["hub_sketch"])).sum(axis=1)
+                b = b[apart <= (b["size"].to_numpy(np.int64) + b["hub_size"].to_numpy(np.int64)) * (den - num) // (den + num)]
+            yield pd.DataFrame({"a": b["hub"], "b": b["cls"]})
+
+    return run
+
+
+def _with_partners(num: int, den: int):
+    """Of two blocks (or one) the classes ``hub, cls`` whose sketch allows the
+    similarity with some class of another part."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y if len(y) else x
+        kept_x, kept_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        sx, sy = sketches(x["sketch"]), sketches(y["sketch"])
+        size, other = x["size"].to_numpy(np.int64), y["size"].to_numpy(np.int64)
+        part, others = x["part"].to_numpy(), y["part"].to_numpy()
+        step = max(1, (1 << 22) // max(1, sy.size))
+        for lo in range(0, len(x), step):
+            apart = np.abs(sx[lo:lo + step, None, :] - sy[None, :, :]).sum(axis=2, dtype=np.int32)
+            near = (apart <= (size[lo:lo + step, None] + other[None, :]) * (den - num) // (den + num)) & (part[lo:lo + step, None] != others[None, :])
+            kept_x[lo:lo + step] |= near.any(axis=1)
+            kept_y |= near.any(axis=0)
+        found = pd.concat([x.loc[kept_x, ["hub", "cls"]], y.loc[kept_y, ["hub", "cls"]]])
+        return found.drop_duplicates()
+
+    return lambda x, y: run(x, y)
+
+
+def _block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``hub, i, j``: blocks of a group that may hold similar classes of different parts."""
+    blocks = members.groupBy("hub", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("part").alias("first"), F.max("part").alias("last"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    return cut(x.join(y, F.col("x.hub") == F.col("y.hub"))
+               .where((F.col("x.block") <= F.col("y.block")) & (F.least("x.first", "y.first") < F.greatest("x.last", "y.last"))
+                      & (F.col("x.lo") * num <= F.col("y.hi") * den) & (F.col("y.lo") * num <= F.col("x.hi") * den))
+               .select(F.col("x.hub").alias("hub"), F.col("x.block").alias("i"), F.col("y.block").alias("j")))
+
+
 def _group_links(ranked: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links ``a, b`` that connect all similar classes which share a bucket.
 
@@ -288,24 +354,32 @@ def _group_links(ranked: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
     signatures shared.  A group is cut into blocks of bounded size and pairs of
     blocks are compared in one task each.  In groups of several blocks, the
     classes similar to the hub are found first and put next to each other, so
-    that blocks of such classes alone need no comparison."""
+    that blocks of such classes alone need no comparison.
+
+    Most classes meet by chance.  Blocks are therefore compared by sketches first:
+    sets differ in at least as many elements as their sketches, so only a class
+    with some partner that its sketch allows takes its text to the group."""
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "size", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.size").alias("hub_size"))
     groups = cut(ranked.join(hubs, "key").groupBy("hub", "cls").agg(F.max("size").alias("size"), F.max("hub_size").alias("hub_size"))
                  .join(classes, "cls"))
     weight = F.greatest("size", F.lit(LEAST_WEIGHT))
     large = groups.groupBy("hub").agg(F.sum(weight).alias("w")).where(F.col("w") > BLOCK_WEIGHT).select("hub")
-    stars = groups.join(large, "hub").where("cls <> hub").where(_similar("size", "hub_size", num, den)).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    stars = groups.join(large, "hub").where("cls <> hub").where(_similar("size", "hub_size", num, den))
+    other = classes.select(F.col("cls").alias("hub"), F.col("sketch").alias("hub_sketch"))
+    stars = stars.select("hub", "cls", "size", "hub_size", "sketch").join(other, "hub").mapInPandas(_allowed(num, den), "a long, b long")
     links = cut(_verified(stars, classes, docs, n, num, den))
     before = Window.partitionBy("hub").orderBy("part", "size", "cls").rowsBetween(Window.unboundedPreceding, -1)
     members = cut(groups.join(links.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.col("a").alias("part")), ["hub", "cls"], "left")
                   .withColumn("part", F.coalesce("part", "cls"))
                   .withColumn("block", F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0)) / BLOCK_WEIGHT)))
-    blocks = members.groupBy("hub", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("part").alias("first"), F.max("part").alias("last"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    pairs = cut(x.join(y, F.col("x.hub") == F.col("y.hub"))
-                .where((F.col("x.block") <= F.col("y.block")) & (F.least("x.first", "y.first") < F.greatest("x.last", "y.last"))
-                       & (F.col("x.lo") * num <= F.col("y.hi") * den) & (F.col("y.lo") * num <= F.col("x.hi") * den))
-                .select(F.col("x.hub").alias("hub"), F.col("x.block").alias("i"), F.col("y.block").alias("j")))
+    pairs = _block_pairs(members, num, den)
+    left = members.join(pairs.select("hub", F.col("i").alias("block"), "i", "j"), ["hub", "block"]).select("hub", "i", "j", "cls", "part", "size", "sketch")
+    right = members.join(pairs.where("i < j").select("hub", F.col("j").alias("block"), "i", "j"), ["hub", "block"])
+    right = right.select(*[F.col(c).alias(c) for c in ("hub", "i", "j", "cls", "part", "size", "sketch")])
+    keys = ["hub", "i", "j"]
+    some = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_with_partners(num, den), "hub long, cls long").distinct()
+    members = cut(members.drop("sketch").join(some, ["hub", "cls"]))
+    pairs = _block_pairs(members, num, den)
     texts = _first_texts(docs, members).join(members.select("cls", "part", "hub", "block", "first_row"), "first_row")
     left = texts.join(pairs.select("hub", F.col("i").alias("block"), "i", "j"), ["hub", "block"]).select("hub", "i", "j", "cls", "part", "raw")
     right = texts.join(pairs.where("i < j").select("hub", F.col("j").alias("block"), "i", "j"), ["hub", "block"])
@@ -314,7 +388,6 @@ def _group_links(ranked: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(spanning_links(x, y if len(y) else None, n, num, den), columns=["a", "b"], dtype="int64")
 
-    keys = ["hub", "i", "j"]
     return links.union(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long"))
 
 
@@ -323,19 +396,20 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     first_row`` (their least doc_id, null last) and ``cls, root, root_rank`` of
     the classes that may link with others; the root has the least first_doc."""
     texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("raw"), "row")
-    rows = texts.mapInPandas(_indexed(n, num, den), "key long, id long, cls long, size int, kind int")
+    rows = texts.mapInArrow(_indexed(n, num, den), "key long, id long, cls long, size int, kind int, sketch binary")
     bucket = Window.partitionBy("key")
     found = cut(rows.withColumn("lo", F.min("cls").over(bucket)).withColumn("hi", F.max("cls").over(bucket)).withColumn("top", F.max("kind").over(bucket))
                 .where("kind = 0 or (lo < hi and top = 2)").drop("lo", "hi", "top"))
-    members = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), "cls", F.col("key").alias("row"))
+    members = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), "cls", F.col("key").alias("row"), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    classes = members.where("n_shingles > 0").groupBy("cls").agg(first).select("cls", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"))
+    classes = members.where("n_shingles > 0").groupBy("cls").agg(first, F.first("sketch").alias("sketch")).select(
+        "cls", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), "sketch")
     shared = found.where("kind > 0").groupBy("key", "cls").agg(F.max("size").alias("size"))
     degree = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     ranked = cut(shared.join(degree, "cls"))
     nodes = ranked.select("cls").distinct().join(classes, "cls").select(F.col("cls").alias("node"), F.col("first_doc").alias("rank"))
     parts = connected(nodes, _group_links(ranked, classes, texts, n, num, den))
-    return members, classes, parts.select(F.col("node").alias("cls"), "root", "root_rank")
+    return members.drop("sketch"), classes.drop("sketch"), parts.select(F.col("node").alias("cls"), "root", "root_rank")
 
 
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
