@@ -99,6 +99,33 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200, 300: 300, 301: 301}
 
 
+def test_components_of_edges_that_differ_between_evaluations(spark):
+    """Each evaluation connects the same 60 nodes by another random tree."""
+    def tree(batches):
+        import pandas as pd
+        for b in batches:
+            order = np.random.default_rng().permutation(60)
+            yield pd.DataFrame([(int(order[i]), int(order[np.random.default_rng().integers(i)])) for i in range(1, 60) for _ in range(len(b))], columns=["a", "b"])
+
+    edges = spark.range(1, numPartitions=1).mapInPandas(tree, "a long, b long")
+    nodes = spark.range(60).selectExpr("id as node", "id as rank")
+    assert {r.root for r in connected(nodes, edges).collect()} == {0}
+
+
+def test_spanning_links_do_not_depend_on_the_order_of_rows():
+    import pandas as pd
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    raws = [" ".join([*base[:i], f"new{i}", *base[i + 1:]]).encode() for i in range(100)]
+    rows = [(J.set_code(J.ngram_set(r, 3)), r) for r in raws]
+    found = set()
+    for _ in range(4):
+        rng.shuffle(rows)
+        block = pd.DataFrame([(c, c, r) for c, r in rows], columns=["cls", "part", "raw"])
+        found.add(tuple(sorted(J.spanning_links(block, None, 3, 85, 100))))
+    assert len(found) == 1 and len(found.pop()) == 99
+
+
 def test_rows_without_an_id_link_with_near_copies(spark):
     rng = random.Random(6)
     text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(200)]

@@ -15,7 +15,12 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     In each round a node takes the least root among its neighbours' and its own,
     then its root's root, which halves long chains; rounds end when no root
     changes.  Nodes without edges keep out of the rounds, and each round is
-    written to the shared checkpoint folder.  A null rank comes last."""
+    written to the shared checkpoint folder.  A null rank comes last.
+
+    The edges are written before they are read in both directions: where a task
+    picks one of several sets of links that connect the same nodes, two
+    evaluations may pick differently, and half of each connects nothing."""
+    edges = cut(edges.select("a", "b"))
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     last = F.lit((1 << 63) - 1)
     own = nodes.select("node", F.struct(F.coalesce("rank", last).alias("rank"), "node").alias("label"))

@@ -253,9 +253,11 @@ def spanning_links(x: pd.DataFrame, y: pd.DataFrame | None, n: int, num: int, de
     connect parts; links within what is connected by then are left out.
 
     Sizes of all intersections come from products of 0/1 matrices, over slabs of
-    the n-grams that occur more than once."""
+    the n-grams that occur more than once.  The links do not depend on the order
+    of the rows, so a task that is run again finds the same."""
     def sets(block: pd.DataFrame) -> tuple[list[int], list[int], list[np.ndarray]]:
         out = ([], [], [])
+        block = block.sort_values("cls")
         for cls, part, raw in zip(block["cls"].tolist(), block["part"].tolist(), block["raw"], strict=True):
             grams = ngram_set(raw, n)
             if set_code(grams) == cls:  # else another text with the same row key
