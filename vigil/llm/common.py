@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system; a worker that waits
+    for its next task would keep it beside those that run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, with its memory given back at the end."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def blocks_for(total_bytes: int | None, block_bytes: int) -> int:
     """Number of blocks of about ``block_bytes`` that hold ``total_bytes``; it grows with the data."""
     return max(1, -(-int(total_bytes or 0) // block_bytes))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import cut, free_name, in_bitmap, keyed, text_bytes, without_ids
+from vigil.llm.common import cut, free_name, in_bitmap, keyed, releasing, text_bytes, without_ids
 from vigil.llm.components import connected
 
 BAND_FACTOR = 1.5
@@ -245,7 +245,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num
 
     return (pairs.join(texts.select(F.col("cls").alias("a"), F.col("raw").alias("a_raw")), "a")
             .join(texts.select(F.col("cls").alias("b"), F.col("raw").alias("b_raw")), "b")
-            .select("a", "a_raw", "b", "b_raw").mapInPandas(check, "a long, b long").distinct())
+            .select("a", "a_raw", "b", "b_raw").mapInPandas(releasing(check), "a long, b long").distinct())
 
 
 def spanning_links(x: pd.DataFrame, y: pd.DataFrame | None, n: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -368,7 +368,7 @@ def _group_links(ranked: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
     large = groups.groupBy("hub").agg(F.sum(weight).alias("w")).where(F.col("w") > BLOCK_WEIGHT).select("hub")
     stars = groups.join(large, "hub").where("cls <> hub").where(_similar("size", "hub_size", num, den))
     other = classes.select(F.col("cls").alias("hub"), F.col("sketch").alias("hub_sketch"))
-    stars = stars.select("hub", "cls", "size", "hub_size", "sketch").join(other, "hub").mapInPandas(_allowed(num, den), "a long, b long")
+    stars = stars.select("hub", "cls", "size", "hub_size", "sketch").join(other, "hub").mapInPandas(releasing(_allowed(num, den)), "a long, b long")
     links = cut(_verified(stars, classes, docs, n, num, den))
     before = Window.partitionBy("hub").orderBy("part", "size", "cls").rowsBetween(Window.unboundedPreceding, -1)
     members = cut(groups.join(links.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.col("a").alias("part")), ["hub", "cls"], "left")
@@ -398,7 +398,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     first_row`` (their least doc_id, null last) and ``cls, root, root_rank`` of
     the classes that may link with others; the root has the least first_doc."""
     texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("raw"), "row")
-    rows = texts.mapInArrow(_indexed(n, num, den), "key long, id long, cls long, size int, kind int, sketch binary")
+    rows = texts.mapInArrow(releasing(_indexed(n, num, den)), "key long, id long, cls long, size int, kind int, sketch binary")
     bucket = Window.partitionBy("key")
     found = cut(rows.withColumn("lo", F.min("cls").over(bucket)).withColumn("hi", F.max("cls").over(bucket)).withColumn("top", F.max("kind").over(bucket))
                 .where("kind = 0 or (lo < hi and top = 2)").drop("lo", "hi", "top"))

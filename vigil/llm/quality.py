@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import cut, free_name, keyed, without_ids
+from vigil.llm.common import cut, free_name, keyed, releasing, without_ids
 
 BUCKETS = 1 << 16
 CLASS_GRAMS = 4
@@ -161,11 +161,11 @@ def weighed(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tu
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()  # bounded by ``limit``
     good = np.array(sorted(r["doc_id"] for r in known if r["quality"] > 0), dtype=np.int64)
     named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    counts = named.mapInArrow(_counted(good), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    counts = named.mapInArrow(releasing(_counted(good)), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in counts:
         raw[bucket], target[bucket] = r, t
-    scored = cut(texts.mapInArrow(_weighed(log_ratio(raw, target)), "row long, doc_id long, log_weight double, n_grams long"))
+    scored = cut(texts.mapInArrow(releasing(_weighed(log_ratio(raw, target))), "row long, doc_id long, log_weight double, n_grams long"))
     sample = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["quality"])) for r in known], "doc_id long, quality int")
     fitted = scored.join(sample, "doc_id").select("log_weight", "quality").limit(4 * limit).toPandas() if known else pd.DataFrame({"log_weight": [], "quality": []})
     return scored, best_threshold(fitted.log_weight[fitted.quality > 0].to_numpy(), fitted.log_weight[fitted.quality == 0].to_numpy())
