@@ -1,7 +1,10 @@
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vigil.llm import quality as Q
@@ -84,3 +87,73 @@ def test_noise_does_not_cross_the_threshold(spark):
     _, threshold = Q.weighed(docs, labels)
     got = Q.resampled(docs, labels, sharpness=0.01).collect()  # all weights below lie near the threshold
     assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in got if r.log_weight >= threshold} and any(not r.kept for r in got)
+
+
+def hashed(*values):
+    """The 64-bit hash of a row of values, nulls left out."""
+    seed = 42
+    for v in values:
+        raw = v if isinstance(v, bytes) else struct.pack(*v)
+        seed = xxhash.xxh64_intdigest(raw, seed=seed)
+    return seed
+
+
+def brute(rows, labels, share):
+    """Counts, ratios, weights, threshold, keys and draw by plain loops: ``{doc_id: (weight, key, kept)}``."""
+    raw, target = [0] * Q.BUCKETS, [0] * Q.BUCKETS
+    for i, text in rows:
+        for b in Q.buckets(text.encode()):
+            raw[b] += 1
+            target[b] += labels.get(i, 0)
+    n_raw, n_target = sum(raw) + Q.SMOOTHING * Q.BUCKETS, sum(target) + Q.SMOOTHING * Q.BUCKETS
+    ratio = [math.log((t + Q.SMOOTHING) / n_target) - math.log((r + Q.SMOOTHING) / n_raw) for r, t in zip(raw, target, strict=True)]
+    weight = {}
+    for i, text in rows:
+        at = Q.buckets(text.encode())
+        weight[i] = sum(ratio[b] for b in at) / (len(at) + Q.SHRINK)
+    known = sorted((weight[i], q) for i, q in labels.items())
+    errors = [(sum(10 for _, q in known[:c] if q) + sum(1 for _, q in known[c:] if not q), c) for c in range(len(known) + 1)]
+    c = min(errors)[1]
+    threshold = (known[c - 1][0] + known[c][0]) / 2
+    keys = {}
+    for i, text in rows:
+        row = hashed(("<q", i), text.encode())
+        u = (hashed(("<Q", row), ("<i", 20)) % (1 << 52) + 0.5) / (1 << 52)
+        over = weight[i] - threshold
+        keys[i] = (over if over >= 0 else over * Q.SHARPNESS - Q.STEP) - math.log(-math.log(u))
+    k = math.ceil(share * sum(w >= threshold for w in weight.values()))
+    last = sorted(keys.values(), reverse=True)[k - 1]
+    return {i: (weight[i], keys[i], keys[i] >= last) for i, _ in rows}
+
+
+@pytest.mark.parametrize("share", [1.0, 0.3])
+def test_against_brute_force(spark, share):
+    rows = corpus(150)
+    labels = {i: int(i % 5 != 0) for i, _ in rows[:80]}
+    docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    known = spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int")
+    want = brute(rows, labels, share)
+    got = Q.resampled(docs, known, share=share).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        weight, key, kept = want[r.doc_id]
+        assert math.isclose(r.log_weight, weight, abs_tol=1e-9) and math.isclose(r.gumbel_key, key, abs_tol=1e-6) and r.kept == kept
+
+
+def test_a_smaller_draw_follows_the_weights(spark):
+    docs = spark.createDataFrame([(i, "good plain words here" if i % 2 else "other words stand there", "x") for i in range(6000)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 6000, 2)], "doc_id long, quality int, toxic int")
+    rows = Q.resampled(docs, labels, share=0.1).collect()
+    kept = [r for r in rows if r.kept]
+    heavy, light = (next(r.log_weight for r in rows if r.doc_id % 2 == odd) for odd in (1, 0))
+    assert all(r.accepted for r in rows) and len(kept) == 600 and heavy - light > 0.5
+    assert abs(sum(r.doc_id % 2 for r in kept) / 600 - 1 / (1 + math.exp(light - heavy))) < 0.08
+    other = {r.doc_id for r in Q.resampled(docs, labels, share=0.1, seed=21).collect() if r.kept}
+    assert other != {r.doc_id for r in kept}
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"words of text {i}", "x") for i in range(200)], SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = Q.resampled(docs, none, share=0.5).collect()
+    assert sum(r.kept for r in rows) == 100 and len({r.gumbel_key for r in rows}) == 200

@@ -6,24 +6,30 @@ neighbouring words, where a pair of equal words is an n-gram of its own.  Two
 generative models over the hash buckets, of target texts (labelled good) and of
 raw texts (all documents), give a text's log importance weight per n-gram.
 
-The acceptance threshold is fitted on labelled rows.  Weights above it are equal
-(no clean text is preferred to another), those below lie lower by more than the
-noise can make up and fall steeply, and as many documents as pass are drawn without replacement by Gumbel top-k: the largest
-sums of log weight and Gumbel noise, the noise being a hash of the document.
+Documents are drawn without replacement by Gumbel top-k: the largest sums of log
+weight and Gumbel noise, the noise being a hash of the document.  An acceptance
+threshold is fitted on labelled rows.  Weights of accepted texts are their log
+ratios; those below the threshold lie lower by more than the noise can make up
+and fall steeply, so that they are drawn only after all accepted ones.  How many
+are drawn is a share of the accepted documents: with 1 (the default) all of them,
+so that a filter loses no clean text, with less a sample that follows the weights.
 
 Labels: at most ``MAX_LABELLED`` labelled documents, a hash sample, give the
-target counts and the threshold.  Raw counts run over all documents, scores over
+target counts and the threshold (of rows that share these ids, the first
+4 x ``MAX_LABELLED`` by hash).  Raw counts run over all documents, scores over
 every text in full.
 
 Defined results: null and empty texts have no n-grams and weight 0 per n-gram,
 which is that of a raw text, and are judged by it; without labels of both
-classes everything is accepted; rows that share doc_id and text are drawn alike,
+classes everything is accepted; rows that share doc_id and text are drawn alike, other
+rows (those without an id too) by noise of their own,
 ties in the key go by doc_id and are all drawn at the boundary; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,13 +173,14 @@ def weighed(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tu
         raw[bucket], target[bucket] = r, t
     scored = cut(texts.mapInArrow(releasing(_weighed(log_ratio(raw, target))), "row long, doc_id long, log_weight double, n_grams long"))
     sample = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["quality"])) for r in known], "doc_id long, quality int")
-    fitted = scored.join(sample, "doc_id").select("log_weight", "quality").limit(4 * limit).toPandas() if known else pd.DataFrame({"log_weight": [], "quality": []})
+    by_hash = scored.join(sample, "doc_id").orderBy(F.xxhash64("row"), "row")  # rows that share an id may be more than the labels
+    fitted = by_hash.select("log_weight", "quality").limit(4 * limit).toPandas() if known else pd.DataFrame({"log_weight": [], "quality": []})
     return scored, best_threshold(fitted.log_weight[fitted.quality > 0].to_numpy(), fitted.log_weight[fitted.quality == 0].to_numpy())
 
 
-def gumbel_key(log_weight, *keys: str):
+def gumbel_key(log_weight, *keys: str, seed: int = 20):
     """Log weight plus Gumbel noise that is a hash of ``keys``."""
-    u = (F.pmod(F.xxhash64(*keys, F.lit(20)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return log_weight - F.log(-F.log(u))
 
 
@@ -202,14 +209,21 @@ def top_k_bound(df: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, sharpness: float = SHARPNESS) -> DataFrame:
-    """``row, doc_id, log_weight, n_grams, gumbel_key, kept`` of every document."""
+def drawn(rows: DataFrame, share: float, out: str) -> DataFrame:
+    """``out``: whether a row is among the ``share`` (of the accepted rows' number, rounded up) with the largest keys."""
+    k = math.ceil(share * rows.where("accepted").count())
+    return rows.withColumn(out, F.col("gumbel_key") >= top_k_bound(rows, "gumbel_key", k))
+
+
+def resampled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, sharpness: float = SHARPNESS, share: float = 1.0, seed: int = 20) -> DataFrame:
+    """``row, doc_id, log_weight, n_grams, accepted, gumbel_key, kept`` of every document; ``kept`` are those drawn."""
     scored, threshold = weighed(docs, labels, limit)
-    passing = scored.where(F.col("log_weight") >= threshold).count()
-    below = F.col("log_weight") < F.lit(threshold)
-    weight = F.when(below, (F.col("log_weight") - F.lit(threshold)) * sharpness - STEP).otherwise(0.0) if np.isfinite(threshold) else F.lit(0.0)
-    keyed = cut(scored.withColumn("gumbel_key", gumbel_key(weight, "doc_id")))
-    return keyed.withColumn("kept", F.col("gumbel_key") >= top_k_bound(keyed, "gumbel_key", passing))
+    weight, passes = F.col("log_weight"), F.lit(True)
+    if np.isfinite(threshold):
+        over = weight - F.lit(threshold)
+        weight, passes = F.when(over < 0, over * sharpness - STEP).otherwise(over), over >= 0
+    rows = scored.withColumn("accepted", passes).withColumn("gumbel_key", gumbel_key(weight, "row", seed=seed))
+    return drawn(cut(rows), share, "kept")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:

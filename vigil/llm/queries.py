@@ -11,6 +11,7 @@ from vigil.llm import (bpe, fingerprints, language_id, ngram_join, packing, qual
 from vigil.llm.common import read, shared_folder
 
 N_SHARDS = 40
+SAMPLE_SHARE = 0.5
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -47,9 +48,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that importance resampling draws, with weight and key."""
+    """The documents that importance resampling draws as clean, with weight and key;
+    ``sampled``: whether a draw of ``SAMPLE_SHARE`` of them takes this one."""
     rows = quality.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return rows.where("kept").select("doc_id", "log_weight", "n_grams", "gumbel_key")
+    return quality.drawn(rows, SAMPLE_SHARE, "sampled").where("kept").select("doc_id", "log_weight", "n_grams", "gumbel_key", "sampled")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
