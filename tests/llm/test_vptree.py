@@ -74,3 +74,42 @@ def test_recall_on_the_given_table(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     recall = np.mean([len(got[q] & {x[1] for x in w}) / len(w) for q, w in want.items()])
     assert recall >= 0.9
+
+
+@pytest.mark.parametrize("factor, shard_rows", [(1.0, 10_000), (1.5, 10_000), (1.5, 150)])
+def test_ties_of_different_vectors_go_to_the_smaller_ids(spark, factor, shard_rows):
+    rng = np.random.default_rng(7)
+    ids = rng.permutation(399) + 1  # the order of vectors says nothing about ids
+    rows = [(0, [1.0, 0.0, 0.0])] + [(int(i), [0.1, float(np.cos(j)), float(np.sin(j))]) for j, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in V.nearest(df, df.where("vec_id = 0"), 20, factor, shard_rows).collect())
+    assert got == [(i, i) for i in range(1, 21)]
+
+
+def test_ties_inside_a_split_tree(monkeypatch):
+    monkeypatch.setattr(V, "LEAF", 16)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, size=(3000, 5)).astype(float)  # quantised: many equal scores
+    q = rng.integers(-2, 3, size=(60, 5)).astype(float)
+    best, where, _ = V.VPTree(x).search(q, 20, 1.0)
+    for i in range(len(q)):
+        want = sorted((-float((q[i] * v).sum()), j) for j, v in enumerate(x))[:20]
+        assert [(-b, w) for b, w in zip(best[i], where[i], strict=True)] == want
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0])] + [(0, [2.0 + i, 2.0 + i]) for i in range(30)] + [(i, [float(i), -float(i)]) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame(rows[:3], df.schema)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in V.nearest(df, asked, 3, 1.0).collect())
+    assert got == [(1, 1, -1.0), (1, 8, 8.0), (2, 2, -2.0), (2, 7, 7.0), (3, 3, -3.0), (3, 6, 6.0)]
+
+
+def test_recall_over_a_full_shard_with_pruning():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(200, 8)) * 2
+    x = centres[rng.integers(200, size=V.SHARD_ROWS)] + rng.normal(size=(V.SHARD_ROWS, 8)) * 0.3
+    q = x[::50]
+    got, _, n = V.VPTree(x).search(q, 21, V.FACTOR)
+    want = np.sort(q @ x.T, axis=1)[:, ::-1][:, :21]
+    assert (got >= want[:, -1:] - 1e-9).mean() >= 0.9 and n < 0.7 * len(q) * len(x)

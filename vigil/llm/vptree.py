@@ -13,14 +13,18 @@ tree together, so distances are matrix products.
 Queries are dealt into blocks, and each shard meets each block once.  A shard's
 best for a query are merged over shards by a window.
 
-Equal vectors of a shard are one tree entry with its ids ascending, so ties go
-to the smaller id however often a vector occurs.
+Equal vectors of a shard are one tree entry with its ids ascending; entries are
+numbered by their smallest id.  A score is the sum of a pair's products in the
+order of the components wherever it is met (matrix products only preselect), and
+equal scores go to the entry with the smaller number, so ties go to the smaller
+id however many vectors or ids share a score.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; vectors of another length than the query are not its
-candidates; with fewer than k candidates all are returned; rows that share an id
-are entries of their own, but a query skips every row with its id; a null id
-takes no part; an empty table gives no rows.
+candidates; with fewer than k candidates all are returned; rows equal in id and
+vector are one; rows that share an id but not the vector are candidates of their
+own and, as queries, have a ranking each under their common id, and a query skips
+every row with its id; a null id takes no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +39,15 @@ from vigil.llm.common import blocks_for
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 16_384
 LEAF = 512
+PIECE = 1 << 15        # pairs whose products are held at once
 FACTOR = 1.5
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, the same to the last bit wherever a pair is met."""
+    return (a * b).sum(axis=1)
+
+
 class VPTree:
     """Nodes are stretches of one array: the vantage point first, then the
     nearer half, then the farther half; their radii are kept at its place."""
@@ -66,27 +76,49 @@ class VPTree:
             mid = lo + 1 + half
             self.inner[lo], self.outer[lo] = d[by[:half]].max(initial=0.0), d[by[half:]].min()
             stack += [(lo + 1, mid), (mid, hi)]
-        self.vectors = vectors[self.order]
+        self.given, self.vectors = vectors, vectors[self.order]
 
-    def search(self, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, queries: np.ndarray, k: int, factor: float = FACTOR, own: np.ndarray | None = None, sole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """Scores and positions (in the given vectors) of each query's k best
-        found, -1 where there are fewer, and the number of scores computed."""
+        found, -1 where there are fewer, and the number of scores computed.
+        Equal scores go to the smaller position.  A query passes over vectors
+        whose ``sole`` is its ``own``."""
         n = len(queries)
         best, where = np.full((n, k), -np.inf), np.full((n, k), -1)
         q2 = np.einsum("ij,ij->i", queries, queries) + self.m2
+        size = np.sqrt(np.einsum("ij,ij->i", queries, queries) * self.norms2.max())
+        rounding = 1e-13 * max(64, queries.shape[1]) * size  # how far a matrix product may be from the sum by components
         counted = 0
 
         def offer(rows: np.ndarray, scores: np.ndarray, at: np.ndarray) -> None:
-            some = scores.max(axis=1) > best[rows, -1]
+            """Merge the vectors at positions ``at`` into the lists of the queries ``rows``; ``scores`` are matrix products."""
+            if sole is not None:
+                scores[sole[at][None, :] == own[rows][:, None]] = -np.inf
+            some = scores.max(axis=1) >= best[rows, -1] - rounding[rows]
+            some &= scores.max(axis=1) > -np.inf
             rows, scores = rows[some], scores[some]
             if not len(rows):
                 return
-            both = np.concatenate([best[rows], scores], axis=1)
+            reach = best[rows, -1]
+            if len(at) > k:
+                reach = np.maximum(reach, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero((scores >= (reach - 2 * rounding[rows])[:, None]) & (scores > -np.inf))
+            exact = np.full(scores.shape, -np.inf)
+            for lo in range(0, len(r), PIECE):
+                some_r, some_c = r[lo:lo + PIECE], c[lo:lo + PIECE]
+                exact[some_r, some_c] = products(queries[rows[some_r]], self.given[at[some_c]])
+            both = np.concatenate([best[rows], exact], axis=1)
             ids = np.concatenate([where[rows], np.broadcast_to(at, scores.shape)], axis=1)
             top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            last = np.take_along_axis(both, top, 1).min(axis=1)
+            tied = np.flatnonzero((both >= last[:, None]).sum(axis=1) > k)  # which of the equal ones stay is a matter of position
+            tied = tied[last[tied] > -np.inf]
+            if len(tied):
+                top[tied] = np.lexsort((ids[tied], -both[tied]), axis=1)[:, :k]
             both, ids = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
-            by = np.argsort(-both, axis=1, kind="stable")
-            best[rows], where[rows] = np.take_along_axis(both, by, 1), np.take_along_axis(ids, by, 1)
+            by = np.lexsort((ids, -both), axis=1)
+            both, ids = np.take_along_axis(both, by, 1), np.take_along_axis(ids, by, 1)
+            best[rows], where[rows] = both, np.where(both > -np.inf, ids, -1)
 
         def worth(rows: np.ndarray, bound: np.ndarray) -> np.ndarray:
             """Which queries may still find something within a stretch."""
@@ -124,7 +156,7 @@ class VPTree:
 
 
 def _searched(k: int, factor: float):
-    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "query_row": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     def run(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(block):
@@ -133,25 +165,28 @@ def _searched(k: int, factor: float):
         by_id = np.argsort(ids, kind="stable")
         every, ids = np.ascontiguousarray(every[by_id]), ids[by_id]
         _, first, group = np.unique(every.view([("", every.dtype)] * every.shape[1]).reshape(-1), return_index=True, return_inverse=True)
+        by_first = np.argsort(first)  # entries in the order of their smallest ids
+        first, group = first[by_first], np.argsort(by_first)[group]
         members = np.argsort(group, kind="stable")  # ids ascending within a group
         starts = np.concatenate([[0], np.cumsum(np.bincount(group))])
-        queries, q_ids = np.array(block["v"].tolist(), dtype=np.float64), block["vec_id"].to_numpy()
+        queries, q_ids, q_rows = np.array(block["v"].tolist(), dtype=np.float64), block["vec_id"].to_numpy(), block["row"].to_numpy()
         vectors = every[first]
-        _, where, _ = VPTree(vectors).search(queries, min(k + 1, len(vectors)), factor)
+        # an entry of one id only is none of that id's candidates; no id is the least number
+        sole = np.where(np.diff(starts) == 1, ids[members[starts[:-1]]], np.iinfo(np.int64).min)
+        _, where, _ = VPTree(vectors).search(queries, min(k + 1, len(vectors)), factor, q_ids, sole)
         out_q, out_v = [], []
         for q, found in enumerate(where):
             for g in found[found >= 0]:
                 some = ids[members[starts[g]:starts[g + 1]][:k + 1]]
-                some = some[some != q_ids[q]] if len(some) else some
+                some = some[some != q_ids[q]]
                 out_q += [q] * len(some)
                 out_v += zip([g] * len(some), some.tolist(), strict=True)
         if not out_q:
             return empty
         q, g = np.array(out_q), np.array([x[0] for x in out_v])
-        score = (queries[q] * vectors[g]).sum(axis=1)  # the same order of additions wherever a pair is met
-        got = pd.DataFrame({"query_id": q_ids[q], "vec_id": [x[1] for x in out_v], "score": score})
-        got = got.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        return got.groupby("query_id", sort=False).head(k)
+        got = pd.DataFrame({"q": q, "query_id": q_ids[q], "query_row": q_rows[q], "vec_id": [x[1] for x in out_v], "score": products(queries[q], vectors[g])})
+        got = got.sort_values(["q", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        return got.groupby("q", sort=False).head(k).drop(columns="q")
 
     return lambda shard, block: run(shard, block)
 
@@ -162,16 +197,17 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR,
     def valid(df: DataFrame) -> DataFrame:
         v = F.col("embedding").cast("array<double>")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-        return df.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
+        rows = df.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+        return rows.distinct().withColumn("dim", F.size("v")).withColumn("row", F.xxhash64("vec_id", "v"))
 
     base, queries = valid(base), valid(queries)
     n_shards = blocks_for(base.count(), shard_rows)
     n_blocks = blocks_for(queries.count(), BLOCK_QUERIES)
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     shards = base.withColumn("shard", deal(n_shards)).withColumn("block", every(n_blocks)).groupBy("dim", "shard", "block")
     blocks = queries.withColumn("block", deal(n_blocks)).withColumn("shard", every(n_shards)).groupBy("dim", "shard", "block")
-    found = shards.cogroup(blocks).applyInPandas(_searched(k, factor), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = shards.cogroup(blocks).applyInPandas(_searched(k, factor), "query_id long, query_row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
