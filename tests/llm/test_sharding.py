@@ -58,3 +58,13 @@ def test_documents_with_nulls_repeats_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert S.shard_documents(spark.createDataFrame([], SCHEMA), 5).count() == 0
+
+
+def test_rows_are_placed_by_the_stored_versions(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "stored")
+    monkeypatch.setattr(S, "shared_folder", lambda *_: path)
+    docs = spark.createDataFrame([(i, f"t{i}", None, None) for i in range(300)], SCHEMA)
+    got = S.shard_documents(docs, 5).collect()
+    first, second = S.load_map(spark, path, 1), S.load_map(spark, path)
+    assert first == S.map_for(5) and second == S.grown(first)
+    assert all((r.shard, r.grown_shard) == (first[r.vslot], second[r.vslot]) for r in got)

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.llm.common import shared_folder
+
 N_SLOTS = 4096
 ROW_OVERHEAD = 16
 
@@ -128,12 +130,19 @@ def with_positions(placed: DataFrame, totals: DataFrame, order_by: list[str]) ->
 
 
 def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
-    """One row per document with size, checksum, shard, position and the shard after growth by one."""
-    now = map_for(n_shards, n_slots)
+    """One row per document with size, checksum, shard, position and the shard after growth by one.
+
+    The map is stored in the shared folder, version 1 with ``n_shards`` shards and
+    version 2 with one more; rows are placed by what is read back."""
+    spark = docs.sparkSession
+    path = shared_folder(spark, "slot-map")
+    save_map(spark, path, 1, map_for(n_shards, n_slots))
+    save_map(spark, path, 2, grown(load_map(spark, path)))
+    now, more = load_map(spark, path, 1), load_map(spark, path, 2)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + ROW_OVERHEAD).cast("long").alias("size"),
                        F.crc32(raw).cast("long").alias("text_crc32"))
-    rows = place(place(rows, "doc_id", now), "doc_id", grown(now), "grown_shard")
+    rows = place(place(rows, "doc_id", now), "doc_id", more, "grown_shard")
     totals = place(slot_totals(rows), "doc_id", now)
     return with_positions(rows, totals, ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", "slot_bytes")
