@@ -68,3 +68,32 @@ def test_pass3_duplicates_and_shadowing(spark):
 def test_unparsable_address_disables_direction(spark):
     got = _run(spark, [("u", "host-1", "10.0.0.1", 445, "tcp", "login", "x", 1, {})])
     assert got["u"].c2 == 0
+
+
+def test_feed_is_looked_up_in_one_pass(spark):
+    """Alerts may share an id or have none; each is scored as with the listed values, and its text is scanned once."""
+    from pyspark.sql import functions as F
+
+    from vigil.functions.ioc import with_iocs
+    from vigil.operators.verify import verify
+    from vigil.sources import dims
+
+    rows = [("a", "185.220.101.4", "EVT dst 194.165.16.7 CVE-2021-44228", "Mimikatz"), ("a", "8.8.8.8", "peer 185.220.101.9", "bash"),
+            ("a", "8.8.8.8", "peer 185.220.101.9", "bash"), (None, "194.165.16.2", "cve CVE-2021-44228 CVE-2020-1472", None),
+            ("b", None, None, "psexec"), ("c", "", "nothing", ""), ("d", "host-1", "45.33.32.1 185.220.101.1 8.8.4.4", "nan")]
+    alerts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, alert_id string, source_ip string, raw_log string, processName string")
+    alerts = alerts.selectExpr("*", "'10.0.0.1' dest_ip", "22 port", "'tcp' protocol", "'SSH_FAIL' event_type", "timestamp '2024-01-30 11:00:00' timestamp")
+    # the second range lies in the first, the first counts
+    cidrs = [*dims.TI_BAD_IPS, "185.220.101.0/25", dims.TI_BAD_IPS[0]]
+    feed = {"ti_cidr": spark.createDataFrame(list(enumerate(cidrs)), "ord int, cidr string"),
+            "ti_cve": spark.createDataFrame([(v,) for v in dims.TI_BAD_CVES * 2], "cve string"),
+            "ti_process": spark.createDataFrame([(v,) for v in dims.TI_BAD_PROCESSES], "process string")}
+    a = with_iocs(alerts, "raw_log", "processName")
+    got = verify(a, "2024-01-30 12:00:00", feed=feed)
+    want = verify(a, "2024-01-30 12:00:00")
+    cols = ["n", "alert_id", "c1", "c2", "c3", "confidence_score", "verification_status", "evidence_trail", "ioc"]
+    key = lambda r: r.n
+    assert sorted(got.select(*cols).collect(), key=key) == sorted(want.select(*cols).collect(), key=key)
+    assert got.where(F.col("c3") >= 30).count() >= 4
+    plan = got.select("alert_id", "c3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

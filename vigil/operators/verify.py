@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.ioc import ioc_kind
 from vigil.functions.net import WIDE_PRIVATE_BLOCKS, cidr_bounds, ip_to_long, long_in_blocks
-from vigil.operators.iprange import range_hits
+from vigil.operators.iprange import keyed_ranges
 from vigil.sources import dims
 
 EVIDENCE_TYPE = "struct<pass:int,rule:string,weight:int,subject:string,text:string>"
@@ -199,33 +199,63 @@ def all_addresses(source_ip: Column, ext: Column) -> Column:
                     .otherwise(F.array().cast("array<string>")))
 
 
-def with_feed_hits(df: DataFrame, feed: dict[str, DataFrame], key: str = "alert_id") -> DataFrame:
-    """Adds ``_ti_at`` (position of an address occurrence → its first feed range),
-    ``_bad_cves`` and ``_bad_procs`` (the alert's values that the feed lists).
+def feed_keys(feed: dict[str, DataFrame]) -> DataFrame:
+    """The feed's tables as one: ``_key``, bounds ``_lo`` and ``_hi`` of address
+    ranges, ``_ord`` (a range's place in the feed) and ``_hit``, the listed value.
+    Of entries for the same range the first counts, so at most 33 hold one address."""
+    ranges = (keyed_ranges(feed["ti_cidr"]).groupBy("level", "bkey", "lo", "hi")
+              .agg(F.min("ord").alias("_ord"), F.min_by("cidr", "ord").alias("_hit")))
 
-    Addresses, CVEs and processes are exploded and joined with the feed's tables
-    by key; only alerts with hits come back, one row each, by ``key``, which
-    identifies an alert."""
-    addrs = df.select(key, F.posexplode(all_addresses(F.col("source_ip"), F.col("_ext"))).alias("_pos", "ip"))
-    ranges = range_hits(addrs, feed["ti_cidr"], "ip", keys=[key, "_pos"])
-    at = ranges.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "cidr"))).alias("_ti_at"))
+    def listed(table: DataFrame, value: str, fold) -> DataFrame:
+        return (table.select(fold(value).alias("_hit")).distinct()
+                .select(F.concat(F.lit(f"{value}:"), "_hit").alias("_key"), F.lit(None).cast("bigint").alias("_lo"),
+                        F.lit(None).cast("bigint").alias("_hi"), F.lit(None).cast("int").alias("_ord"), "_hit"))
 
-    def listed(col: str, table: DataFrame, value: str, fold, out: str) -> DataFrame:
-        values = df.select(key, F.explode(col).alias("_v")).select(key, fold("_v").alias("_v"))
-        known = table.select(fold(value).alias("_v")).distinct()
-        return values.join(known, "_v").groupBy(key).agg(F.collect_set("_v").alias(out))
+    return (ranges.select(F.concat_ws(":", "level", "bkey").alias("_key"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "_ord", "_hit")
+            .unionByName(listed(feed["ti_cve"], "cve", F.upper)).unionByName(listed(feed["ti_process"], "process", F.lower)))
 
-    cves = listed("_cve", feed["ti_cve"], "cve", F.upper, "_bad_cves")
-    procs = listed("_proc", feed["ti_process"], "process", F.lower, "_bad_procs")
-    return df.join(at, key, "left").join(cves, key, "left").join(procs, key, "left")
 
+def with_feed_hits(df: DataFrame, feed: dict[str, DataFrame]) -> DataFrame:
+    """Adds ``_ti`` (the feed ranges that hold an address occurrence, with its
+    position), ``_bad_cves`` and ``_bad_procs`` (the alert's values that the feed lists).
 
-def feed_probes(source_ip: Column, ext: Column, ti_at: Column, risk_ranges: list[tuple[str, str]] | None = None) -> Column:
+    An alert becomes one row with its columns and one for each value to look up.
+    These meet the feed by key in one join, and one grouping puts the hits to
+    their alert: its columns are computed and moved once, and only the feed is
+    ever small enough to broadcast."""
+    c = F.col
+
+    def entries(kind: str, values: Column, fold) -> Column:
+        found = F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), fold(v).alias("text")))
+        return F.coalesce(found, F.array().cast("array<struct<kind:string,pos:int,text:string>>"))
+
+    wanted = F.concat(F.array(F.struct(F.lit("alert").alias("kind"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("text"))),
+                      entries("ip", all_addresses(c("source_ip"), c("_ext")), lambda v: v),
+                      entries("cve", c("_cve"), F.upper), entries("process", c("_proc"), F.lower))
+    kind, own = c("_e.kind"), c("_e.kind") == "alert"
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_e", F.explode_outer(wanted))
+    rows = rows.select("_row", "_e", F.when(kind == "ip", ip_to_long(c("_e.text"))).alias("_ipl"),
+                       *[F.when(own, c(f"`{x}`")).alias(x) for x in df.columns])
+    keys = (F.when(kind == "ip", F.array(*[F.concat(F.lit(f"{n}:"), F.shiftright("_ipl", 32 - n) if n else F.when(c("_ipl").isNotNull(), 0)) for n in (16, 8, 0)]))
+            .otherwise(F.array(F.concat(kind, F.lit(":"), F.when(own, c("_row").cast("string")).otherwise(c("_e.text"))))))
+    rows = rows.withColumn("_key", F.explode_outer(keys)).where(c("_key").isNotNull())
+    known = feed_keys(feed).withColumnRenamed("_key", "_feed_key")
+    hits = rows.join(known, (c("_key") == c("_feed_key")) & (c("_lo").isNull() | c("_ipl").between(c("_lo"), c("_hi"))), "left")
+
+    def hits_of(k: str, value: Column, out: str) -> Column:
+        return F.collect_set(F.when(kind == k, value)).alias(out)
+
+    return (hits.where(own | c("_hit").isNotNull()).groupBy("_row")
+            .agg(*[F.first(f"`{x}`", ignorenulls=True).alias(x) for x in df.columns],
+                 hits_of("ip", F.struct(c("_ord").alias("ord"), c("_hit").alias("cidr"), c("_e.pos").alias("pos")), "_ti"),
+                 hits_of("cve", c("_hit"), "_bad_cves"), hits_of("process", c("_hit"), "_bad_procs")).drop("_row"))
+
+
+def feed_probes(source_ip: Column, ext: Column, ti: Column, risk_ranges: list[tuple[str, str]] | None = None) -> Column:
     """As ``intel_probes``, the feed ranges coming from ``with_feed_hits``."""
     risk_arr = range_array(dims.RISK_RANGES if risk_ranges is None else risk_ranges)
     return F.transform(all_addresses(source_ip, ext), lambda ip, i: F.struct(
-        ip.alias("ip"),
-        F.when(F.try_element_at(ti_at, i).isNotNull(), F.struct(F.try_element_at(ti_at, i).alias("cidr"))).alias("ti"),
+        ip.alias("ip"), F.array_min(F.filter(ti, lambda h: h["pos"] == i)).alias("ti"),
         first_range(ip_to_long(ip), risk_arr).alias("risk")))
 
 
@@ -334,7 +364,7 @@ def status_of(score: Column) -> Column:
 
 def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col: str = "timestamp",
            ts_is_string: bool = False, ti_ranges=None, risk_ranges=None, bad_cves=None,
-           bad_processes=None, feed: dict[str, DataFrame] | None = None, key: str = "alert_id") -> DataFrame:
+           bad_processes=None, feed: dict[str, DataFrame] | None = None) -> DataFrame:
     """Add c1, c2, c3, confidence_score, verification_status, evidence and
     evidence_trail (rendered text) to an alert DataFrame with an ``iocs`` map.
 
@@ -361,7 +391,7 @@ def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col:
     if feed is None:
         df = df.withColumn("_probes", intel_probes(c("source_ip"), c("_ext"), ti_ranges, risk_ranges))
     else:
-        df = with_feed_hits(df, feed, key).withColumn("_probes", feed_probes(c("source_ip"), c("_ext"), c("_ti_at"), risk_ranges))
+        df = with_feed_hits(df, feed).withColumn("_probes", feed_probes(c("source_ip"), c("_ext"), c("_ti"), risk_ranges))
         bad_cves, bad_processes = c("_bad_cves"), c("_bad_procs")
     s1, e1 = structural_pass(c("structural_gaps"), c("source_ip"), c("dest_ip"), c("port"), c("event_type"))
     df = (df.withColumn("_hits3", intel_hits(c("event_type"), c("_probes"), c("_cve"), c("_proc"), bad_cves, bad_processes))
@@ -385,5 +415,5 @@ def verify(df: DataFrame, as_of: str | Column, boost: Column | int = 0, ts_col:
              .withColumn("evidence", F.concat(F.array(c("e1")), c("e2"), c("e3")))
              .withColumn("evidence_trail", F.transform(c("evidence"), lambda e: e["text"]))
              .drop("e1", "e2", "e3", "_e2", "_e3", "_src_l", "_dst_l", "_ext", "_lat", "_dom", "_cve",
-                   "_proc", "_sha", "_probes", "_src_priv", "_dst_priv", "_ti_at", "_bad_cves", "_bad_procs"))
+                   "_proc", "_sha", "_probes", "_src_priv", "_dst_priv", "_ti", "_bad_cves", "_bad_procs"))
     return out
