@@ -24,9 +24,12 @@ from vigil.sources.testviews import alerts_view
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
                  max_files_per_trigger: int = 1) -> DataFrame:
+    """Events of a folder, a few files per micro-batch.  A file of one row group is
+    one split, so a batch's rows are dealt to all cores before they are scored."""
     schema = spark.read.parquet(f"{folder}/{file_glob}").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder))
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder)
+            .repartition(spark.sparkContext.defaultParallelism))
 
 
 def scored_stream(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
