@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,26 @@ def text_bytes(col: str | Column) -> Column:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so
-    that later branches neither recompute it nor depend on one executor."""
+    that later branches neither recompute it nor depend on one executor.  The
+    shuffle files that led to it go at once."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    drop_shuffles(df)
+    return out
+
+
+def drop_shuffles(df: DataFrame) -> None:
+    """Remove the shuffle files that an action on ``df`` itself has left.
+
+    Spark keeps them until the driver's JVM happens to collect the plan, which no
+    amount of disk hurries.  Their stages stay registered, so a plan that is run
+    again makes them anew.  Without adaptive execution they wait as before."""
+    sc = df.sparkSession.sparkContext
+    try:
+        for i in list(df._jdf.queryExecution().executedPlan().context().shuffleIds().keySet()):
+            sc._jsc.sc().shuffleDriverComponents().removeShuffle(i, False)
+    except Py4JError:  # another plan, or another version of Spark
+        pass
 
 
 def release() -> None:
@@ -70,6 +88,13 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return task
 
 
+def then_release(run: Callable, *tables: pa.Table) -> pa.Table:
+    """``run`` over a group's tables, with its memory given back at the end."""
+    out = run(*tables)
+    release()
+    return out
+
+
 def blocks_for(total_bytes: int | None, block_bytes: int) -> int:
     """Number of blocks of about ``block_bytes`` that hold ``total_bytes``; it grows with the data."""
     return max(1, -(-int(total_bytes or 0) // block_bytes))
@@ -115,5 +140,8 @@ def keyed(docs: DataFrame, row: str = "row") -> DataFrame:
 def without_ids(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``df`` whose ``col`` is not among ``ids``; only rows that the bitmap marks are shuffled."""
     sure = in_bitmap(df, col, ids, id_col, outside=True)
-    rest = in_bitmap(df, col, ids, id_col).join(ids.select(F.col(id_col).alias(col)).distinct(), col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    gone = free_name(df, "_gone")
+    ids = ids.select(F.col(id_col).alias(col)).distinct().withColumn(gone, F.lit(True))
+    # no anti-join: the optimizer would put it below the bitmap, and all rows into its shuffle
+    rest = in_bitmap(df, col, ids, col).join(ids, col, "left").where(F.col(gone).isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
     return sure.unionByName(rest)

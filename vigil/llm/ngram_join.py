@@ -8,8 +8,9 @@ one element.  A probing set spends H + 1 units on segments: one unit asks for an
 equal segment, two for a segment that differs in one element at most.  By the
 pigeonhole principle some segment it pays for matches.  The units go where
 matches by chance are rarest (segments with many elements), as estimated by the
-number of elements; bands have a few segments to spare, so nearly empty segments
-are left out.  Candidates are verified on the n-gram sets themselves.
+number of elements; bands have segments to spare, in proportion to H, so nearly
+empty segments are left out: every set that lacks the segment would match there,
+and such groups grow with the square of the input.  Candidates are verified on the n-gram sets themselves.
 
 Equal sets form one class before anything is joined; a class leaves a task once.
 Groups are not expanded into pairs.  The classes of a signature's bucket form
@@ -48,6 +49,7 @@ from vigil.llm.components import connected
 
 BAND_FACTOR = 1.5
 SPARE_SEGMENTS = 2
+SPARE_SHARE = 10         # and one more for so many
 DELETION_SEGMENTS = 2
 BLOCK_WEIGHT = 1 << 18   # n-grams in a block of a cluster, about; a small set counts as
 LEAST_WEIGHT = 1 << 9    # so many, which bounds the sets of a block too
@@ -115,7 +117,8 @@ class Partitioning:
 
     def segments(self, band: int) -> int:
         top = self.top(band)
-        return self.difference(top, top * self.den // self.num) + 1 + SPARE_SEGMENTS
+        most = self.difference(top, top * self.den // self.num)
+        return most + 1 + SPARE_SEGMENTS + most // SPARE_SHARE
 
     def signatures(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the buckets that the set is indexed in or probes, and which of them it probes."""
@@ -161,7 +164,7 @@ class Partitioning:
 
 
 def _indexed(n: int, num: int, den: int):
-    """Rows ``key, id, cls, size, kind, sketch``: one of kind 0 per document, with
+    """Rows ``key, cls, size, kind, id, sketch``: one of kind 0 per document, with
     its row key and sketch, and its class's signatures (kind 1 indexed, 2 probed
     too) once per task."""
 
@@ -169,10 +172,10 @@ def _indexed(n: int, num: int, den: int):
         sizes = [len(p[2]) for p in parts]
         each = lambda i, t: pa.array(np.repeat(np.array([p[i] for p in parts], dtype=t), sizes))
         kind = pa.array(np.concatenate([p[3] for p in parts]).astype(np.int32) + 1, pa.int32())
-        return pa.record_batch([pa.array(np.concatenate([p[2] for p in parts]).view(np.int64)), pa.nulls(sum(sizes), pa.int64()),
-                                each(0, np.int64), each(1, np.int32), kind, pa.nulls(sum(sizes), pa.binary())], names=names)
+        return pa.record_batch([pa.array(np.concatenate([p[2] for p in parts]).view(np.int64)), each(0, np.int64), each(1, np.int32), kind,
+                                pa.nulls(sum(sizes), pa.int64()), pa.nulls(sum(sizes), pa.binary())], names=names)
 
-    names = ["key", "id", "cls", "size", "kind", "sketch"]
+    names = ["key", "cls", "size", "kind", "id", "sketch"]  # what differs between signatures side by side: they compress better
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, seen = Partitioning(num, den), set()
@@ -192,8 +195,8 @@ def _indexed(n: int, num: int, den: int):
                 if waiting >= SIGNED_ROWS:
                     yield signed(parts)
                     parts, waiting = [], 0
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.int32()),
-                                   pa.array(np.zeros(len(docs), np.int32)), pa.array([d[2] for d in docs], pa.binary())], names=names)
+            yield pa.record_batch([b.column("row"), pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.int32()),
+                                   pa.array(np.zeros(len(docs), np.int32)), b.column("doc_id"), pa.array([d[2] for d in docs], pa.binary())], names=names)
             if parts:
                 yield signed(parts)
 
@@ -398,7 +401,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     first_row`` (their least doc_id, null last) and ``cls, root, root_rank`` of
     the classes that may link with others; the root has the least first_doc."""
     texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("raw"), "row")
-    rows = texts.mapInArrow(releasing(_indexed(n, num, den)), "key long, id long, cls long, size int, kind int, sketch binary")
+    rows = texts.mapInArrow(releasing(_indexed(n, num, den)), "key long, cls long, size int, kind int, id long, sketch binary")
     bucket = Window.partitionBy("key")
     found = cut(rows.withColumn("lo", F.min("cls").over(bucket)).withColumn("hi", F.max("cls").over(bucket)).withColumn("top", F.max("kind").over(bucket))
                 .where("kind = 0 or (lo < hi and top = 2)").drop("lo", "hi", "top"))
@@ -435,6 +438,7 @@ def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                  .select("row", "copies", ((F.col("row") == F.col("first_row")) & (F.coalesce("root", "cls") == F.col("cls"))).alias("stays")))
     several = judged.where("stays and copies > 1").select(F.col("row").alias(row))
     rest = without_ids(rows, row, judged.where("not stays or copies > 1"), "row").select(*columns)
-    least = (in_bitmap(rows, row, several, row).join(several, row, "left_semi")
+    # no semi-join: the optimizer would put it below the bitmap, and all rows into its shuffle
+    least = (in_bitmap(rows, row, several, row).join(several.distinct(), row)
              .groupBy(row).agg(F.min(F.struct(*columns)).alias("least")))
     return rest.unionByName(least.select(*[F.col("least").getField(c).alias(c) for c in names]))

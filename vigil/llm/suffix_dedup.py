@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import blocks_for, text_bytes
+from vigil.llm.common import blocks_for, releasing, text_bytes, then_release
 
 WINDOW = 100
 KEY = 32
@@ -201,7 +201,7 @@ def splitters(docs: DataFrame, n: int) -> list[bytes]:
 
     total = docs.count()
     share = min(1.0, SAMPLED_DOCS / max(total, 1))
-    sample = sorted(r["key"] for r in docs.sample(share, seed=11).select("raw").mapInArrow(keys, "key binary").collect())
+    sample = sorted(r["key"] for r in docs.sample(share, seed=11).select("raw").mapInArrow(releasing(keys), "key binary").collect())
     return sorted({bytes(sample[len(sample) * i // n]) for i in range(1, n)}) if sample else []
 
 
@@ -277,7 +277,7 @@ def _cut_out(cuts: list[bytes], parts: int):
             settled(windows, seen_windows, out)
         return out.table()
 
-    return lambda block, shared: run(block, shared)
+    return lambda block, shared: then_release(run, block, shared)
 
 
 def union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -420,7 +420,7 @@ def _removed(finish, schema: pa.Schema):
         rows = [finish(d, data, found.get((d, n), NO_SPANS)) for _, d, n, data in _documents(block)]
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return run
+    return lambda block, spans: then_release(run, block, spans)
 
 
 def kept_bytes(data: np.ndarray, spans: np.ndarray) -> bytes:
@@ -448,11 +448,11 @@ def _blocks_and_spans(docs: DataFrame, others: list[Column]) -> tuple[DataFrame,
     cuts, parts = splitters(raw, ranges), -(-2 * n_blocks // ranges)
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("long")
     blocks = raw.withColumn("block", block_of("doc_id")).repartition(n_blocks, "block")
-    reported = blocks.mapInArrow(_reported, "block long, key long, n int")
+    reported = blocks.mapInArrow(releasing(_reported), "block long, key long, n int")
     shared = (reported.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1")
               .select("block", "key", (F.col("all") > HOT_ROWS).alias("hot")))
     sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_out(cuts, parts), ROWS)
-    spans = sent.groupBy("bucket").applyInArrow(_resolve, "doc long, at long, until long").withColumn("block", block_of("doc"))
+    spans = sent.groupBy("bucket").applyInArrow(lambda bucket: then_release(_resolve, bucket), "doc long, at long, until long").withColumn("block", block_of("doc"))
     return blocks, spans
 
 
@@ -497,7 +497,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"c{i} {types[c]}" for i, c in enumerate(names)), "text string", "changed boolean"])
-    out = blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(run, schema)
+    out = blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(lambda block, spans: then_release(run, block, spans), schema)
     place = {c: F.col(f"c{i}") for i, c in enumerate(names)} | {"text": F.col("text")}
     if "n_chars" in place:
         place["n_chars"] = F.when(F.col("changed"), F.length("text").cast(types["n_chars"])).otherwise(place["n_chars"])
